@@ -13,6 +13,7 @@ STRIP_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+RARE_LINE_END = r"[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 # "." also matches line ends (s); "^$" are per line (m); only \n is a line end (d). Case folding stays ASCII.
@@ -30,9 +31,15 @@ def java(pattern: str) -> str:
     return body.replace(r"[^}]+\}", r"[^}]++\}").replace(r"[^)]*\)", r"[^)]*+\)")
 
 
-def java_any(patterns: tuple[str, ...]) -> str:
-    """One alternation for 'does any of these occur'."""
-    return LINEWISE + "(?:" + "|".join(java(p) for p in patterns) + ")"
+def folded(pattern: str) -> str:
+    """A case-insensitive pattern for text that is in lower case already: Java matches plain letters much
+    faster than with ``(?i)``. (The catalogue uses no escapes whose meaning depends on case.)"""
+    return java(pattern.removeprefix("(?i)").lower())
+
+
+def folded_any(patterns: tuple[str, ...]) -> str:
+    """One alternation for 'does any of these occur in this lower-case text'; "." stops at \\n."""
+    return "(?md)(?:" + "|".join(folded(p) for p in patterns) + ")"
 
 
 def re2(pattern: str) -> str:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lintlake.functions.regex import LINE_END
-
 # --- Fixed values: extension -> language, for rules and for reports (the two lists differ) ------
 RULE_LANGUAGES = {"py": "python", "js": "javascript", "ts": "typescript", "jsx": "javascript",
                   "tsx": "typescript", "rb": "ruby", "php": "php", "go": "go", "java": "java"}
@@ -51,22 +49,6 @@ def report_language(path: Column) -> Column:
     return _language(rule_extension(path), REPORT_LANGUAGES, "unknown")
 
 
-def line_after(prefix: Column) -> Column:
-    """Line number of the character that follows ``prefix``: only \\n ends a line."""
-    return (F.regexp_count(prefix, F.lit("\n")) + 1).cast("int")
-
-
-def source_lines(content: Column) -> Column:
-    """Lines as a text editor shows them; a final line end does not open another line."""
-    parts = F.split(content, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-
-
-def snippet(lines: Column, line: Column) -> Column:
-    """One line before to two lines after."""
-    return F.array_join(F.slice(lines, F.greatest(line - 1, F.lit(1)), F.least(F.lit(4), line + 2)), "\n")
-
-
 def mask_secret(secret: Column) -> Column:
     return F.when(F.length(secret) <= 8, F.lit("****")).otherwise(
         F.concat(F.left(secret, F.lit(4)), F.lit("****"), F.right(secret, F.lit(4)))

@@ -1,17 +1,14 @@
 """How one rule is evaluated on a text column: test, count, text before the first match, evidence.
 
-Most patterns run as they are. Four would backtrack over the whole rest of a file and are evaluated
-in a linear form with the same matches; ``tests/test_matchers.py`` compares them with the originals.
+Everything is a SQL expression on ``content`` and ``_lowered``. Most patterns run as they are. Four
+would backtrack over the whole rest of a file and are evaluated in a linear form with the same
+matches; ``tests/test_matchers.py`` compares them with the originals.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from lintlake.functions.regex import DOTALL, WORD, java
+from lintlake.functions.regex import DOTALL, WORD, folded, java
+from lintlake.functions.sqltext import any_contains, quoted
 from lintlake.rules import Rule
 
 EVIDENCE_CHARS = 80
@@ -20,32 +17,34 @@ EVIDENCE_CHARS = 80
 class Matcher:
     """The pattern itself, tried only on texts that contain the rule's required substrings."""
 
+    scope = "content"
+
     def __init__(self, rule: Rule):
         self.rule = rule
         self.body = java(rule.pattern)
+        self.regex = quoted(DOTALL + self.body)
 
-    def scope(self, content: Column) -> Column:
-        return content
+    def may_hit(self) -> str:
+        text = "_lowered" if self.rule.folded else "content"
+        return " AND ".join(any_contains(text, words) for words in self.rule.needs) or "true"
 
-    def may_hit(self, content: Column, lowered: Column) -> Column:
-        text = lowered if self.rule.folded else content
-        tests = [reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words]) for words in self.rule.needs]
-        return reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
+    def hit(self) -> str:
+        if self.rule.folded:
+            return f"rlike({self.scope.replace('content', '_lowered')}, {quoted(DOTALL + folded(self.rule.pattern))})"
+        return f"rlike({self.scope}, {self.regex})"
 
-    def hit(self, content: Column) -> Column:
-        return F.rlike(self.scope(content), F.lit(DOTALL + self.body))
+    def count(self) -> str:
+        return f"regexp_count({self.scope}, {self.regex})"
 
-    def count(self, content: Column) -> Column:
-        return F.regexp_count(self.scope(content), F.lit(DOTALL + self.body))
+    def before(self) -> str:
+        return f"regexp_extract({self.scope}, {quoted(rf'{DOTALL}\A(.*?)(?:{self.body})')}, 1)"
 
-    def before(self, content: Column) -> Column:
-        return F.regexp_extract(self.scope(content), rf"{DOTALL}\A(.*?)(?:{self.body})", 1)
+    def evidence(self) -> str:
+        return f"left(regexp_extract({self.scope}, {self.regex}, 0), {EVIDENCE_CHARS})"
 
-    def evidence(self, content: Column) -> Column:
-        return F.left(F.regexp_extract(self.scope(content), DOTALL + self.body, 0), F.lit(EVIDENCE_CHARS))
-
-    def secret(self, content: Column) -> Column:
-        return F.regexp_extract(content, DOTALL + self.body, 1)
+    def secret(self) -> str:
+        """First group of the first match: the secret itself, for secret rules."""
+        return f"regexp_extract(content, {self.regex}, 1)"
 
 
 class ClosedBy(Matcher):
@@ -54,10 +53,7 @@ class ClosedBy(Matcher):
 
     def __init__(self, rule: Rule, closer: str):
         super().__init__(rule)
-        self.closer = closer
-
-    def scope(self, content: Column) -> Column:
-        return F.regexp_extract(content, rf"{DOTALL}\A.*{self.closer}", 0)
+        self.scope = f"regexp_extract(content, {quoted(rf'{DOTALL}\A.*{closer}')}, 0)"
 
 
 class HeadToLast(Matcher):
@@ -65,17 +61,17 @@ class HeadToLast(Matcher):
 
     HEAD = java(r"""exec(?:Sync)?\s*\(\s*[`'"]""")
 
-    def hit(self, content: Column) -> Column:
-        return F.contains(F.regexp_extract(content, rf"{DOTALL}{self.HEAD}(.*)\z", 1), F.lit("${"))
+    def hit(self) -> str:
+        return f"contains(regexp_extract(content, {quoted(rf'{DOTALL}{self.HEAD}(.*)\z')}, 1), {quoted('${')})"
 
-    def count(self, content: Column) -> Column:
-        return F.lit(1)
+    def count(self) -> str:
+        return "1"
 
-    def before(self, content: Column) -> Column:
-        return F.regexp_extract(content, rf"{DOTALL}\A(.*?){self.HEAD}", 1)
+    def before(self) -> str:
+        return f"regexp_extract(content, {quoted(rf'{DOTALL}\A(.*?){self.HEAD}')}, 1)"
 
-    def evidence(self, content: Column) -> Column:
-        return F.left(F.regexp_extract(content, rf"{DOTALL}{self.HEAD}.*\$\{{", 0), F.lit(EVIDENCE_CHARS))
+    def evidence(self) -> str:
+        return f"left(regexp_extract(content, {quoted(rf'{DOTALL}{self.HEAD}.*\$\{{')}, 0), {EVIDENCE_CHARS})"
 
 
 class QuotedNestedRepeat(Matcher):
@@ -83,20 +79,25 @@ class QuotedNestedRepeat(Matcher):
     enough to look between them for a repeated group or three repeated words in a row."""
 
     GROUP = DOTALL + r"\A[^(]*+\([^+*]*+[+*].*\)[+*]"
-    WORDS = rf"{DOTALL}{WORD}[+*]{WORD}++[+*]{WORD}++[+*]"
+    # Three words each followed by a sign; anchored on the first sign, which is rarer than a letter.
+    WORDS = rf"{DOTALL}(?<={WORD})[+*]{WORD}++[+*]{WORD}++[+*]"
+    INSIDE = f"regexp_extract(content, {quoted(DOTALL + '''["'](.*)["']''')}, 1)"
 
-    def hit(self, content: Column) -> Column:
-        inside = F.regexp_extract(content, DOTALL + "[\"'](.*)[\"']", 1)
-        return F.rlike(inside, F.lit(self.GROUP)) | F.rlike(inside, F.lit(self.WORDS))
+    def hit(self) -> str:
+        group, words = quoted(self.GROUP), quoted(self.WORDS)
+        return (
+            f"(({any_contains('content', (')+', ')*'))} AND rlike({self.INSIDE}, {group}))"
+            f" OR (rlike(content, {words}) AND rlike({self.INSIDE}, {words})))"
+        )
 
-    def count(self, content: Column) -> Column:
-        return F.lit(1)
+    def count(self) -> str:
+        return "1"
 
-    def before(self, content: Column) -> Column:
-        return F.regexp_extract(content, DOTALL + "\\A([^\"']*+)", 1)
+    def before(self) -> str:
+        return f"regexp_extract(content, {quoted(DOTALL + '''\\A([^"']*+)''')}, 1)"
 
-    def evidence(self, content: Column) -> Column:
-        return F.left(F.regexp_extract(content, DOTALL + "[\"'].*[\"']", 0), F.lit(EVIDENCE_CHARS))
+    def evidence(self) -> str:
+        return f"left(regexp_extract(content, {quoted(DOTALL + '''["'].*["']''')}, 0), {EVIDENCE_CHARS})"
 
 
 def matcher(rule: Rule) -> Matcher:

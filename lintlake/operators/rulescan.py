@@ -8,14 +8,14 @@ turns the array of hits into rows; contents stay behind.
 from __future__ import annotations
 
 import json
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake import rules as R
-from lintlake.functions.regex import DOTALL, LINEWISE, java, java_any
-from lintlake.functions.text import line_after, mask_secret, rule_language, snippet, source_lines, syntax_extension
+from lintlake.functions.regex import LINE_END, LINEWISE, RARE_LINE_END, folded_any, java
+from lintlake.functions.sqltext import any_contains, in_list, quoted
+from lintlake.functions.text import rule_language, syntax_extension
 from lintlake.operators.matchers import matcher
 from lintlake.operators.pysyntax import candidate_text, syntax_hits
 
@@ -23,42 +23,50 @@ FILE_KEY = ("repo_url", "commit_sha")
 SCAN_RULES = R.ALL_RULES
 FAMILY_STRIDE = 1_000_000_000  # more than the nodes or rules one file can have
 
-FINDING_COLUMNS = (
-    "file_path", "line_start", "line_end", "category", "severity", "confidence", "title",
-    "masked_evidence", "code_snippet", "detected_by", "rule_id", "det_ordinal",
-)
+RATE_NO = R.RULE_NO[R.RATE_LIMIT.rule_id]
+RATE_AUTH_NO = R.RULE_NO[R.RATE_LIMIT_AUTH.rule_id]
 
 
-def _any_word(text: Column, words: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+def bit(rule: R.Rule) -> str:
+    return f"{1 << R.RULE_NO[rule.rule_id]}L"
 
 
-def language_allows(rule: R.Rule, language: Column) -> Column:
-    return F.lit(True) if "any" in rule.languages else language.isin(*rule.languages)
+def family_mask(rules: tuple[R.Rule, ...], family: str) -> int:
+    return sum(1 << R.RULE_NO[r.rule_id] for r in rules if r.family == family)
 
 
-def rate_limit_missing(content: Column, lowered: Column) -> Column:
-    """Routes and no sign of a limiter."""
-    maybe = _any_word(lowered, ("app.", "router.", "blueprint.", "path", "url"))
-    return maybe & F.rlike(content, F.lit(java_any(R.ROUTE_PATTERNS))) & ~F.rlike(content, F.lit(java_any(R.LIMITER_PATTERNS)))
+def line_after(prefix: str) -> str:
+    """Line of the character after ``prefix``; only \\n ends a line."""
+    return f"regexp_count({prefix}, '\\n') + 1"
 
 
-def has_login_route(content: Column) -> Column:
-    return F.rlike(content, F.lit(java_any(R.AUTH_ENDPOINT_PATTERNS)))
+def mask_sql(secret: str) -> str:
+    return f"CASE WHEN length({secret}) <= 8 THEN '****' ELSE concat(left({secret}, 4), '****', right({secret}, 4)) END"
 
 
-def first_route_line(content: Column) -> Column:
-    """Line of the first route *pattern in list order* that occurs, which need not be the earliest line."""
-    out = None
-    for p in R.ROUTE_PATTERNS:
-        test = F.rlike(content, F.lit(LINEWISE + java(p)))
-        line = line_after(F.regexp_extract(content, rf"(?imsd)\A(.*?)(?:{java(p)})", 1))
-        out = F.when(test, line) if out is None else out.when(test, line)
-    return out.otherwise(F.lit(1))
+# Routes and no sign of a limiter; the substrings keep most files away from the patterns.
+RATE_LIMIT_MISSING = (
+    any_contains("_lowered", ("app.", "router.", "blueprint.", "path", "url"))
+    + f" AND rlike(_lowered, {quoted(folded_any(R.ROUTE_PATTERNS))}) AND NOT rlike(_lowered, {quoted(folded_any(R.LIMITER_PATTERNS))})"
+)
+HAS_LOGIN_ROUTE = f"rlike(_lowered, {quoted(folded_any(R.AUTH_ENDPOINT_PATTERNS))})"
 
+# Line of the first route *pattern in list order* that occurs, which need not be the earliest line.
+FIRST_ROUTE_LINE = "CASE " + " ".join(
+    f"WHEN rlike(content, {quoted(LINEWISE + java(p))}) THEN "
+    + line_after(f"regexp_extract(content, {quoted(rf'(?imsd)\A(.*?)(?-s:{java(p)})')}, 1)")
+    for p in R.ROUTE_PATTERNS
+) + " ELSE 1 END"
 
-def family_mask(rules: tuple[R.Rule, ...], family: str) -> int:
-    return sum(1 << R.RULE_NO[r.rule_id] for r in rules if r.family == family)
+
+def _rule_bit(rule: R.Rule, by_language: bool) -> str:
+    m = matcher(rule)
+    tests = [m.may_hit(), m.hit()]
+    if by_language and "any" not in rule.languages:
+        tests.insert(0, in_list("_language", rule.languages))
+    if rule.family == "ai":
+        tests.insert(0, "_ai_gate")
+    return f"CASE WHEN {' AND '.join(tests)} THEN {bit(rule)} ELSE 0L END"
 
 
 def with_rule_mask(files: DataFrame, rules: tuple[R.Rule, ...], by_language: bool) -> DataFrame:
@@ -66,102 +74,76 @@ def with_rule_mask(files: DataFrame, rules: tuple[R.Rule, ...], by_language: boo
 
     ``by_language`` skips rules that do not apply to the file; the suspicion scores need them all.
     """
-    content, lowered = F.col("content"), F.col("_lowered")
-    bits = []
-    for rule in rules:
-        bit = F.lit(1 << R.RULE_NO[rule.rule_id])
-        if rule.family == "rate_limit":
-            continue
-        if not rule.pattern:
-            continue
-        m = matcher(rule)
-        test = m.may_hit(content, lowered) & m.hit(content)
-        if by_language and "any" not in rule.languages:
-            test = F.col("_language").isin(*rule.languages) & test
-        if rule.family == "ai":
-            test = F.col("_ai_gate") & test
-        bits.append(F.when(test, bit).otherwise(F.lit(0)))
+    bits = [_rule_bit(r, by_language) for r in rules if r.pattern]
     if any(r.family == "rate_limit" for r in rules):
-        plain, login = (1 << R.RULE_NO[r.rule_id] for r in (R.RATE_LIMIT, R.RATE_LIMIT_AUTH))
-        bits.append(
-            F.when(rate_limit_missing(content, lowered), F.when(has_login_route(content), F.lit(login)).otherwise(F.lit(plain)))
-            .otherwise(F.lit(0))
-        )
-    mask = reduce(lambda a, b: a.bitwiseOR(b), bits) if bits else F.lit(0)
-    base = files.withColumn("_lowered", F.lower(content)).withColumn("_language", rule_language(F.col("path")))
+        which = f"CASE WHEN {HAS_LOGIN_ROUTE} THEN {bit(R.RATE_LIMIT_AUTH)} ELSE {bit(R.RATE_LIMIT)} END"
+        bits.append(f"CASE WHEN {RATE_LIMIT_MISSING} THEN {which} ELSE 0L END")
+    base = files.select("*", F.expr("lower(content) AS _lowered"), rule_language(F.col("path")).alias("_language"))
     if any(r.family == "ai" for r in rules):
-        base = base.withColumn("_ai_gate", _any_word(lowered, R.AI_GATE_WORDS))
-    return base.withColumn("rule_mask", mask.cast("bigint"))
-
-
-def _has(rule: R.Rule) -> Column:
-    return F.col("rule_mask").bitwiseAND(F.lit(1 << R.RULE_NO[rule.rule_id])) != 0
-
-
-def _regex_hit(rule: R.Rule) -> Column:
-    content, m = F.col("content"), matcher(rule)
-    secret = F.when(_has(rule), m.secret(content)) if rule.family == "secret" else F.lit(None).cast("string")
-    counted = rule.family in ("injection", "auth")
-    return F.when(
-        _has(rule) & language_allows(rule, F.col("_language")),
-        F.struct(
-            F.lit(R.RULE_NO[rule.rule_id]).alias("rule_no"),
-            line_after(m.before(content)).alias("line"),
-            F.lit(0).alias("seq"),
-            (m.count(content) if counted else F.lit(1)).cast("int").alias("matches"),
-            (mask_secret(m.secret(content)) if rule.family == "secret" else m.evidence(content)).alias("evidence"),
-            secret.alias("secret"),
-        ),
-    )
+        base = base.select("*", F.expr(any_contains("_lowered", R.AI_GATE_WORDS) + " AS _ai_gate"))
+    return base.select("*", F.expr(" | ".join(bits) if bits else "0L").alias("rule_mask"))
 
 
-def _rate_hit(rule: R.Rule) -> Column:
-    return F.when(
-        _has(rule),
-        F.struct(
-            F.lit(R.RULE_NO[rule.rule_id]).alias("rule_no"),
-            first_route_line(F.col("content")).alias("line"),
-            F.lit(0).alias("seq"),
-            F.lit(1).alias("matches"),
-            F.lit(None).cast("string").alias("evidence"),
-            F.lit(None).cast("string").alias("secret"),
-        ),
+def _hit(rule: R.Rule) -> str:
+    """SQL of one rule's hit: a struct when its bit is set (and its language fits), otherwise NULL."""
+    when = f"(rule_mask & {bit(rule)}) != 0L"
+    line, matches, evidence, secret = FIRST_ROUTE_LINE, "1", "CAST(NULL AS STRING)", "CAST(NULL AS STRING)"
+    if rule.pattern:
+        m = matcher(rule)
+        line, evidence = line_after(m.before()), m.evidence()
+        if "any" not in rule.languages:
+            when += " AND " + in_list("_language", rule.languages)
+        if rule.family in ("injection", "auth"):
+            matches = m.count()
+        if rule.family == "secret":
+            secret, evidence = m.secret(), mask_sql(m.secret())
+    return (
+        f"CASE WHEN {when} THEN named_struct('rule_no', {R.RULE_NO[rule.rule_id]}, 'line', {line}, 'seq', 0, "
+        f"'matches', {matches}, 'evidence', {evidence}, 'secret', {secret}) END"
     )
 
 
+# Lines as an editor shows them, as far as the last hit needs them. A plain split does unless a text has one of the
+# rarer line ends. A final line end does not open another line.
+_UPTO = "CAST(array_max(transform(_found, h -> h.line)) + 3 AS INT)"
+_SPLIT = f"""CASE WHEN rlike(content, {quoted(RARE_LINE_END)}) THEN split(content, {quoted(LINE_END)}, {_UPTO})
+  ELSE split(content, '\\n', {_UPTO}) END"""
+SOURCE_LINES = f"transform(array({_SPLIT}), p -> CASE WHEN element_at(p, -1) = '' THEN slice(p, 1, size(p) - 1) ELSE p END)[0]"
+# One line before to two lines after; a secret is masked here as well; file-level findings have none.
+WITH_SNIPPET = f"""transform(_found, h -> named_struct('rule_no', h.rule_no, 'line', h.line, 'seq', h.seq, 'matches', h.matches,
+  'evidence', h.evidence, 'snippet', CASE WHEN h.rule_no IN ({RATE_NO}, {RATE_AUTH_NO}) THEN NULL
+    WHEN h.secret IS NULL THEN array_join(slice(_lines, greatest(h.line - 1, 1), least(4, h.line + 2)), '\n')
+    ELSE replace(array_join(slice(_lines, greatest(h.line - 1, 1), least(4, h.line + 2)), '\n'), h.secret, {mask_sql('h.secret')}) END))"""
+
+
 def with_hits(masked: DataFrame, rules: tuple[R.Rule, ...]) -> DataFrame:
-    """Add ``hits``: one struct per rule that fired, with its snippet, in catalogue order."""
-    made = [_rate_hit(r) if r.family == "rate_limit" else _regex_hit(r) for r in rules if r.pattern or r.family == "rate_limit"]
-    syntax = [r for r in rules if r.family in ("injection_ast", "auth_ast")]
+    """Add ``hits``: one struct per rule that fired, with its snippet; regex rules in catalogue order, then tree rules."""
+    rules = tuple(sorted(rules, key=lambda r: R.RULE_NO[r.rule_id]))
+    textual = [_hit(r) for r in rules if r.pattern or r.family == "rate_limit"]
     out = masked
-    if made:
-        out = out.withColumn("_found", F.array_compact(F.array(*made)))
-        out = out.withColumn("_lines", F.when(F.size("_found") > 0, source_lines(F.col("content"))))
-
-        def cut(h: Column) -> Column:
-            text = snippet(F.col("_lines"), h["line"])
-            shown = F.when(h["secret"].isNull(), text).otherwise(F.replace(text, h["secret"], mask_secret(h["secret"])))
-            no_snippet = h["rule_no"].isin(R.RULE_NO[R.RATE_LIMIT.rule_id], R.RULE_NO[R.RATE_LIMIT_AUTH.rule_id])
-            return F.struct(h["rule_no"].alias("rule_no"), h["line"].alias("line"), h["seq"].alias("seq"),
-                            h["matches"].alias("matches"), h["evidence"].alias("evidence"),
-                            F.when(~no_snippet, shown).alias("snippet"))
-
-        out = out.withColumn("hits", F.transform("_found", cut))
+    if textual:
+        out = out.select("*", F.expr(f"array_compact(array({', '.join(textual)})) AS _found"))
+        out = out.select("*", F.expr(f"CASE WHEN size(_found) > 0 THEN {SOURCE_LINES} END AS _lines"))
+        out = out.select("*", F.expr(f"{WITH_SNIPPET} AS hits"))
+    syntax = [R.RULE_NO[r.rule_id] for r in rules if r.family in ("injection_ast", "auth_ast")]
     if syntax:
-        out = out.withColumn("_candidate", candidate_text(F.col("path"), F.col("content")))
-        found, is_py = syntax_hits(F.col("_candidate"), F.col("path"))
-        out = out.withColumn("_tree", found)
-        wanted = [R.RULE_NO[r.rule_id] for r in syntax]
-        handler_no = R.RULE_NO[R.PY_BARE_EXCEPT.rule_id]
-        kept = F.filter(F.coalesce("_tree", F.array().cast("array<struct<rule_no:int,line:int,seq:int>>")),
-                        lambda h: h["rule_no"].isin(*wanted) & (is_py | (h["rule_no"] == handler_no)))
+        out = out.select("*", candidate_text(F.col("path"), F.col("content")).alias("_candidate"))
+        found, is_python = syntax_hits(F.col("_candidate"), F.col("path"))
+        out = out.select("*", found.alias("_tree"), is_python.alias("_is_python"))
+        handler = R.RULE_NO[R.PY_BARE_EXCEPT.rule_id]
+        wanted = ", ".join(str(n) for n in syntax)
+        evidence = "CASE h.rule_no " + " ".join(
+            f"WHEN {R.RULE_NO[k]} THEN concat({quoted(v)}, h.line)" for k, v in R.SYNTAX_EVIDENCE.items()) + " END"
+
+        def part(test: str) -> str:
+            return (
+                f"transform(filter(coalesce(_tree, array()), h -> h.rule_no IN ({wanted}) AND {test}), h -> named_struct("
+                f"'rule_no', h.rule_no, 'line', h.line, 'seq', h.seq, 'matches', 1, 'evidence', {evidence}, 'snippet', CAST(NULL AS STRING)))"
+            )
+
         # Calls and assertions are reported before handlers, each in walk order.
-        kept = F.concat(F.filter(kept, lambda h: h["rule_no"] != handler_no), F.filter(kept, lambda h: h["rule_no"] == handler_no))
-        tree = F.transform(kept, lambda h: F.struct(
-            h["rule_no"].alias("rule_no"), h["line"].alias("line"), h["seq"].alias("seq"), F.lit(1).alias("matches"),
-            F.concat(rule_facts(h["rule_no"])["evidence"], h["line"].cast("string")).alias("evidence"),
-            F.lit(None).cast("string").alias("snippet")))
-        out = out.withColumn("hits", F.concat("hits", tree) if made else tree)
+        tree = f"concat({part(f'_is_python AND h.rule_no != {handler}')}, {part(f'h.rule_no = {handler}')})"
+        out = out.withColumn("hits", F.expr(f"concat(hits, {tree})" if textual else tree))
     return out
 
 

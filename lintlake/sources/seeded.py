@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintlake.functions.sqltext import quoted
+
 # What is appended to "src/<source>/<doc_id>"; the entry is doc_id modulo the length of the list.
 SUFFIXES = (
     ".py", ".py", ".py", ".py", ".py", ".py", ".py", ".py", ".py", ".py",
@@ -101,7 +103,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _pick(values: tuple, index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), index.cast("int") + 1)
+    return F.element_at(F.expr(f"array({', '.join(quoted(v) for v in values)})"), index.cast("int") + 1)
 
 
 def documents_as_files(docs: DataFrame) -> DataFrame:

@@ -31,8 +31,9 @@ def _admit_fn(ttl: int):
         expires = valid // 1000 + 1
         if expires > state.getCurrentWatermarkMs():
             state.setTimeoutTimestamp(expires)
-        yield pd.DataFrame({"repo_url": key[0], "commit_sha": key[1], "request_id": ids[admitted],
-                            "ts": pd.to_datetime(us[admitted], unit="us")})
+        if admitted:
+            yield pd.DataFrame({"repo_url": key[0], "commit_sha": key[1], "request_id": ids[admitted],
+                                "ts": pd.to_datetime(us[admitted], unit="us")})
 
     return admit
 
