@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 # Python's str patterns use Unicode character classes. These spell them out, so that every engine
 # (Java here, RE2 in the check) means the same characters.
 WORD = r"[\p{L}\p{N}_]"
@@ -37,9 +39,13 @@ def folded(pattern: str) -> str:
     return java(pattern.removeprefix("(?i)").lower())
 
 
-def folded_any(patterns: tuple[str, ...]) -> str:
-    """One alternation for 'does any of these occur in this lower-case text'; "." stops at \\n."""
-    return "(?md)(?:" + "|".join(folded(p) for p in patterns) + ")"
+def leading_literal(pattern: str) -> str:
+    """The plain text a pattern starts with."""
+    plain = re.match(r"(?:[^\\.^$*+?{}\[\]|()]|\\[^\w])*", pattern).group()
+    follow = pattern[len(plain):len(plain) + 1]
+    if follow in ("*", "?", "{"):  # the last character may be absent
+        plain = plain[:-2] if plain[-2:-1] == "\\" else plain[:-1]
+    return re.sub(r"\\(.)", r"\1", plain)
 
 
 def re2(pattern: str) -> str:

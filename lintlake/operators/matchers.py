@@ -79,8 +79,8 @@ class QuotedNestedRepeat(Matcher):
     enough to look between them for a repeated group or three repeated words in a row."""
 
     GROUP = DOTALL + r"\A[^(]*+\([^+*]*+[+*].*\)[+*]"
-    # Three words each followed by a sign; anchored on the first sign, which is rarer than a letter.
-    WORDS = rf"{DOTALL}(?<={WORD})[+*]{WORD}++[+*]{WORD}++[+*]"
+    # Three words each followed by a sign. The search starts at a sign, which is rarer than a letter.
+    WORDS = rf"{DOTALL}[+*](?<={WORD}.){WORD}++[+*]{WORD}++[+*]"
     INSIDE = f"regexp_extract(content, {quoted(DOTALL + '''["'](.*)["']''')}, 1)"
 
     def hit(self) -> str:

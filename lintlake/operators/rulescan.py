@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake import rules as R
-from lintlake.functions.regex import LINE_END, LINEWISE, RARE_LINE_END, folded_any, java
+from lintlake.functions.regex import LINE_END, LINEWISE, RARE_LINE_END, folded, java, leading_literal
 from lintlake.functions.sqltext import any_contains, in_list, quoted
 from lintlake.functions.text import rule_language, syntax_extension
 from lintlake.operators.matchers import matcher
@@ -44,12 +44,20 @@ def mask_sql(secret: str) -> str:
     return f"CASE WHEN length({secret}) <= 8 THEN '****' ELSE concat(left({secret}, 4), '****', right({secret}, 4)) END"
 
 
-# Routes and no sign of a limiter; the substrings keep most files away from the patterns.
-RATE_LIMIT_MISSING = (
-    any_contains("_lowered", ("app.", "router.", "blueprint.", "path", "url"))
-    + f" AND rlike(_lowered, {quoted(folded_any(R.ROUTE_PATTERNS))}) AND NOT rlike(_lowered, {quoted(folded_any(R.LIMITER_PATTERNS))})"
-)
-HAS_LOGIN_ROUTE = f"rlike(_lowered, {quoted(folded_any(R.AUTH_ENDPOINT_PATTERNS))})"
+def occurs_any(patterns: tuple[str, ...]) -> str:
+    """Does one of these case-insensitive patterns occur? Each is tried only where its leading text does:
+    that is much faster than one long alternation."""
+    tests = []
+    for p in patterns:
+        start = leading_literal(p).lower()
+        found = f"rlike(_lowered, {quoted('(?md)' + folded(p))})"
+        tests.append(f"(contains(_lowered, {quoted(start)}) AND {found})" if start else found)
+    return "(" + " OR ".join(tests) + ")"
+
+
+# Routes and no sign of a limiter.
+RATE_LIMIT_MISSING = f"{occurs_any(R.ROUTE_PATTERNS)} AND NOT {occurs_any(R.LIMITER_PATTERNS)}"
+HAS_LOGIN_ROUTE = occurs_any(R.AUTH_ENDPOINT_PATTERNS)
 
 # Line of the first route *pattern in list order* that occurs, which need not be the earliest line.
 FIRST_ROUTE_LINE = "CASE " + " ".join(

@@ -104,7 +104,7 @@ INJECTION_RULES = (
         "Operating-system command call",
         "A shell or process-replacing call is used; any outside input in its argument runs as a command.",
         "Start programs with an argument list and no shell.",
-        needs=(("os.system", "os.popen", "os.exec"),), languages=PY,
+        needs=(("os.",), ("os.system", "os.popen", "os.exec")), languages=PY,
     ),
     Rule(
         "SUBPROCESS_SHELL_TRUE", "injection",
@@ -215,7 +215,7 @@ AUTH_RULES = (
         "Weak digest in use",
         "MD5 or SHA-1 is used; harmless for checksums, unsafe for anything secret.",
         "Move to SHA-256 or, for passwords, to a password hash.",
-        needs=(("hashlib.md5", "hashlib.sha1"),),
+        needs=(("hashlib.",),),
     ),
     Rule(
         "JWT_NO_EXPIRY", "auth",
@@ -224,7 +224,7 @@ AUTH_RULES = (
         "JWT call to check for an expiry claim",
         "A token is created or read here; without an expiry claim it stays valid for ever.",
         "Set and verify an expiry claim.",
-        needs=(("jwt.encode", "jwt.decode"), (")",)),
+        needs=(("jwt.",), (")",)),
     ),
     Rule(
         "JWT_NONE_ALGORITHM", "auth",
@@ -260,7 +260,7 @@ AUTH_RULES = (
         "Administrator password in source",
         "A privileged account's password appears as a literal.",
         "Read it from a secret store and rotate it.",
-        needs=(("password", "passwd", "pwd"), ("admin", "root", "superuser"), ('"', "'")),
+        needs=(("passw", "pwd"), ("admin", "root", "superuser"), ('"', "'")),
         shape="closed_by_quote",
     ),
     Rule(
@@ -279,7 +279,7 @@ AUTH_RULES = (
         "Secret written to a log",
         "A log or print call is close to the name of a secret.",
         "Leave the value out or mask it first.",
-        needs=(("password", "passwd", "token", "secret", "key"), ("log", "print")),
+        needs=(("passw", "token", "secret", "key"), ("log", "print")),
     ),
     Rule(
         "MASS_ASSIGNMENT_DICT", "auth",
@@ -288,7 +288,7 @@ AUTH_RULES = (
         "Request body unpacked into a call",
         "Every field of a request body is passed on, including those a caller should not set.",
         "Copy only the expected fields.",
-        needs=(("**req", "**body", "**data", "**payload"),),
+        needs=(("**",),),
     ),
 )
 
@@ -390,7 +390,7 @@ SECRET_RULES = (
          r'(?i)(?:api_key|apikey|secret|token|password|passwd)\s*[=:]\s*["\']([A-Za-z0-9_\-/+=.]{8,})["\']',
          "secret_exposure", "high",
          "Credential literal", "A name for a credential is assigned a literal.", "Read the value from the environment.",
-         needs=(("api_key", "apikey", "secret", "token", "password", "passwd"), ('"', "'"))),
+         needs=(('"', "'"), ("api_key", "apikey", "secret", "token", "passw"))),
 )
 
 # Rules without a regex of their own: the checks are in operators.rulescan and operators.pysyntax.
