@@ -25,8 +25,8 @@ JOB = ("scan_job_id",)
 # Limits small enough to bite on the test tables.
 SMALL_KB, SMALL_TREE_CAP, SMALL_SCAN_CAP = 2, 30, 10
 
-# Rules whose results SQL can state as well: all regex rules but one, and the rate-limit check.
-SQL_RULES = tuple(r for r in R.REGEX_RULES if r.rule_id != "SSRF_REQUESTS") + (R.RATE_LIMIT, R.RATE_LIMIT_AUTH)
+# All rules but the secret rules and the three that need a syntax tree.
+SQL_RULES = R.REGEX_RULES + (R.RATE_LIMIT, R.RATE_LIMIT_AUTH)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -141,7 +141,7 @@ def _scan(rules: tuple[R.Rule, ...]):
 
 @query
 def injection_findings(spark, sf_dir):
-    return _scan(tuple(r for r in R.INJECTION_RULES if r.rule_id != "SSRF_REQUESTS"))(spark, sf_dir)
+    return _scan(R.INJECTION_RULES)(spark, sf_dir)
 
 
 @query

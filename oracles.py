@@ -82,12 +82,16 @@ AI_GATE = "(" + " OR ".join(f"contains(lower(content), {q(w)})" for w in R.AI_GA
 AI_SCORE_GATE = "(" + " OR ".join(f"contains(lower(content), {q(w)})" for w in R.AI_SCORE_WORDS) + ")"
 
 
+def pattern_of(rule: R.Rule) -> str:
+    return ssrf_pattern() if rule.rule_id == "SSRF_REQUESTS" else re2(rule.pattern)
+
+
 def occurs(rule: R.Rule) -> str:
-    return f"regexp_matches(content, {q('(?s)' + re2(rule.pattern))})"
+    return f"regexp_matches(content, {q('(?s)' + pattern_of(rule))})"
 
 
 def regex_rows(rule: R.Rule) -> str:
-    rx = re2(rule.pattern)
+    rx = pattern_of(rule)
     gate = f" AND {AI_GATE}" if rule.family == "ai" else ""
     n = f"len(regexp_extract_all(content, {q('(?s)' + rx)}))" if rule.family in ("injection", "auth") else "1"
     found = f"regexp_extract(content, {q('(?s)' + rx)}, 1)" if rule.family == "secret" else "NULL"
@@ -155,14 +159,21 @@ SELECT repo_url, path AS file_path, CAST(n AS INTEGER) AS line_start, CAST(n AS
 FROM hit JOIN fact USING (rule_id)"""
 
 
-def ssrf_rows() -> str:
-    """The rule with a negative look-ahead, without one. After "(" either blanks follow (then the
-    look-ahead can be tested before the last of them and never fails) or the next characters are not a
-    quoted http address."""
-    head = r"requests\.(?:get|post|put|delete|head)\s*\("
-    space = re2(r"\s")
-    start = rf"{head}(?:{space}|[^'\"]|['\"](?:[^h]|h[^t]|ht[^t]|htt[^p]))"
-    return start
+def ssrf_pattern() -> str:
+    """The rule with a negative look-ahead, for an engine without one, in the same order of preference.
+
+    With all blanks after "(" skipped, the next text is not a quoted http address: it starts with another
+    character, or with a quote and then less of "http" than all. Or else the last blank is left to the free part,
+    where the look-ahead sees the blank and passes.
+    """
+    blank = re2(r"\s")
+    word = r"(?:request\.|req\.|params|query|url|endpoint)"
+    after_htt = r"(?:request\.|req\.|query|url|endpoint)"
+    quoted = "|".join([
+        rf"(?:[^,)h][^,)]{{0,78}}{word}|{word})", rf"h(?:[^,)t][^,)]{{0,77}}{word}|{word})", rf"ht(?:[^,)t][^,)]{{0,76}}{word}|{word})",
+        rf"htt(?:[^,)p][^,)]{{0,75}}{word}|{after_htt})"])
+    plain = rf"""[^,)'"{blank[1:-1]}][^,)]{{0,79}}{word}|{word}"""
+    return (rf"requests\.(?:get|post|put|delete|head){blank}*\((?:{blank}*(?:{plain}|['\"](?:{quoted}))|{blank}*{blank}[^,)]{{0,79}}{word})")
 
 
 # --- scores -------------------------------------------------------------------------------------
@@ -353,7 +364,8 @@ SELECT page_id, CAST(form AS INTEGER) AS form, repo_url, CASE WHEN len(parts) >=
     out["decode_contents"] = f"WITH {FILES} SELECT path, CAST(length(content) AS INTEGER) AS chars, sha256(content) AS sha FROM tree WHERE content IS NOT NULL"
     out["language_tags"] = f"""WITH {FILES} SELECT path, name, selection_ext, rule_ext, syntax_ext, rule_lang, report_lang,
   'scan:' || sha256(repo_url || ':' || commit_sha) AS cache_key FROM named"""
-    out["injection_findings"] = scan([r for r in R.INJECTION_RULES if r.rule_id != "SSRF_REQUESTS"])
+    out["injection_findings"] = scan(R.INJECTION_RULES)
+    out["ssrf_requests_findings"] = scan(R.by_id("SSRF_REQUESTS"))
     out["auth_findings"] = scan(R.AUTH_RULES)
     out["ai_findings"] = scan(R.AI_RULES)
     out["rate_limit_findings"] = scan([R.RATE_LIMIT, R.RATE_LIMIT_AUTH])
