@@ -14,7 +14,8 @@ from lintlake.operators import jobs as J
 from lintlake.operators import responses as RE
 from lintlake.operators import rulescan, score
 from lintlake.operators.replay import replay
-from lintlake.session import prepare, written
+from lintlake.plans import audit
+from lintlake.session import prepare
 from lintlake.sources import files, repourl, seeded
 from lintlake.streaming import admission, runs, status
 from lintlake.streaming import scan as stream_scan_op
@@ -333,13 +334,8 @@ def scan_summary(spark, sf_dir):
 @query
 def scan_report(spark, sf_dir):
     """Files to report: scan, deduplicate and rank once, store, then assemble the pages of each repository."""
-    tree = seeded.repo_files(spark, sf_dir)
-    counts = files.tree_counts(tree)
-    final = FI.ranked(FI.deduplicate(rulescan.scan_rules(_scannable(spark, sf_dir), SQL_RULES), REPO), REPO)
-    stored = written(final, "final")
-    summaries = FI.summary(counts, stored, REPO)
-    fields = ("file_path", "line_start", "category", "severity", "confidence", "title", "detected_by")
-    pages = FI.report_pages(summaries, stored, REPO, fields)
+    tree = _documents(spark, sf_dir).unionByName(seeded.folders(spark, sf_dir))
+    pages = audit.report(tree, audit.final_findings(tree, rules=SQL_RULES))
     return pages.select(
         "repo_url", "commit_sha", "total_files", "files_scanned", "risk_score", "n_findings", "page", "pages",
         F.to_json("severity_counts").alias("severity_counts"), F.to_json("category_counts").alias("category_counts"),

@@ -60,11 +60,11 @@ def decode_content(encoded: Column) -> Column:
     return F.make_valid_utf8(F.unbase64(encoded).cast("string"))
 
 
-def scannable(tree: DataFrame, max_kb: float = MAX_FILE_KB) -> DataFrame:
-    """Blobs with a wanted extension or name, not too large. Only metadata columns are looked at."""
+def is_scannable(max_kb: float = MAX_FILE_KB) -> Column:
+    """A blob with a wanted extension or name, not too large. Only metadata columns are looked at."""
     path = F.col("path")
     name = basename(path)
-    return tree.filter(
+    return (
         (F.col("type") == "blob")
         & ~name.isin(*SKIPPED_NAMES)
         & (F.coalesce(F.col("size"), F.lit(0)) / 1024 <= max_kb)
@@ -72,6 +72,10 @@ def scannable(tree: DataFrame, max_kb: float = MAX_FILE_KB) -> DataFrame:
     )
 
 
+def scannable(tree: DataFrame, max_kb: float = MAX_FILE_KB) -> DataFrame:
+    return tree.filter(is_scannable(max_kb))
+
+
 def first_files(files: DataFrame, cap: int, salts: int = 32) -> DataFrame:
     """The first ``cap`` files of each repository in tree order.
 
@@ -93,11 +97,9 @@ def first_files(files: DataFrame, cap: int, salts: int = 32) -> DataFrame:
 def tree_counts(tree: DataFrame, max_kb: float = MAX_FILE_KB, tree_cap: int = TREE_CAP, scan_cap: int = SCAN_CAP) -> DataFrame:
     """Per repository: entries in the tree, files reported as scanned (after the first cap only, as
     the service reports it) and files whose contents are really read (after the second cap)."""
-    is_kept = scannable(tree.select(*REPO_KEY, "type", "path", "size"), max_kb).groupBy(*REPO_KEY).agg(F.count("*").alias("_k"))
-    totals = tree.groupBy(*REPO_KEY).agg(F.count("*").alias("total_files"))
-    kept = F.coalesce(F.col("_k"), F.lit(0))
-    return totals.join(is_kept, list(REPO_KEY), "left").select(
-        *REPO_KEY, "total_files",
+    kept = F.count_if(is_scannable(max_kb))
+    return tree.groupBy(*REPO_KEY).agg(
+        F.count("*").alias("total_files"),
         F.least(kept, F.lit(tree_cap)).alias("files_scanned"),
         F.least(kept, F.lit(min(tree_cap, scan_cap))).alias("files_read"),
     )

@@ -132,11 +132,10 @@ def documents_as_files(docs: DataFrame) -> DataFrame:
     )
 
 
-def repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The file table: one file per document, and one directory entry per repository and language."""
-    docs = table(spark, sf_dir, "documents")
+def folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One directory entry per repository and language."""
     source = F.col("source")
-    folders = docs.select("source", "lang").distinct().select(
+    return table(spark, sf_dir, "documents").select("source", "lang").distinct().select(
         F.concat(F.lit("https://github.com/org/"), source).alias("repo_url"),
         F.left(F.sha2(source, 256), F.lit(40)).alias("commit_sha"),
         F.lit(0).cast("bigint").alias("ordinal"),
@@ -146,7 +145,11 @@ def repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("sha"),
         F.lit(None).cast("string").alias("content"),
     )
-    return documents_as_files(docs).unionByName(folders)
+
+
+def repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file table: one file per document, and the directory entries."""
+    return documents_as_files(table(spark, sf_dir, "documents")).unionByName(folders(spark, sf_dir))
 
 
 # --- findings, jobs, users, requests -----------------------------------------------------------

@@ -120,3 +120,21 @@ def test_store_replaces_what_a_job_found_before(spark, tmp_path):
     assert left.filter("scan_job_id = 'hot'").count() == 0
     assert left.count() == df.filter("scan_job_id != 'hot'").count()
     assert left.filter(F.col("id").isNull()).count() == 0
+
+
+def test_audit_end_to_end(spark):
+    from lintlake.plans import audit
+    from lintlake.sources import files as S
+
+    rows = [("r1", "c", 1, "blob", "a.py", 30, "s", "DEBUG = True\nverify=False"), ("r1", "c", 2, "tree", "src", None, None, None),
+            ("r1", "c", 3, "blob", "b.png", 5, "s", "DEBUG = True"), ("r2", "c", 1, "blob", "x.js", 5, "s", "x")]
+    tree = spark.createDataFrame(rows, S.REPO_FILES_SCHEMA)
+    said = '{"findings":[{"title":"dup","category":"debug_exposure","severity":"critical","line_start":1},{"title":"new","category":"redos","severity":"critical","confidence":0.9}]}'
+    responses = spark.createDataFrame([("r1", "c", "a.py", "llm_groq", said)],
+                                      "repo_url string, commit_sha string, file_path string, model_used string, response_text string")
+    final = audit.final_findings(audit.chosen_files(tree, tree_cap=S.TREE_CAP, scan_cap=S.SCAN_CAP), responses)
+    ranked = [(r["rank_in_job"], r["title"], r["detected_by"]) for r in final.orderBy("rank_in_job").collect()]
+    assert ranked == [(1, "new", "llm_groq"), (2, "Debug switch is on", "regex"), (3, "TLS certificate check turned off", "regex")]
+    pages = {r["repo_url"]: r for r in audit.report(tree, final).collect()}
+    assert (pages["r1"]["total_files"], pages["r1"]["files_scanned"], pages["r1"]["risk_score"]) == (3, 1, 20)
+    assert (pages["r2"]["total_files"], pages["r2"]["risk_score"], pages["r2"]["findings"]) == (1, 0, None)
