@@ -1,8 +1,8 @@
 """Work along an order without putting a whole group into one task.
 
 A ranking window over a large group runs in one task. Here rows are range-partitioned by
-(group, order), so a hot group is spread over many partitions; each partition numbers its own rows,
-and only one small row per (group, partition) is combined to find the offsets.
+(group, order), so a hot group is spread over many partitions; rows are numbered as they lie, and only
+one small row per (group, chunk of rows) is combined to find the offsets.
 """
 
 from __future__ import annotations
@@ -12,21 +12,19 @@ from pyspark.sql import functions as F
 
 from lintlake.session import written
 
-POSITION_BITS = 33  # monotonically_increasing_id: partition number above, row number below
+# A chunk is a run of at most 2**CHUNK_BITS neighbouring rows of one partition, so that work on one chunk
+# is bounded whatever the partitions' sizes. (monotonically_increasing_id: partition above, row number below.)
+CHUNK_BITS = 20
 
 
 def sorted_chunks(df: DataFrame, keys: tuple[str, ...], order: list[Column], name: str) -> DataFrame:
-    """``df`` in (keys, order) order, stored, with ``chunk`` (partition) and ``pos`` (row in it)."""
+    """``df`` in (keys, order) order, stored, with ``chunk`` and ``pos``, both increasing along the order."""
     by = [F.asc(k) for k in keys] + order
     placed = (
         df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id())
     )
     stored = written(placed, name)
-    return (
-        stored.withColumn("chunk", F.shiftright("_id", POSITION_BITS).cast("int"))
-        .withColumn("pos", F.col("_id").bitwiseAND(F.lit((1 << POSITION_BITS) - 1)))
-        .drop("_id")
-    )
+    return stored.withColumn("chunk", F.shiftright("_id", CHUNK_BITS)).withColumnRenamed("_id", "pos")
 
 
 def rank_within(df: DataFrame, keys: tuple[str, ...], order: list[Column], out: str) -> DataFrame:

@@ -10,9 +10,11 @@ flagged in parallel.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.operators.ordered import sorted_chunks
+from lintlake.operators.ordered import carry_last, sorted_chunks
+from lintlake.session import written
 
 REPO_KEY = ("repo_url", "commit_sha")
+CHAINED_STEPS = 2_000_000  # steps of one repository that one task may chain
 
 
 def _summary_fn(ttl: int):
@@ -80,20 +82,57 @@ def _flag_fn(ttl: int):
     return flag
 
 
+def _pointer_misses(log: DataFrame, ttl: int) -> DataFrame:
+    """Misses (repository, us) of repositories too dense to chain, by pointer doubling.
+
+    Each moment with requests points to the first one a TTL later. Following the pointers from the first
+    moment gives the misses; squaring the pointers each round needs a logarithmic number of rounds, all of
+    them joins on (repository, moment), where no key is hot.
+    """
+    moments = log.select(*REPO_KEY, "us").distinct()
+    own = F.struct(F.col("us").alias("at"))
+    both = moments.select(*REPO_KEY, F.col("us").alias("t"), F.lit(0).alias("kind"), own.alias("seen"), F.lit(None).cast("bigint").alias("us")).unionByName(
+        moments.select(*REPO_KEY, (F.col("us") + ttl).alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("struct<at:bigint>").alias("seen"), "us"))
+    # Backwards in time, the last request seen before a probe is the first one not earlier than it.
+    chunks = sorted_chunks(both, REPO_KEY, [F.desc("t"), F.asc("kind"), F.desc("us")], "replay-next")
+    jump = carry_last(chunks, REPO_KEY, "seen", "next").filter("kind = 1 AND next IS NOT NULL").select(*REPO_KEY, "us", F.col("next.at").alias("to"))
+    jump = written(jump, "replay-jump")
+    reached = written(moments.groupBy(*REPO_KEY).agg(F.min("us").alias("us")), "replay-reached")
+    while not jump.isEmpty():
+        further = reached.join(jump, [*REPO_KEY, "us"]).select(*REPO_KEY, F.col("to").alias("us"))
+        reached = written(reached.unionByName(further), "replay-reached")
+        step = jump.select(*REPO_KEY, F.col("us").alias("to"), F.col("to").alias("_to"))
+        jump = written(jump.join(step, [*REPO_KEY, "to"]).select(*REPO_KEY, "us", F.col("_to").alias("to")), "replay-jump")
+    return reached
+
+
 def replay(requests: DataFrame, ttl_seconds: int) -> DataFrame:
     """``requests`` with ``cached``. A scan is taken to finish at once.
 
-    Groups are (repository, chunk): at most one partition of the sorted log, however hot a repository is.
+    Tasks work on (repository, chunk), which is bounded however hot a repository is. What is chained per
+    repository are the steps of its chunks' functions; where even these are too many (a repository asked for
+    millions of times within one TTL), pointer doubling takes over.
     """
     ttl = ttl_seconds * 1_000_000
     log = requests.select(*REPO_KEY, "request_id", "ts", F.unix_micros("ts").alias("us"))
     chunks = sorted_chunks(log, REPO_KEY, [F.asc("ts"), F.asc("request_id")], "replay")
     key = "repo_url string, commit_sha string"
-    # Only repositories that reach over a chunk border need chaining: one per border at most.
+    out = f"{key}, request_id bigint, ts timestamp, cached boolean"
+    # Only repositories that reach over a chunk border need chaining.
     spread = chunks.groupBy(*REPO_KEY).agg(F.min("chunk").alias("_a"), F.max("chunk").alias("_b")).filter("_a < _b").select(*REPO_KEY)
-    steps = chunks.join(spread, list(REPO_KEY), "left_semi").groupBy(*REPO_KEY, "chunk").applyInPandas(
-        _summary_fn(ttl), f"{key}, chunk int, until bigint, leave bigint")
-    entries = steps.groupBy(*REPO_KEY).applyInPandas(_chain_fn(), f"{key}, chunk int, valid bigint")
+    steps = written(
+        chunks.join(spread, list(REPO_KEY), "left_semi").groupBy(*REPO_KEY, "chunk").applyInPandas(
+            _summary_fn(ttl), f"{key}, chunk bigint, until bigint, leave bigint"), "replay-steps")
+    dense = steps.groupBy(*REPO_KEY).count().filter(F.col("count") > CHAINED_STEPS).select(*REPO_KEY)
+    entries = steps.join(dense, list(REPO_KEY), "left_anti").groupBy(*REPO_KEY).applyInPandas(
+        _chain_fn(), f"{key}, chunk bigint, valid bigint")
     known = chunks.join(entries, [*REPO_KEY, "chunk"], "left").withColumn("valid", F.coalesce("valid", F.lit(-(1 << 62))))
-    return known.groupBy(*REPO_KEY, "chunk").applyInPandas(
-        _flag_fn(ttl), f"{key}, request_id bigint, ts timestamp, cached boolean")
+    if dense.isEmpty():
+        return known.groupBy(*REPO_KEY, "chunk").applyInPandas(_flag_fn(ttl), out)
+    chained = known.join(dense, list(REPO_KEY), "left_anti").groupBy(*REPO_KEY, "chunk").applyInPandas(_flag_fn(ttl), out)
+    hot = chunks.join(dense, list(REPO_KEY), "left_semi")
+    # Of several requests at the moment of a miss, the first one is the miss.
+    first = hot.groupBy(*REPO_KEY, "us").agg(F.min("request_id").alias("request_id"))
+    miss = _pointer_misses(hot, ttl).join(first, [*REPO_KEY, "us"]).select(*REPO_KEY, "us", "request_id", F.lit(False).alias("_hit"))
+    marked = hot.join(miss, [*REPO_KEY, "us", "request_id"], "left")
+    return chained.unionByName(marked.select(*REPO_KEY, "request_id", "ts", F.coalesce("_hit", F.lit(True)).alias("cached")))

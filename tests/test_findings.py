@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from lintlake.operators import findings as FI
+from lintlake.operators import ordered
 from lintlake.operators import responses as RE
 from lintlake.rules import SEVERITIES
 from lintlake.sources import sink
@@ -38,7 +39,8 @@ def test_first_detected_wins_whatever_the_order(spark):
         assert {r["det_ordinal"] for r in FI.deduplicate(df.repartition(parts), JOB).collect()} == want
 
 
-def test_rank_is_a_stable_sort_even_for_a_hot_job(spark):
+def test_rank_is_a_stable_sort_even_for_a_hot_job(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "CHUNK_BITS", 6)
     rows, df = make(spark)
     got = {(r["scan_job_id"], r["rank_in_job"]): r["det_ordinal"] for r in FI.ranked(df, JOB).collect()}
     order = {s: i for i, s in enumerate(SEVERITIES)}

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lintlake.operators import jobs as J
+from lintlake.operators import ordered
 from lintlake.operators import replay as RP
 from lintlake.operators.ordered import carry_last, sorted_chunks
 from lintlake.streaming import admission, status
@@ -37,15 +38,13 @@ def decide(rows, ttl):
     return hits
 
 
-@pytest.mark.parametrize("ttl", [1, 7, 600, 3600, 100_000])
-def test_replay_like_a_loop(spark, ttl):
+@pytest.mark.parametrize("ttl, steps", [(7, 10**6), (600, 10**6), (3600, 40), (100_000, 10**6), (600, 0)])
+def test_replay_like_a_loop(spark, monkeypatch, ttl, steps):
+    monkeypatch.setattr(ordered, "CHUNK_BITS", 5)  # many chunks, so that they must be chained
+    monkeypatch.setattr(RP, "CHAINED_STEPS", steps)  # few allowed steps: hot repositories go by pointers
     rows = log(1500) + [("gap", "c", at(t), 10_000 + t) for t in (0, ttl - 1, ttl, 3 * ttl, 3 * ttl + 1)]
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # many chunks, so that they must be chained
-    try:
-        df = spark.createDataFrame(rows, REQ).repartition(5)
-        got = {r["request_id"]: r["cached"] for r in RP.replay(df, ttl).collect()}
-    finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    df = spark.createDataFrame(rows, REQ).repartition(5)
+    got = {r["request_id"]: r["cached"] for r in RP.replay(df, ttl).collect()}
     assert got == decide(rows, ttl)
 
 
@@ -89,7 +88,8 @@ def test_cache_boundaries_and_brute_force(spark):
     assert todo == {r[3] for r in requests} - set(want)
 
 
-def test_carry_last_over_chunks(spark):
+def test_carry_last_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "CHUNK_BITS", 4)
     rnd = random.Random(4)
     rows = [("a" if rnd.random() < 0.8 else "b", i, rnd.choice([None, None, i])) for i in range(2000)]
     df = spark.createDataFrame(rows, "k string, i int, v int").repartition(6)
