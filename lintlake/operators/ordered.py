@@ -14,7 +14,7 @@ from lintlake.session import written
 
 # A chunk is a run of at most 2**CHUNK_BITS neighbouring rows of one partition, so that work on one chunk
 # is bounded whatever the partitions' sizes. (monotonically_increasing_id: partition above, row number below.)
-CHUNK_BITS = 20
+CHUNK_BITS = 18
 
 
 def sorted_chunks(df: DataFrame, keys: tuple[str, ...], order: list[Column], name: str) -> DataFrame:

@@ -67,16 +67,19 @@ def _chain_fn():
 
 def _flag_fn(ttl: int):
     def flag(pdf):
-        """Mark the hits of one chunk, jumping from miss to miss."""
+        """Mark the hits of one chunk, repository by repository, jumping from miss to miss."""
         import numpy as np
 
         pdf = pdf.sort_values("pos")
-        ts = pdf["us"].to_numpy(dtype="int64")
+        ts, valid = pdf["us"].to_numpy(dtype="int64"), pdf["valid"].to_numpy(dtype="int64")
+        repo, sha = pdf["repo_url"].to_numpy(), pdf["commit_sha"].to_numpy()
+        borders = np.flatnonzero((repo[1:] != repo[:-1]) | (sha[1:] != sha[:-1])) + 1
         hit = np.ones(len(ts), dtype=bool)
-        at = int(np.searchsorted(ts, pdf["valid"].iloc[0], side="left"))
-        while at < len(ts):
-            hit[at] = False
-            at = int(np.searchsorted(ts, ts[at] + ttl, side="left"))
+        for start, end in zip([0, *borders], [*borders, len(ts)]):
+            at = start + int(np.searchsorted(ts[start:end], valid[start], side="left"))
+            while at < end:
+                hit[at] = False
+                at += int(np.searchsorted(ts[at:end], ts[at] + ttl, side="left"))
         return pdf[["repo_url", "commit_sha", "request_id", "ts"]].assign(cached=hit)
 
     return flag
@@ -109,7 +112,7 @@ def _pointer_misses(log: DataFrame, ttl: int) -> DataFrame:
 def replay(requests: DataFrame, ttl_seconds: int) -> DataFrame:
     """``requests`` with ``cached``. A scan is taken to finish at once.
 
-    Tasks work on (repository, chunk), which is bounded however hot a repository is. What is chained per
+    Tasks work on chunks of the sorted log, bounded however hot a repository is. What is chained per
     repository are the steps of its chunks' functions; where even these are too many (a repository asked for
     millions of times within one TTL), pointer doubling takes over.
     """
@@ -128,8 +131,8 @@ def replay(requests: DataFrame, ttl_seconds: int) -> DataFrame:
         _chain_fn(), f"{key}, chunk bigint, valid bigint")
     known = chunks.join(entries, [*REPO_KEY, "chunk"], "left").withColumn("valid", F.coalesce("valid", F.lit(-(1 << 62))))
     if dense.isEmpty():
-        return known.groupBy(*REPO_KEY, "chunk").applyInPandas(_flag_fn(ttl), out)
-    chained = known.join(dense, list(REPO_KEY), "left_anti").groupBy(*REPO_KEY, "chunk").applyInPandas(_flag_fn(ttl), out)
+        return known.groupBy("chunk").applyInPandas(_flag_fn(ttl), out)
+    chained = known.join(dense, list(REPO_KEY), "left_anti").groupBy("chunk").applyInPandas(_flag_fn(ttl), out)
     hot = chunks.join(dense, list(REPO_KEY), "left_semi")
     # Of several requests at the moment of a miss, the first one is the miss.
     first = hot.groupBy(*REPO_KEY, "us").agg(F.min("request_id").alias("request_id"))

@@ -40,14 +40,8 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return run
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Use all cores when a small input arrives as fewer partitions than there are; a large one stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seeded.documents_as_files(_spread(seeded.table(spark, sf_dir, "documents")))
+    return seeded.documents_as_files(seeded.spread(seeded.table(spark, sf_dir, "documents")))
 
 
 def _scannable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,7 +257,7 @@ def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, parts in enumerate(forms):
         made = F.concat(*parts)
         body = F.when(n == i, made) if body is None else body.when(n == i, made)
-    return seeded.table(spark, sf_dir, "documents").select(
+    return seeded.spread(seeded.table(spark, sf_dir, "documents")).select(
         F.concat(F.lit("job-"), F.col("source")).alias("job_id"),
         F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file_path"),
         F.lit("llm_groq").alias("model_used"),

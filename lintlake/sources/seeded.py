@@ -102,6 +102,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores when a small table arrives as fewer partitions than there are; a large one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _pick(values: tuple, index: Column) -> Column:
     return F.element_at(F.expr(f"array({', '.join(quoted(v) for v in values)})"), index.cast("int") + 1)
 
@@ -165,7 +171,8 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` as stored findings of scan jobs (job = order). Line 0 and no line at all both occur,
     and several findings share a place, so deduplication has work to do."""
     part, line = F.col("l_partkey"), F.col("l_linenumber")
-    return table(spark, sf_dir, "lineitem").select(
+    columns = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    return spread(table(spark, sf_dir, "lineitem").select(*columns)).select(
         F.concat(F.lit("job-"), F.col("l_orderkey").cast("string")).alias("scan_job_id"),
         F.concat(F.lit("src/m"), (part % 2).cast("string"), F.lit(".py")).alias("file_path"),
         F.when(line % 4 == 3, F.lit(None)).otherwise(line % 4).cast("int").alias("line_start"),
