@@ -420,7 +420,7 @@ SELECT f.scan_job_id, repo_name, commit_sha, status, total_files, scanned_files,
 WHERE EXISTS (SELECT 1 FROM caller c WHERE c.job_id = j.id AND c.caller_id = j.user_id)"""
     out["user_findings"] = f"""{STORED}
 SELECT u.id, u.username, count(DISTINCT j.id) AS n_jobs, count(DISTINCT f.scan_job_id) AS n_jobs_with_findings, count(f.id) AS n_findings,
-  count_if(f.severity = 'critical') AS n_critical
+  count(*) FILTER (WHERE f.severity = 'critical') AS n_critical
 FROM (SELECT 'user-' || c_custkey AS id, c_name AS username FROM customer) u LEFT JOIN job j ON j.user_id = u.id LEFT JOIN finding f ON f.scan_job_id = j.id GROUP BY ALL"""
     out["users_upsert"] = """WITH u AS (SELECT 'user-' || c_custkey AS id, c_custkey::VARCHAR AS github_id, c_name AS username,
     CASE WHEN c_custkey % 3 <> 0 THEN c_custkey || '@example.org' END AS email, 'https://img.example.org/' || c_custkey AS avatar_url FROM customer),
