@@ -4,7 +4,6 @@ import re
 
 import pytest
 from conftest import SMALL
-from pyspark.sql import functions as F
 
 from lintlake import rules as R
 from lintlake.operators import findings as FI
