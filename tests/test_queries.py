@@ -7,10 +7,11 @@ import pytest
 from conftest import CHECK, SMALL, TABLES
 
 import __spark_entry__ as entry_points
+import oracles
 from lintlake import rules as R
 from lintlake.plans.catalogue import QUERIES, SQL_RULES
 
-ORACLES = entry_points.oracle_sql()
+ORACLES = oracles.build()
 # Small tables hold too few files for language-bound rules; these run on the larger set.
 AT_CHECK_SCALE = {"injection_findings", "rule_hit_counts", "python_syntax_findings", "request_replay"}
 
