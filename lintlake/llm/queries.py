@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import bpe
+from lintlake.llm import bpe, lang_id
 from lintlake.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,16 @@ def ranks_path() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+@query
+def op9_language_id(spark, sf_dir):
+    """Predict the language of every text; learn from four of five folds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = lang_id.held_out(F.col("doc_id"))
+    model = lang_id.fit(docs.filter(~held))
+    rows = docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "text")
+    return lang_id.predict(rows, model)
+
+
 @query
 def op10_byte_level_bpe(spark, sf_dir):
     """Encode every text, decode the ids, and return counts and digests."""
