@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.llm import bpe, exact_dedup, lang_id
+from lintlake.llm import quality_votes as quality
 from lintlake.llm.text import table
+from lintlake.session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +41,18 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY t)"""
 
 
+@query
+def op8_quality_rules(spark, sf_dir):
+    """Base measures and the verdict of weakly supervised rules, per document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    measured = written(docs.select("doc_id", quality.measures(F.col("text")).alias("m")), "quality-measures")
+    voted = measured.select(*[v.alias(c) for v, c in zip(quality.votes(F.col("m")), quality.VOTES, strict=True)])
+    params = quality.fit(voted, quality.VOTES)
+    out = measured.select("*", quality.verdict(F.col("m"), params).alias("v"))
+    return out.select("doc_id", *[f"m.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+                      "v.base_failed", "v.kept", F.round("v.quality", 6).alias("quality"))
+
+
 @query
 def op9_language_id(spark, sf_dir):
     """Predict the language of every text; learn from four of five folds."""
