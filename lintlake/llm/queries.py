@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import bpe, exact_dedup, lang_id
+from lintlake.llm import bpe, exact_dedup, lang_id, ngram_join
 from lintlake.llm import quality_votes as quality
 from lintlake.llm.text import table
 from lintlake.session import written
@@ -27,6 +27,13 @@ def ranks_path() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+@query
+def op1_ngram_jaccard_join(spark, sf_dir):
+    """Components of documents with Jaccard >= 0.9 on 3-word shingles."""
+    found = ngram_join.similar(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, percent=90)
+    return found.select(F.col("id").alias("doc_id"), F.col("n_elements").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 @query
 def op4_exact_dedup(spark, sf_dir):
     """Equal texts (but for the case of A-Z): one row per document, the largest doc_id stays."""
