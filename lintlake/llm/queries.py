@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import bpe, exact_dedup, lang_id, ngram_join
+from lintlake.llm import bpe, exact_dedup, lang_id, ngram_join, source_mix
 from lintlake.llm import quality_votes as quality
 from lintlake.llm.text import table
 from lintlake.session import written
@@ -48,6 +48,13 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY t)"""
 
 
+@query
+def op5_source_mix(spark, sf_dir):
+    """How many words of each document a mix of all sources takes; sources weigh 5, 2, 1 in turn."""
+    found = source_mix.report(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 @query
 def op8_quality_rules(spark, sf_dir):
     """Base measures and the verdict of weakly supervised rules, per document."""
