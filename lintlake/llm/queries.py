@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import bpe, chat_format, exact_dedup, lang_id, ngram_join, source_mix
+from lintlake.llm import bpe, chat_format, exact_dedup, lang_id, license_scan, ngram_join, pii_feistel, source_mix
 from lintlake.llm import quality_votes as quality
 from lintlake.llm.text import table
 from lintlake.session import written
@@ -34,6 +34,34 @@ def op1_ngram_jaccard_join(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), F.col("n_elements").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+@query
+def op2_license_scan(spark, sf_dir):
+    """Licences found in each document: how many lines or paragraphs match a template, and the best match."""
+    found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    ranked = F.transform("licences", lambda m: F.struct(m["dice"].alias("dice"), (-m["unit"]).alias("place"), m["licence"].alias("licence")))
+    out = found.select("doc_id", F.size("licences").cast("bigint").alias("n_matches"), F.array_max(ranked).alias("best"))
+    return out.select("doc_id", "n_matches", F.round("best.dice", 6).alias("dice"), F.col("best.licence").alias("licence"), (-F.col("best.place")).cast("bigint").alias("unit"))
+
+
+def _license_sql() -> str:
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    known = ", ".join(f"({quoted(name)}, [{', '.join(map(quoted, license_scan.template_bigrams(text)))}])" for name, text in license_scan.TEMPLATES)
+    return f"""
+WITH t(licence, b) AS (VALUES {known}),
+u AS (SELECT doc_id, unnest(a) AS s, generate_subscripts(a, 1) - 1 AS unit FROM (
+  SELECT doc_id, list_concat(string_split(coalesce(text, ''), chr(10)),
+    list_filter(regexp_split_to_array(coalesce(text, ''), '\n[ \t]*\n'), lambda p: contains(trim(p, ' '), chr(10)))) AS a FROM documents)),
+w AS (SELECT doc_id, unit, string_split(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'), ' '), ' ') AS w FROM u),
+g AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS a FROM w WHERE len(w) > 1),
+m AS (SELECT doc_id, unit, licence, 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice FROM g JOIN t ON 3 * len(a) >= 2 * len(b) AND 2 * len(a) <= 3 * len(b)),
+best AS (SELECT doc_id, unit, dice, licence FROM m WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, licence) = 1),
+d AS (SELECT doc_id, count(*) AS n, max(row(dice, -unit, licence)) AS x FROM best GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_matches, round(x[1], 6) AS dice, x[3] AS licence, -x[2] AS unit FROM documents LEFT JOIN d USING (doc_id)"""
+
+
+ORACLES["op2_license_scan"] = _license_sql()
+
+
 @query
 def op4_exact_dedup(spark, sf_dir):
     """Equal texts (but for the case of A-Z): one row per document, the largest doc_id stays."""
@@ -70,6 +98,13 @@ def op6_chat_formatting(spark, sf_dir):
         F.length("f.text").cast("bigint").alias("formatted_chars"))
 
 
+@query
+def op7_pii_pseudonyms(spark, sf_dir):
+    """Every text with its personal numbers, dates and addresses replaced by pseudonyms of the same format."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii_feistel.apply(docs, key="a key for the test tables")
+
+
 @query
 def op8_quality_rules(spark, sf_dir):
     """Base measures and the verdict of weakly supervised rules, per document."""
