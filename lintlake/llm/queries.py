@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import bpe, chat_format, exact_dedup, lang_id, license_scan, ngram_join, pii_feistel, source_mix
+from lintlake.llm import bpe, chat_format, exact_dedup, lang_id, license_scan, lm_mixing, ngram_join, pii_feistel, source_mix
 from lintlake.llm import quality_votes as quality
 from lintlake.llm.text import table
 from lintlake.session import written
@@ -62,6 +62,12 @@ SELECT doc_id, coalesce(n, 0) AS n_matches, round(x[1], 6) AS dice, x[3] AS lice
 ORACLES["op2_license_scan"] = _license_sql()
 
 
+@query
+def op3_lm_scoring(spark, sf_dir):
+    """Unigram and context-mixing scores of every text; six of seven folds are learned from."""
+    return lm_mixing.scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op4_exact_dedup(spark, sf_dir):
     """Equal texts (but for the case of A-Z): one row per document, the largest doc_id stays."""
