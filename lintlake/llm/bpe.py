@@ -39,8 +39,8 @@ _WS = r"\p{IsWhite_Space}"
 PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|{_WS}+(?![^{_WS}])|{_WS}+"
 
 # Pre-tokens handled by one round of NumPy calls, and remembered misses per worker: bounds on memory only.
-SLICE_TOKENS = 400_000
-MEMO_SIZE = 400_000
+SLICE_TOKENS = 100_000
+MEMO_SIZE = 150_000
 
 NO_MATCH = -1
 
@@ -256,6 +256,16 @@ def _one_run(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
 
 
+def _few(batch: pa.RecordBatch, name: str) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose lists hold some SLICE_TOKENS values, or of one row that holds more."""
+    rows = _one_run(batch.column(batch.schema.get_field_index(name)))
+    begin = 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(rows, rows[begin] + SLICE_TOKENS, "right")) - 1)
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def encode(df: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with ``text`` replaced by ``ids``, an array of vocabulary ids. ``ranks_path`` is read on the driver."""
     shared, key = df.sparkSession.sparkContext.broadcast(load(ranks_path)), uuid.uuid4().hex
@@ -269,7 +279,7 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids")
             tokens, vocabulary = shared.value
             _worker[key] = Encoder(vocabulary, tokens)
         encoder = _worker[key]
-        for batch in batches:
+        for batch in (part for whole in batches for part in _few(whole, pre)):
             lists = batch.column(batch.schema.get_field_index(pre))
             rows, values = _one_run(lists), lists.values
             bounds = np.frombuffer(values.buffers()[1], np.int32)[values.offset + rows[0]:values.offset + rows[-1] + 1] \
@@ -291,7 +301,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in _few(whole, ids)):
             lists = batch.column(batch.schema.get_field_index(ids))
             rows = _one_run(lists)
             flat = lists.values.to_numpy(zero_copy_only=False)[rows[0]:rows[-1]].astype(np.int64)
