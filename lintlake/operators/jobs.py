@@ -115,8 +115,8 @@ def latest_status(events: DataFrame) -> DataFrame:
 
 
 def visible_status(events: DataFrame, as_of: Column, ttl_seconds: int = STATUS_TTL_SECONDS) -> DataFrame:
-    """``latest_status`` with ``visible``: false once the record has outlived its time."""
-    return latest_status(events).withColumn("visible", (F.unix_micros(as_of) - F.unix_micros("ts")) < ttl_seconds * 1_000_000)
+    """``latest_status`` of the records there were at ``as_of``, with ``visible``: false once the record has outlived its time."""
+    return latest_status(events.filter(F.col("ts") <= as_of)).withColumn("visible", (F.unix_micros(as_of) - F.unix_micros("ts")) < ttl_seconds * 1_000_000)
 
 
 def delete_status(statuses: DataFrame, deleted: DataFrame) -> DataFrame:

@@ -210,11 +210,12 @@ def scan_rules(files: DataFrame, rules: tuple[R.Rule, ...] = SCAN_RULES, keys: t
 
 
 def with_rule_texts(findings: DataFrame) -> DataFrame:
-    """Attach description and fix, which depend on the rule only. Done last, so that shuffles stay narrow."""
+    """Attach description and fix of the rule, done last, so that shuffles stay narrow. Texts that a finding has (a reviewer's) stay."""
     numbers = F.from_json(F.lit(json.dumps(R.RULE_NO)), "map<string,int>")
+    own = lambda c, of: F.coalesce(c, of) if c in findings.columns else F.col(of)
     return (
         findings.withColumn("_t", rule_facts(F.element_at(numbers, F.col("rule_id"))))
-        .withColumn("description", F.col("_t.description")).withColumn("fix_suggestion", F.col("_t.fix")).drop("_t")
+        .withColumn("description", own("description", "_t.description")).withColumn("fix_suggestion", own("fix_suggestion", "_t.fix")).drop("_t")
     )
 
 
@@ -227,7 +228,8 @@ def scan_distinct(files: DataFrame, rules: tuple[R.Rule, ...] = SCAN_RULES, keys
     its few findings; AQE splits the other.
     """
     language, extension = rule_language(F.col("path")), syntax_extension(F.col("path"))
-    meta = files.filter(F.col("content").isNotNull()).select(*keys, "path", "sha", language.alias("_lang"), extension.alias("_ext"))
+    sha = F.coalesce("sha", F.sha2("content", 256)).alias("sha")
+    meta = files.filter(F.col("content").isNotNull()).select(*keys, "path", sha, language.alias("_lang"), extension.alias("_ext"))
     # The handler rule looks at another extension than the language; contents differ by both.
     meta = meta.withColumn("_ext", F.when(F.col("_ext") == "py", F.col("_ext")).otherwise(F.lit("")))
     group = ("sha", "_lang", "_ext")

@@ -23,17 +23,18 @@ def chosen_files(tree: DataFrame, max_kb: float = S.MAX_FILE_KB, tree_cap: int |
 
 def final_findings(files: DataFrame, responses: DataFrame | None = None, rules: tuple[R.Rule, ...] = R.ALL_RULES,
                    keys: tuple[str, ...] = S.REPO_KEY) -> DataFrame:
-    """Ranked final findings of scannable files, stored once so that findings and report share one scan.
+    """Ranked final findings of the given files (see ``chosen_files``), stored once so that findings and report share one scan.
 
     ``responses`` has (keys..., file_path, model_used, response_text).
     """
-    found = rulescan.scan_rules(S.scannable(files), rules, keys)
+    found = rulescan.scan_rules(files, rules, keys)
     if responses is not None:
-        review = RE.normalised(responses, keys).drop("description", "fix_suggestion")
-        found = FI.merge(found, review)
+        # What a reviewer wrote stays with the finding; rule findings get their texts from the catalogue last.
+        found = FI.merge(found, RE.normalised(responses, keys))
     return written(FI.ranked(FI.deduplicate(found, keys), keys), "final")
 
 
-def report(tree: DataFrame, final: DataFrame, fields: tuple[str, ...] = REPORT_FIELDS, page_rows: int = FI.PAGE_ROWS) -> DataFrame:
-    """Report pages per repository; ``scanned_at`` is for the caller to add, so that a report can be reproduced."""
-    return FI.report_pages(FI.summary(S.tree_counts(tree), final, S.REPO_KEY), final, S.REPO_KEY, fields, page_rows)
+def report(tree: DataFrame, final: DataFrame, fields: tuple[str, ...] = REPORT_FIELDS, page_rows: int = FI.PAGE_ROWS,
+           max_kb: float = S.MAX_FILE_KB, tree_cap: int | None = None, scan_cap: int | None = None) -> DataFrame:
+    """Report pages per repository, counting files under the limits that ``chosen_files`` was given; ``scanned_at`` is for the caller to add, so that a report can be reproduced."""
+    return FI.report_pages(FI.summary(S.tree_counts(tree, max_kb, tree_cap, scan_cap), final, S.REPO_KEY), final, S.REPO_KEY, fields, page_rows)

@@ -329,7 +329,7 @@ def scan_summary(spark, sf_dir):
 def scan_report(spark, sf_dir):
     """Files to report: scan, deduplicate and rank once, store, then assemble the pages of each repository."""
     tree = _documents(spark, sf_dir).unionByName(seeded.folders(spark, sf_dir))
-    pages = audit.report(tree, audit.final_findings(tree, rules=SQL_RULES))
+    pages = audit.report(tree, audit.final_findings(audit.chosen_files(tree), rules=SQL_RULES))
     return pages.select(
         "repo_url", "commit_sha", "total_files", "files_scanned", "risk_score", "n_findings", "page", "pages",
         F.to_json("severity_counts").alias("severity_counts"), F.to_json("category_counts").alias("category_counts"),
@@ -352,8 +352,8 @@ def _callers(spark, sf_dir):
     """Every job is asked for by its owner, and every job by the owner of the next key as well."""
     o = seeded.table(spark, sf_dir, "orders")
     job = F.concat(F.lit("job-"), F.col("o_orderkey").cast("string")).alias("job_id")
-    return o.select(job, F.explode(F.array(F.col("o_custkey"), F.col("o_custkey") + 1)).alias("c")).filter(
-        (F.col("c") % 3) != 0).select("job_id", F.concat(F.lit("user-"), F.col("c").cast("string")).alias("caller_id"))
+    return o.select(job, F.explode(F.array(F.col("o_custkey"), F.col("o_custkey") + 1)).alias("c")).select(
+        "job_id", F.concat(F.lit("user-"), F.col("c").cast("string")).alias("caller_id"))
 
 
 @query

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings the results depend on (UTC) and the Arrow batch size that suits whole source files."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # Of a key that a JSON object repeats the last value counts.
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     # Files may be 500 KB each: a batch of 10 000 of them would not fit a Python worker.
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     return spark
@@ -21,6 +23,8 @@ def work_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lintlake-")
         sc.setCheckpointDir(found)
     return found

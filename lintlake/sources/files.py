@@ -94,12 +94,12 @@ def first_files(files: DataFrame, cap: int, salts: int = 32) -> DataFrame:
     )
 
 
-def tree_counts(tree: DataFrame, max_kb: float = MAX_FILE_KB, tree_cap: int = TREE_CAP, scan_cap: int = SCAN_CAP) -> DataFrame:
-    """Per repository: entries in the tree, files reported as scanned (after the first cap only, as
+def tree_counts(tree: DataFrame, max_kb: float = MAX_FILE_KB, tree_cap: int | None = TREE_CAP, scan_cap: int | None = SCAN_CAP) -> DataFrame:
+    """Per repository (a cap of None is none): entries in the tree, files reported as scanned (after the first cap only, as
     the service reports it) and files whose contents are really read (after the second cap)."""
     kept = F.count_if(is_scannable(max_kb))
     return tree.groupBy(*REPO_KEY).agg(
         F.count("*").alias("total_files"),
-        F.least(kept, F.lit(tree_cap)).alias("files_scanned"),
-        F.least(kept, F.lit(min(tree_cap, scan_cap))).alias("files_read"),
+        F.least(kept, F.lit(tree_cap).cast("bigint")).alias("files_scanned"),
+        F.least(kept, F.lit(tree_cap).cast("bigint"), F.lit(scan_cap).cast("bigint")).alias("files_read"),
     )

@@ -414,7 +414,7 @@ SELECT c.repo_url, c.commit_sha, total_files, files_scanned, risk_score, n_findi
 SELECT c.repo_url, c.commit_sha, total_files, files_scanned, {SUMMARY_COLUMNS} FROM counted c LEFT JOIN summed USING (repo_url)"""
     out["job_results"] = f"""{STORED}, caller AS (
   SELECT 'job-' || o_orderkey AS job_id, 'user-' || c AS caller_id FROM (
-    SELECT o_orderkey, o_custkey AS c FROM orders UNION ALL SELECT o_orderkey, o_custkey + 1 FROM orders) WHERE c % 3 <> 0)
+    SELECT o_orderkey, o_custkey AS c FROM orders UNION ALL SELECT o_orderkey, o_custkey + 1 FROM orders))
 SELECT f.scan_job_id, repo_name, commit_sha, status, total_files, scanned_files, f.id AS finding_id, file_path, line_start, line_end, category, severity,
   confidence, title, detected_by FROM job j JOIN finding f ON f.scan_job_id = j.id
 WHERE EXISTS (SELECT 1 FROM caller c WHERE c.job_id = j.id AND c.caller_id = j.user_id)"""
