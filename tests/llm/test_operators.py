@@ -208,19 +208,21 @@ def test_feistel_is_a_permutation(spark):
 def test_licences(spark, odd):
     rows = [(1, "x\nLicensed under the Apache License, Version 2.0.\ny"), (2, license_scan.TEMPLATES[3][1].replace(" ", "\n", 3)), (3, "no licence here"), (4, None)]
     got = {r["doc_id"]: [(m["unit"], m["licence"]) for m in r["licences"]] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1] == [(1, "Apache-2.0")] and got[3] == got[4] == [] and ("MIT" in {x for _, x in got[2]})
+    # The line, and the short paragraph around it, which is still similar enough.
+    assert got[1] == [(1, "Apache-2.0"), (3, "Apache-2.0")] and got[3] == got[4] == [] and ("MIT" in {x for _, x in got[2]})
     assert license_scan.scan(odd).count() == len(ODD)
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_same_as_sql(spark, name):
     import duckdb
+    import pandas as pd
 
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
     ours, theirs = queries.QUERIES[name](spark, folder).toPandas(), con.execute(queries.ORACLES[name]).df()
-    plain = lambda df: sorted(tuple(None if v != v or v is None else (float(v) if isinstance(v, (int, float)) else str(v)) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False, name=None))
+    plain = lambda df: list(tuple(None if pd.isna(v) else (float(v) if isinstance(v, (int, float)) else str(v)) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False, name=None))
     assert sorted(map(repr, plain(ours))) == sorted(map(repr, plain(theirs)))
 
 
