@@ -7,7 +7,8 @@ shuffle, so a digest that holds a third of all rows costs a task no more than an
 A digest seen twice is only a hit: the full normalised bytes of its rows are fetched by their locators and grouped by
 (digest, bytes). Digests under which different texts meet are dealt with by bytes alone.
 
-The locator is (file name, row number in the file), so repeated rows with one id are still told apart: one of them stays.
+The locator is (file path, row number in the file), so repeated rows with one id are still told apart: one of them stays.
+The whole path counts, as the files of partition folders share their base names.
 
 Edge cases: NULL text counts as empty text; all such rows are equal. A NULL id is the smallest. An empty table gives an
 empty result. Of rows that agree in text and id the one with the greatest locator stays. Other columns don't matter.
@@ -60,7 +61,7 @@ def located(docs: DataFrame) -> DataFrame:
     """``docs`` with ``_locator``. A frame that isn't read from files is written to the shared folder first."""
     def add(df: DataFrame) -> DataFrame:
         at = df.metadataColumn("_metadata")
-        return df.select("*", F.struct(at["file_name"].alias("file"), at["row_index"].alias("row")).alias("_locator"))
+        return df.select("*", F.struct(at["file_path"].alias("file"), at["row_index"].alias("row")).alias("_locator"))
 
     try:
         return add(docs)

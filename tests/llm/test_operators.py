@@ -70,6 +70,19 @@ def test_state_goes_on(spark, tmp_path):
     assert [(r["stay"]["id"], r["n"]) for r in exact_dedup.read_state(spark, str(tmp_path / "state")).collect()] == [(3, 3)]
 
 
+def test_exact_dedup_of_a_partitioned_table(spark, tmp_path):
+    """The files of partition folders share their base names."""
+    rows = [(i, f"text {i // 2}", f"l{i % 2}") for i in range(12)] + [(100 + i, f"only l{i % 2} {i}", f"l{i % 2}") for i in range(6)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.partitionBy("lang").parquet(path)
+    docs = spark.read.parquet(path)
+    assert len({f.rsplit("/", 1)[1] for f in docs.inputFiles()}) == 1 < len(docs.inputFiles())
+    got = exact_dedup.dedup(docs).collect()
+    want = [(i, i | 1, 2, i % 2 == 1) for i in range(12)] + [(100 + i, 100 + i, 1, True) for i in range(6)]
+    assert sorted((r["id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == want
+    assert sorted(r["doc_id"] for r in exact_dedup.survivors(docs).collect()) == [w[0] for w in want if w[3]]
+
+
 def components(rows, n, percent):
     sets, parent = [], {}
     for i, t in rows:
