@@ -72,12 +72,16 @@ _TURN = "array<struct<role:string,text:string>>"
 
 
 def field_paths(record: Column) -> Column:
-    """The sorted paths of all named fields, lists of objects included to a depth of two."""
+    """The sorted paths of all named fields, lists of objects included to a depth of two.
+
+    Lists are read off the record itself, never off the text of a string: an answer may be JSON."""
     names = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
 
     def below(name: Column) -> Column:
+        # NULL unless the value itself is a list that has something in it.
+        listed = F.call_function("get_json_object", record, F.concat(F.lit("$['"), name, F.lit("'][*]"))).isNotNull()
         value = F.element_at(F.from_json(record, "map<string,string>"), name)
-        items = F.from_json(value, "array<map<string,string>>")
+        items = F.when(listed, F.from_json(value, "array<map<string,string>>"))
         return F.concat(F.array(name), F.transform(F.array_distinct(F.flatten(F.transform(F.coalesce(F.filter(items, lambda m: m.isNotNull()), F.array().cast("array<map<string,string>>")), F.map_keys))), lambda k: F.concat(name, F.lit("[]."), k)))
 
     return F.array_sort(F.flatten(F.transform(names, below)))

@@ -97,6 +97,9 @@ def op6_chat_formatting(spark, sf_dir):
     extra = spark.createDataFrame([(-7, 0, "user", hostile), (-7, 1, "assistant", hostile)], "conv_id long, turn long, role string, text string")
     turns = chat_format.canonical(chat_format.records_from_turns(rows.unionByName(extra)))
     out = written(turns.select("conv_id", "layout", chat_format.formatted(F.col("turns")).alias("f")), "chat-formatted")
+    lost = chat_format.unmatched(out).select("conv_id").limit(10).collect()
+    if lost:
+        raise ValueError(f"no layout fits these conversations (the first ten at most): {[r['conv_id'] for r in lost]}")
     back = out.select("conv_id", "f", chat_format.read_back(F.col("f.text"), F.col("f.loss")).alias("b"))
     return back.select(
         "conv_id", F.size("b.turns").cast("bigint").alias("n_turns"), chat_format.digest(F.col("b.turns")).alias("turns_sha256"),

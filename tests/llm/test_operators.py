@@ -198,6 +198,24 @@ def test_chat_round_trip(spark):
     assert [r["layout"] for r in mapped.collect()] == [0, 3, None, None, None] and chat_format.unmatched(mapped).count() == 3
 
 
+def test_chat_texts_that_are_json(spark, tmp_path, monkeypatch):
+    texts = ['[{"city":"Paris"}]', '[{"city":"Paris"}] and more', '{"a":[{"b":1}]}', '["x"]', "[[{}]]", "[", '"quoted"', "7", "null", ""]
+    chats = [[(role, t) for role in roles] for t in texts for roles in (["user", "assistant"], ["system", "user", "assistant"], ["user", "assistant", "user"], ["assistant"])]
+    rows = [(i, n, role, t) for i, chat in enumerate(chats) for n, (role, t) in enumerate(chat)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    held = spark.read.parquet(str(tmp_path / "conversations.parquet"))
+    turns = chat_format.canonical(chat_format.records_from_turns(held))
+    assert {r["conv_id"]: r["turns"] for r in turns.collect()} == dict(enumerate(chats))
+    got = {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in queries.op6_chat_formatting(spark, str(tmp_path)).collect() if r["conv_id"] >= 0}
+    assert got == {i: (len(c), sum(len(t) for role, t in c if role == "assistant")) for i, c in enumerate(chats)}
+    mixed = [(1, '{"messages":[{"role":"user","content":"[{}]"}],"id":"7"}'), (2, '{"messages":"[{\\"role\\":1,\\"content\\":2}]"}'), (3, '{"id":7,"messages":[{"role":"user"},{"content":"x"}]}')]
+    paths = spark.createDataFrame(mixed, "i long, record string").select(chat_format.field_paths(F.col("record")).alias("p")).collect()
+    assert [r["p"] for r in paths] == [["id", "messages", "messages[].content", "messages[].role"], ["messages"], ["id", "messages", "messages[].content", "messages[].role"]]
+    monkeypatch.setattr(chat_format, "records_from_turns", lambda df: df.select("conv_id", F.lit('{"foo":1}').alias("record")))
+    with pytest.raises(ValueError, match="no layout fits"):
+        queries.op6_chat_formatting(spark, str(tmp_path))
+
+
 def test_pseudonyms(spark):
     texts = ["a tom.72@mail8.example.com, +1 (202) 555-1015; 4000 0389 8569 3383 x 12.27.139.170. 2021-02-28 12/31/1999 123-45-6789", "4000038985693383",
              "999.1.1.1 2021-02-30 1234567890123456", None, "", "é 🙂"]
