@@ -230,6 +230,30 @@ def test_pseudonyms(spark):
     assert form(rows[0]["text"]) == form(texts[0])
 
 
+def test_pseudonyms_of_other_formats(spark):
+    import datetime
+
+    phones = ["(202) 555-0143", "202-555-0143", "1-202-555-0143", "+1 202 555 0143", "202.555.0143", "+49 30 1234567", "+44 (0)20 7946 0958", "+33612345678"]
+    dates = ["31.12.2024", "31/12/2024", "1/2/2024", "2024/12/31", "1.2.2024", "31/1/2024", "29/02/2024", "2/29/2024", "29.2.2000", "12/5/1999"]
+    ibans = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR1420041010050500013M02606", "NO9386011117947"]
+    wrong = ["DE88 3704 0044 0532 0130 00", "32/13/2024", "30.02.2024", "29/02/2023", "2024/13/01", "2/29/2023", "1.2.2024.5", "+49 1234"]
+    values = phones + dates + ibans
+    texts = [f"a {v}, b" for v in values + wrong] + ["; ".join(values)]
+    out = pii_feistel.apply(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), "k").localCheckpoint()
+    rows = sorted(out.select("*", pii_feistel.pseudonymise(F.col("text"), "k", back=True)["text"].alias("back")).collect())
+    assert [r["back"] for r in rows] == texts
+    kinds = ["phone"] * len(phones) + ["date"] * len(dates) + ["iban"] * len(ibans)
+    assert rows[-1]["pii_kinds"] == kinds and [r["pii_kinds"] for r in rows[:-1]] == [[k] for k in kinds] + [[]] * len(wrong)
+    got = [r["text"][2:-3] for r in rows[:-1]]
+    assert got[len(values):] == wrong and all(a != b for a, b in zip(got, values)) and "; ".join(got[:len(values)]) == rows[-1]["text"]
+    assert len({re.sub("[^0-9]", "", p)[-10:] for p in got[:5]}) == 1 and got[5].startswith("+49 ") and got[7].startswith("+33")
+    for v, form in zip(got[len(phones):], ("%d.%m.%Y", "%d/%m/%Y", "%m/%d/%Y", "%Y/%m/%d", "%d.%m.%Y", "%d/%m/%Y", "%d/%m/%Y", "%m/%d/%Y", "%d.%m.%Y", "%m/%d/%Y")):
+        datetime.datetime.strptime(v, form)
+    for v in got[-len(wrong) - len(ibans):-len(wrong)]:
+        v = v.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+
+
 def test_feistel_is_a_permutation(spark):
     n = spark.range(898 * 9)
     one = lambda v: F.lit(v).cast("bigint")
