@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lintlake.functions.scoring import severity_rank, severity_weight
 from lintlake.operators.ordered import first_per_group, rank_within
-from lintlake.rules import CATEGORIES, SEVERITIES
+from lintlake.rules import SEVERITIES
 
 PAGE_ROWS = 500
 
@@ -56,18 +56,18 @@ def risk_scores(jobs: DataFrame, findings: DataFrame, keys: tuple[str, ...]) ->
 
 
 def summary(jobs: DataFrame, findings: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Everything a report states about a job besides the findings themselves, in one aggregation that
-    combines before its shuffle: the categories are a fixed set, so each has a counter of its own."""
-    names = sorted(CATEGORIES)
-    per_job = findings.groupBy(*keys).agg(
-        *_severity_columns(),
-        F.sum(severity_weight(F.col("severity"))).alias("_raw"),
-        F.count("*").alias("n_findings"),
-        *[F.count_if(F.col("category") == c).alias(f"_in_{c}") for c in names],
+    """Everything a report states about a job besides the findings themselves. Findings are counted by (job, category) before
+    anything is put together, so any category counts (NULL as the empty name) and a task holds one row per category."""
+    named = findings.withColumn("_category", F.coalesce("category", F.lit("")))
+    per_category = named.groupBy(*keys, "_category").agg(
+        *_severity_columns(), F.sum(severity_weight(F.col("severity"))).alias("_raw"), F.count("*").alias("_n"))
+    per_job = per_category.groupBy(*keys).agg(
+        *[F.sum(f"{s}_count").alias(f"{s}_count") for s in SEVERITIES],
+        F.sum("_raw").alias("_raw"),
+        F.sum("_n").alias("n_findings"),
+        F.array_sort(F.collect_list(F.struct("_category", "_n"))).alias("_categories"),
     )
-    present = F.map_filter(
-        F.map_from_arrays(F.array(*[F.lit(c) for c in names]), F.array(*[F.coalesce(f"_in_{c}", F.lit(0)) for c in names])),
-        lambda _, n: n > 0)
+    present = F.coalesce(F.map_from_entries("_categories"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>")))
     zero = [F.coalesce(f"{s}_count", F.lit(0)) for s in SEVERITIES]
     counts = F.map_from_arrays(F.array(*[F.lit(s) for s in SEVERITIES]), F.array(*zero))
     return jobs.join(per_job, list(keys), "left").select(

@@ -280,7 +280,7 @@ def merged_findings(spark, sf_dir):
             F.concat(F.lit('{"findings":[{"title":"seen","category":"crypto_failure","severity":"low","line_start":1},'
                            '{"title":"size","category":"input_validation","severity":"info","line_start":'),
                      F.col("size").cast("string"), F.lit("}]}")).alias("response_text")), REPO)
-    both = FI.deduplicate(FI.merge(found, review.drop("description", "fix_suggestion")), REPO)
+    both = FI.deduplicate(FI.merge(found, review), REPO)
     return both.select("repo_url", "file_path", "line_start", "category", "severity", "title", "detected_by", "rule_id", "det_ordinal")
 
 

@@ -140,3 +140,19 @@ def test_audit_end_to_end(spark):
     pages = {r["repo_url"]: r for r in audit.report(tree, final).collect()}
     assert (pages["r1"]["total_files"], pages["r1"]["files_scanned"], pages["r1"]["risk_score"]) == (3, 1, 20)
     assert (pages["r2"]["total_files"], pages["r2"]["risk_score"], pages["r2"]["findings"]) == (1, 0, None)
+
+
+def test_summary_counts_categories_of_any_name(spark):
+    df = spark.createDataFrame([("a", "f", 1, c, "low", 0.5, "t", "R", i) for i, c in enumerate(["ssrf", "of our own", "of our own", None])], SCHEMA)
+    jobs = spark.createDataFrame([("a",), ("b",)], "scan_job_id string")
+    got = {r["scan_job_id"]: (r["n_findings"], r["category_counts"]) for r in FI.summary(jobs, df, JOB).collect()}
+    assert got == {"a": (4, {"ssrf": 1, "of our own": 2, "": 1}), "b": (0, {})}
+
+
+def test_merged_findings_keep_the_reviewers_texts(spark, monkeypatch):
+    from lintlake.plans import catalogue
+
+    seen, plain = [], FI.deduplicate
+    monkeypatch.setattr(FI, "deduplicate", lambda df, *a: seen.append(df.columns) or plain(df, *a))
+    catalogue.QUERIES["merged_findings"](spark, "/root/testdata/sf0.001")
+    assert {"description", "fix_suggestion"} <= set(seen[0])
