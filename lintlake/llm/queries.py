@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import bpe, chat_format, exact_dedup, lang_id, license_scan, lm_mixing, ngram_join, pii_feistel, source_mix
+from lintlake.llm import bpe, chat_format, exact_dedup, lang_id, license_scan, lm_mixing, ngram_join, pii_feistel, resampling, source_audit, source_mix, top_k
 from lintlake.llm import quality_votes as quality
 from lintlake.llm.text import table
 from lintlake.session import written
@@ -144,3 +144,77 @@ def op10_byte_level_bpe(spark, sf_dir):
     coded = coded.withColumn("ids_sha256", bpe.ids_digest(F.col("ids")))
     return bpe.decode(coded, ranks_path()).select(
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op11_source_divergence(spark, sf_dir):
+    """How the sources of each language differ, and the terms each uses more than its language does."""
+    return source_audit.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+ORACLES["op11_source_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+v AS (SELECT lang, term, count(*) AS c FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+vn AS (SELECT lang, count(*) AS v, sum(c) AS n FROM v GROUP BY 1),
+k AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN v USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(n, 0) AS n, coalesce(v, 0) AS v, coalesce(n_lang, 0) AS n_lang FROM (SELECT DISTINCT lang, source FROM d)
+  LEFT JOIN (SELECT lang, source, sum(c) AS n FROM k GROUP BY ALL) USING (lang, source) LEFT JOIN (SELECT lang, v, n AS n_lang FROM vn) USING (lang)),
+p AS (SELECT g.lang, g.source, v.term, coalesce(k.c, 0) AS c, 1 + (1000000000 * (coalesce(k.c, 0)::hugeint + 2)) // (g.n + 2 * g.v) AS p,
+    1 + (1000000000 * (v.c::hugeint + 2)) // (g.n_lang + 2 * g.v) AS q
+  FROM g JOIN v USING (lang) LEFT JOIN k USING (lang, source, term)),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+x AS (SELECT lang, source, 'pair' AS part, item, value FROM pair UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value::bigint AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::int AS rank
+FROM x QUALIFY part = 'pair' OR rank <= 10"""
+
+
+@query
+def op12_importance_resampling(spark, sf_dir):
+    """Draw a quarter of the documents, towards the distribution of the benchmark's texts."""
+    docs, target = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return resampling.resample(docs, target).withColumnRenamed("id", "doc_id")
+
+
+# DuckDB has no CRC-32: each distinct feature is folded over a table of 256 entries, made by the rule of the polynomial.
+ORACLES["op12_importance_resampling"] = r"""
+WITH RECURSIVE bits(i, k, c) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL
+  SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+texts AS (SELECT 'd' AS side, doc_id AS id, row_number() OVER () AS r, text FROM documents UNION ALL SELECT 'b', item_id, row_number() OVER (), text FROM benchmark),
+w AS (SELECT side, id, r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+f AS (SELECT side, id, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w),
+n AS MATERIALIZED (SELECT side, r, f, count(*) AS n FROM f GROUP BY ALL),
+h AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM n)),
+b AS MATERIALIZED (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(x) // 2), lambda i:
+    16 * (strpos('0123456789ABCDEF', substr(x, 2 * i + 1, 1)) - 1) + strpos('0123456789ABCDEF', substr(x, 2 * i + 2, 1)) - 1)),
+    lambda a, y: xor(a >> 8, t[(xor(a, y) & 255) + 1])), 4294967295) % 10000 AS bucket FROM h, crc),
+c AS (SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0)::double AS s, coalesce(sum(n) FILTER (side = 'b'), 0)::double AS t FROM n JOIN b USING (f) GROUP BY 1),
+a AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM c),
+g AS (SELECT bucket, floor(1000.0 * ln(((c.t + 1) * (a.s + 10000)) / ((c.s + 1) * (a.t + 10000))))::bigint AS gain FROM c, a),
+m AS (SELECT r, sum(n)::bigint AS n_features, sum(n * gain)::bigint AS total FROM n JOIN b USING (f) JOIN g USING (bucket) WHERE side = 'd' GROUP BY 1),
+z AS (SELECT id AS doc_id, w.r, len(w) AS n_words, coalesce(n_features, 0)::bigint AS n_features,
+    coalesce(CASE WHEN total < 0 THEN -((-total + n_features - 1) // n_features) ELSE total // n_features END, 0)::bigint AS weight,
+    floor(-1000.0 * ln(-ln((('0x' || substr(sha256('7:' || id), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint AS noise
+  FROM w LEFT JOIN m USING (r) WHERE side = 'd'),
+o AS (SELECT *, weight + noise AS score, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY weight + noise DESC, doc_id) AS place, count(*) FILTER (n_words >= 20) OVER () AS n FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * n // 100 THEN place END AS rank FROM o"""
+
+
+@query
+def op13_top_k_search(spark, sf_dir):
+    """The five best vectors by inner product for every row whose id is divisible by 50."""
+    found = top_k.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+    return found.withColumnRenamed("id", "vec_id")
+
+
+ORACLES["op13_top_k_search"] = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank, vec_id, score FROM s
+QUALIFY rank <= 5"""
