@@ -198,10 +198,12 @@ class Encoder:
         _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         lengths = ends - starts
         low, high = packed(buf, starts, lengths)
-        rep = first[back]
-        if not ((lengths == lengths[rep]) & (low == low[rep]) & (high == high[rep])).all():
+        rep, raw = first[back], buf.tobytes()
+        same = (lengths == lengths[rep]) & (low == low[rep]) & (high == high[rep])
+        longer = np.flatnonzero(same & (lengths > 16) & (rep != np.arange(len(rep))))
+        if not same.all() or any(raw[starts[i]:ends[i]] != raw[starts[rep[i]]:ends[rep[i]]] for i in longer.tolist()):
             first = back = np.arange(len(starts))  # two strings with one hash: take each by itself
-        raw, memo, ranks, found = buf.tobytes(), self.memo, self.ranks, []
+        memo, ranks, found = self.memo, self.ranks, []
         for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True):
             piece = raw[s:e]
             ids = memo.get(piece)
