@@ -43,14 +43,3 @@ def hash_slices(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-
-
-def word_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of anything but ASCII white space."""
-    blank = (buf == 32) | ((buf >= 9) & (buf <= 13))
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).astype(np.int8)))
-    return edge[0::2], edge[1::2]
-
-
-def lower_ascii(buf: np.ndarray) -> np.ndarray:
-    return np.where((buf >= 65) & (buf <= 90), buf + np.uint8(32), buf)

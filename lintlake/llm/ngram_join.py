@@ -13,9 +13,11 @@ ratio 1 / t. For a band, elements are hashed into m > H segments, so similar set
   allotted half the segments, each twice as large, and a set files what remains of each segment without one element
   as well: one of them differs by one element at most.
 * *Verification* is exact, on the n-grams themselves. Sets of a candidate group lie together once, in blocks of bounded
-  bytes; inverted lists give all overlaps of a block, or of two, and only one pair (id, smallest id of its component) per linked set leaves the task.
+  bytes; inverted lists give all overlaps of a block, or of two. One row per linked set leaves the task: its smallest partner of the component, and
+  how many documents it is linked with there.
 
-Equal sets are one set (a class). A signature shared by more than ``HOT`` classes is not expanded into pairs: its classes
+Documents with the same words in the same order are one set (a class, named by a cryptographic digest of the words); equal sets of other
+words or another order are found and verified like any pair. A signature shared by more than ``HOT`` classes is not expanded into pairs: its classes
 are joined to one of them, and the whole group is verified in blocks. No candidate is dropped either way.
 
 Edge cases: NULL, empty and blank texts have the empty set and link with nothing; with fewer than n words, the whole sequence
@@ -26,6 +28,7 @@ Threshold and comparison are integers (percent), so ties at the threshold are li
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.llm.components import components
-from lintlake.llm.hashing import hash_slices, lower_ascii, mix, word_bounds
+from lintlake.llm.hashing import mix
 from lintlake.session import written
 
 #: Classes of a signature that are still compared pair by pair before verification.
@@ -45,6 +48,8 @@ BLOCK_BYTES = 4 << 20
 #: Up to this many differences a band works with one-deletion neighbourhoods.
 DELETION_H = 3
 SLICE_BYTES = 1 << 20
+#: Word hashes kept in a worker.
+MEMO_WORDS = 500_000
 
 
 class Bands:
@@ -103,13 +108,23 @@ class Bands:
         return mix(whole ^ seed(np.arange(m))), 1
 
 
-def token_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
-    """The hashed n-grams of each text, sorted and distinct. Many texts at once share the array operations."""
-    sizes = np.array([len(t) + 1 for t in texts])
-    buf = lower_ascii(np.frombuffer(b"\n".join(texts) + b"\n", np.uint8))
-    starts, ends = word_bounds(buf)
-    words = hash_slices(buf, starts, ends)
-    first = np.searchsorted(starts, np.concatenate(([0], np.cumsum(sizes))))
+class _WordHashes(dict):
+    """64 bits of BLAKE2b of each word met, so that no family of words is known to collide."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return h
+
+
+_word_hashes = _WordHashes()
+
+
+def token_sets(words_of: list[list[bytes]], n: int) -> list[np.ndarray]:
+    """The hashed n-grams of each text, given as words, sorted and distinct. Many texts at once share the array operations."""
+    first = np.concatenate(([0], np.cumsum([len(w) for w in words_of])))
+    words = np.fromiter(map(_word_hashes.__getitem__, itertools.chain.from_iterable(words_of)), np.uint64, int(first[-1]))
     grams = words * np.uint64(0x9FB21C651E98DF25)
     for k in range(1, n):
         grams[:-k] = mix(grams[:-k]) + words[k:] * np.uint64(0x9FB21C651E98DF25 + 2 * k)
@@ -141,7 +156,7 @@ def _slices(texts: list[bytes]) -> Iterator[list[bytes]]:
 
 
 def sketches(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """(id, n_elements, class, filed): per document the size and digest of its set and its signatures, each with its role
+    """(id, n_elements, class, filed): per document the size of its set, the digest of its words and its signatures, each with its role
     (does it probe the band below?) and the agreement it asks for. Signatures are left out where the same set came
     earlier in the batch."""
     bands = Bands(percent)
@@ -152,9 +167,10 @@ def sketches(docs: DataFrame, key: str, text: str, n: int, percent: int) -> Data
         for batch in batches:
             sizes, classes, sigs, probes, needs, ends, seen = [], [], [], [], [], [0], set()
             for part in _slices(batch.column(1).to_pylist()):
-                for s in token_sets(part, n):
+                words_of = [t.lower().split() for t in part]
+                for w, s in zip(words_of, token_sets(words_of, n), strict=True):
                     sizes.append(len(s))
-                    name = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+                    name = hashlib.blake2b(b" ".join(w), digest_size=16).digest() if len(s) else None
                     classes.append(name)
                     total = ends[-1]
                     if len(s) and name not in seen:
@@ -236,12 +252,12 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush(out)
 
 
-def _links(rows: list[tuple], n: int, percent: int) -> list[tuple[int, int]]:
-    """The components of the sets of one block (or of links between two) as pairs (id, smallest id).
+def _links(rows: list[tuple], n: int, percent: int) -> list[tuple[int, int, int]]:
+    """The linked sets of one block (or with links between two): (id, smallest id of its component there, documents it is linked with).
 
-    rows: (side, id, text). With two sides only pairs across are compared; pairs within are another task's.
+    rows: (side, id, text, number of documents with this text). With two sides only pairs across are compared; pairs within are another task's.
     """
-    ids = [r[1] for r in rows]
+    ids, weight = [r[1] for r in rows], np.array([r[3] for r in rows])
     side = np.array([r[0] for r in rows])
     known: dict[bytes, int] = {}
     number = lambda g: known.setdefault(g, len(known))
@@ -256,14 +272,9 @@ def _links(rows: list[tuple], n: int, percent: int) -> list[tuple[int, int]]:
     order = np.argsort(flat, kind="stable")
     posted = owner[order]
     begins = np.searchsorted(flat[order], np.arange(len(known) + 1))
-    parent = list(range(len(ids)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    # Components as labels: two that meet are relabelled at once, the smaller part into the larger.
+    label, parts = np.arange(len(ids)), {i: [i] for i in range(len(ids))}
+    links = np.zeros(len(ids), np.int64)
     two = side.min() != side.max()
     for i, s in enumerate(sets):
         if two and side[i] == 1:
@@ -274,41 +285,43 @@ def _links(rows: list[tuple], n: int, percent: int) -> list[tuple[int, int]]:
         both = np.bincount(posted[at], minlength=len(ids))
         hit = 100 * both >= percent * (sizes + sizes[i] - both)
         hit &= (side == 1) if two else np.arange(len(ids)) > i
-        for j in np.flatnonzero(hit).tolist():
-            a, b = root(i), root(j)
+        met = np.flatnonzero(hit)
+        links[i] += weight[met].sum()
+        links[met] += weight[i]
+        for b in np.unique(label[met]).tolist():
+            a = int(label[i])
             if a != b:
-                low, high = (a, b) if ids[a] < ids[b] else (b, a)
-                parent[high] = low
-    return [(ids[i], ids[root(i)]) for i in range(len(ids)) if root(i) != i]
+                small, large = (a, b) if len(parts[a]) < len(parts[b]) else (b, a)
+                label[parts[small]] = large
+                parts[large] += parts.pop(small)
+    least = {c: min(ids[m] for m in members) for c, members in parts.items()}
+    return [(ids[i], least[int(label[i])], int(links[i])) for i in np.flatnonzero(links).tolist()]
 
 
 def _verify(n: int, percent: int):
+    def found(held: list[tuple]) -> pa.RecordBatch:
+        rows = _links(held, n, percent) if len(held) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["a", "b", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, held = None, []
         for batch in batches:
-            a, b = [], []
-            for g, i, j, side, id_, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for g, i, j, side, id_, text, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (g, i, j) != task:
-                    if len(held) > 1:
-                        pairs = _links(held, n, percent)
-                        a += [p[0] for p in pairs]
-                        b += [p[1] for p in pairs]
+                    yield found(held)
                     task, held = (g, i, j), []
-                held.append((side, id_, text))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-        if len(held) > 1:
-            pairs = _links(held, n, percent)
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+                held.append((side, id_, text, copies))
+        yield found(held)
     return run
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n_elements, component) for each document: the smallest id reachable by links of Jaccard >= percent / 100 on word
-    n-grams (A-Z lower-cased). ``key`` must be a BIGINT; rows with a NULL key take no part in links and keep NULL."""
+    """(id, n_elements, component, n_links) for each document: the smallest id reachable by links of Jaccard >= percent / 100 on word
+    n-grams (A-Z lower-cased), and the number of documents it is linked with. ``key`` must be a BIGINT; rows with a NULL key take no part in links and keep NULL."""
     made = written(sketches(docs, key, text, n, percent), "ngram-sketches")
     # One class per set; its first eight bytes name it in the search (equal names by chance only add candidates).
     named = made.withColumn("sid", F.conv(F.hex(F.substring("class", 1, 7)), 16, 10).cast("long"))
-    classes = named.filter("class is not null and id is not null").groupBy("class", "sid").agg(F.min("id").alias("rep"))
+    classes = named.filter("class is not null and id is not null").groupBy("class", "sid").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
 
     filed = named.select("sid", F.explode("filed").alias("f")).select("f.sig", "sid", "f.probe", "f.need")
     met = written(
@@ -322,7 +335,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5
     near = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(enough).select("a", "b")
     groups = written(components(near.unionByName(hot.filter("a <> b").select("a", "b"))), "ngram-groups")
 
-    members = groups.withColumnRenamed("node", "sid").join(classes, "sid").select(F.col("rep").alias("id"), F.col("component").alias("g"))
+    members = groups.withColumnRenamed("node", "sid").join(classes, "sid").select(F.col("rep").alias("id"), F.col("component").alias("g"), "copies")
     source = docs.select(F.col(key).alias("id"), F.col(text).cast("binary").alias("text"))
     own = written(members.join(source, "id"), "ngram-candidates")
     blocks = own.groupBy("g").agg(F.ceil(F.sum(F.length("text")) / BLOCK_BYTES).cast("int").alias("n_blocks"), F.count("*").alias("c")).filter("c > 1")
@@ -330,10 +343,13 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5
         own.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("id"), "n_blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
         .select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "text")
+                (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "text", "copies")
     )
     tasks = dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
-    links = written(tasks.mapInArrow(_verify(n, percent), "a long, b long"), "ngram-links")
-    linked = components(links).select(F.col("node").alias("rep"), "component")
-    by_class = classes.join(linked, "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
-    return made.join(by_class, "class", "left").select("id", "n_elements", F.coalesce("component", "id").alias("component"))
+    links = written(tasks.mapInArrow(_verify(n, percent), "a long, b long, n long"), "ngram-links")
+    linked = components(links.filter("a <> b")).select(F.col("node").alias("rep"), "component")
+    others = links.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
+    by_class = classes.join(linked, "rep", "left").join(others, "rep", "left").select(
+        "class", F.coalesce("component", "rep").alias("component"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return made.join(by_class, "class", "left").select("id", "n_elements", F.coalesce(F.when(F.col("id").isNotNull(), F.col("component")), "id").alias("component"),
+                                                       F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
