@@ -1,12 +1,14 @@
 """Mixing sources to target weights with a low-discrepancy schedule, in DataFrame operations only.
 
-The mix is a sequence of slots of one block (``BLOCK`` words) each. Slot i lies at the golden-ratio point
-frac((i + 0.5) * phi) of [0, 1), which the cumulative targets cut into one interval per source: every stretch of
-the sequence holds each source nearly in proportion. The k-th slot of a source takes the block k mod (number of blocks) of its
-shuffled stream: its documents in the order of a keyed hash, cut into equal blocks of words.
+The mix is a sequence of slots. A source's shuffled stream (its documents in the order of a keyed hash) is cut into
+ceil(size / ``BLOCK``) blocks of nearly equal words, and a source gets as many slots as its target holds of its own blocks, one at least. Slot i
+lies at the van der Corput point of i: the 2**m first points are the multiples of 1 / 2**m in another order, so with
+as many places as there are slots (the points behind them are skipped) every source gets exactly its slots, and every stretch of the
+sequence holds each source nearly in proportion. The k-th slot of a source takes its block k mod (number of blocks). So the words that the
+mix takes of a source are within half a block of its target, also for a source of a few words.
 
-Nothing runs in one task per source: slots meet their interval over cells of [0, 1), slots and documents are ranked
-inside chunks of bounded size, and only one row per (source, chunk) is summed up. Blocks are counted before the join.
+Nothing runs in one task per source, nor for all sources: slots meet their source over cells of places, slots, documents and sources are
+added up inside chunks of bounded size, and only one row per chunk is summed up. Blocks are counted before the join.
 
 Targets: the shares of the weights, none above ``MAX_EPOCHS`` times its source's size; the excess is shared again by weight.
 Only sums over the source table come back to the driver.
@@ -22,15 +24,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.llm.text import n_words
+from lintlake.operators.ordered import rank_within, sorted_chunks
 from lintlake.session import written
 
 BLOCK = 64
 MAX_EPOCHS = 3
 CYCLE = (5, 2, 1)
-PHI = 0.6180339887498949
 CELLS = 4096
 SLOT_CHUNK = 1 << 16
-DOC_CHUNKS = 4096
+DOC_CHUNK = 1 << 16
 
 
 def sizes(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
@@ -41,8 +43,9 @@ def sizes(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
 
 def cyclic_weights(sources: DataFrame, cycle: tuple[int, ...] = CYCLE) -> DataFrame:
     """``sources`` (one row each) with ``weight``: by code point, NULL last, the cycle's values in turn."""
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    return sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in cycle]), (place % len(cycle) + 1).cast("int")))
+    placed = rank_within(sources, (), [F.col("source").asc_nulls_last()], "_place")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in cycle]), ((F.col("_place") - 1) % len(cycle) + 1).cast("int"))
+    return placed.withColumn("weight", weight).drop("_place")
 
 
 def targets(weighted: DataFrame, most: int = MAX_EPOCHS) -> DataFrame:
@@ -72,27 +75,46 @@ def _offsets(rows: DataFrame, chunk: str, order: list[Column], value: Column, ou
     return inside.join(per, F.col("source").eqNullSafe(F.col("_s")) & (F.col(chunk) == F.col("_c"))).withColumn(out, F.col("_in") + F.col("_before")).drop("_s", "_c", "_in", "_before")
 
 
+def _intervals(plan: DataFrame, block: int, most: int) -> DataFrame:
+    """(source, blocks, slots, lo, hi): how many blocks a source has and which of all slots' places are its own."""
+    blocks = F.ceil(F.col("source_size") / block).cast("long")
+    slots = F.greatest(F.lit(1), F.least(blocks * most, F.round(F.col("target") * blocks / F.col("source_size")))).cast("long")
+    own = plan.filter("target > 0").withColumn("blocks", blocks).withColumn("slots", slots).select("source", "blocks", "slots")
+    chunks = sorted_chunks(own, (), [F.col("source").asc_nulls_last()], "mix-places")
+    inside = Window.partitionBy("chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    per = chunks.groupBy("chunk").agg(F.sum("slots").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    ends = chunks.withColumn("_in", F.sum("slots").over(inside)).join(per, "chunk").withColumn("hi", F.col("_in") + F.col("_before"))
+    return ends.select("source", "blocks", "slots", (F.col("hi") - F.col("slots")).alias("lo"), "hi")
+
+
+def van_der_corput(i: Column, bits: int) -> Column:
+    """The place of the i-th point among 2**bits: the bits of i in reverse."""
+    return F.conv(F.reverse(F.lpad(F.bin(i), bits, "0")), 2, 10).cast("long") if bits else F.lit(0).cast("long")
+
+
 def schedule(plan: DataFrame, block: int = BLOCK, most: int = MAX_EPOCHS) -> DataFrame:
-    """(slot, source, k, epoch, block): the mix in order. ``plan`` has source, source_size and target."""
-    spark = plan.sparkSession
-    total = plan.agg(F.sum("target")).first()[0] or 0.0
-    bounds = Window.orderBy(F.col("source").asc_nulls_last())
-    ends = plan.filter("target > 0").withColumn("hi", F.sum("target").over(bounds) / F.lit(total or 1.0)).withColumn("lo", F.coalesce(F.lag("hi").over(bounds), F.lit(0.0)))
-    ends = ends.withColumn("blocks", F.ceil(F.col("source_size") / block)).withColumn("hi", F.when(F.col("hi") >= 1 - 1e-12, F.lit(2.0)).otherwise(F.col("hi")))
-    cells = ends.select("source", "lo", "hi", "blocks", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))).alias("cell"))
-    point = (F.col("id") + 0.5) * F.lit(PHI)
-    slots = spark.range(int(round(total / block))).withColumn("x", point - F.floor(point)).withColumn("cell", F.floor(F.col("x") * CELLS))
-    placed = slots.join(cells, (slots["cell"] == cells["cell"]) & (F.col("x") >= F.col("lo")) & (F.col("x") < F.col("hi"))).select(
+    """(slot, source, k, epoch, block, blocks): the mix in order. ``plan`` has source, source_size and target."""
+    ends = written(_intervals(plan, block, most), "mix-intervals")
+    found = ends.agg(F.sum("slots").alias("n"), F.count("*").alias("sources")).first()
+    total = found["n"] or 0
+    bits, width = max(0, (total - 1).bit_length()), max(1, total // max(CELLS, found["sources"]))
+    cells = ends.select("source", "blocks", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))).alias("cell"))
+    points = plan.sparkSession.range(1 << bits if total else 0).withColumn("place", van_der_corput(F.col("id"), bits)).filter(F.col("place") < total)
+    points = points.withColumn("cell", F.floor(F.col("place") / width))
+    placed = points.join(cells, (points["cell"] == cells["cell"]) & (F.col("place") >= F.col("lo")) & (F.col("place") < F.col("hi"))).select(
         F.col("id").alias("slot"), "source", "blocks", F.floor(F.col("id") / SLOT_CHUNK).alias("chunk"))
     ranked = _offsets(placed, "chunk", [F.col("slot")], F.lit(1), "k")
     ranked = ranked.withColumn("epoch", F.floor(F.col("k") / F.col("blocks"))).withColumn("block", F.col("k") % F.col("blocks"))
-    # The sequence may run a few slots ahead of a target that is at its limit; no block is taken once more for it.
-    return ranked.filter(F.col("epoch") < most).select("slot", "source", "k", "epoch", "block")
+    return ranked.select("slot", "source", "k", "epoch", "block", "blocks")
 
 
 def streams(measured: DataFrame) -> DataFrame:
-    """``measured`` documents with words, each with ``start``: its first word's place in its source's shuffled stream."""
-    rows = measured.filter("size > 0").withColumn("chunk", F.shiftrightunsigned("h", 52))
+    """``measured`` documents with words, each with ``start``: its first word's place in its source's shuffled stream.
+
+    A chunk is a range of the shuffle's hashes; there are so many that one holds some DOC_CHUNK documents, whatever the table's size."""
+    bits = max(12, (measured.count() // DOC_CHUNK).bit_length())
+    rows = measured.filter("size > 0").withColumn("chunk", F.shiftrightunsigned("h", 64 - bits))
     return _offsets(rows, "chunk", [F.col("h"), F.col("id"), F.col("size")], F.col("size"), "start").drop("chunk")
 
 
@@ -100,12 +122,19 @@ def taken(measured: DataFrame, plan: DataFrame, block: int = BLOCK) -> DataFrame
     """(id, source, size, h, taken) of the documents with words: how many of their words the mix takes, repeats counted."""
     times = schedule(plan, block).groupBy("source", "block").agg(F.count("*").alias("times"))
     times = times.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "times")
-    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
+    shape = plan.select(F.col("source").alias("_p"), F.col("source_size").alias("_size"), F.ceil(F.col("source_size") / block).cast("long").alias("_blocks"))
+    placed = streams(measured)
+    placed = placed.join(shape, F.col("source").eqNullSafe(F.col("_p"))).drop("_p")
+    # Block b of n holds the words from ceil(b * size / n) up to the next block's first one.
+    n = lambda c: c.cast("decimal(19,0)")
+    blocks, size = n(F.col("_blocks")), n(F.col("_size"))
+    of = lambda word: F.call_function("div", n(word) * blocks, size)
+    first_word = lambda b: F.call_function("div", n(b) * size + blocks - F.lit(1), blocks)
     # A name for each row, so that repeated rows stay apart: no two documents of a source start at one word.
-    parts = streams(measured).withColumn("b", F.explode(F.sequence(first, last)))
-    words = F.least(F.col("start") + F.col("size"), (F.col("b") + 1) * block) - F.greatest("start", F.col("b") * block)
-    joined = parts.join(times, F.col("source").eqNullSafe(F.col("_s")) & (F.col("b") == F.col("_b")), "left")
-    return joined.groupBy("source", "start", "id", "size", "h").agg(F.sum(words * F.coalesce("times", F.lit(0))).cast("bigint").alias("taken")).drop("start")
+    parts = placed.withColumn("b", F.explode(F.sequence(of(F.col("start")), of(F.col("start") + F.col("size") - 1))))
+    words = F.least(F.col("start") + F.col("size"), first_word(F.col("b") + 1)) - F.greatest(F.col("start"), first_word(F.col("b")))
+    joined = parts.withColumn("words", words).join(times, F.col("source").eqNullSafe(F.col("_s")) & (F.col("b") == F.col("_b")), "left")
+    return joined.groupBy("source", "start", "id", "size", "h").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).cast("bigint").alias("taken")).drop("start")
 
 
 def plan_for(measured: DataFrame, cycle: tuple[int, ...] = CYCLE) -> DataFrame:
