@@ -9,13 +9,17 @@ Template of a turn: ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside roles and t
 anything that is a control string, or would be one without the backslashes behind its first character; so escaping
 never makes two texts equal, and no control string of a text survives.
 
-Edge cases: NULL texts and roles are empty. Records of unknown layout are returned by ``unmatched`` and never guessed
-at. A record without turns formats to the empty string. Conversations longer than a row can hold don't fit any output
+A JSON reader takes strings of 20 million characters at most, so texts need not be in the record: with a column ``texts`` the record
+holds their positions in it (``records_from_turns`` makes such records), and texts of any length pass beside it.
+
+Edge cases: NULL texts and roles are empty. Records of unknown layout, records that are no JSON and those that hold a longer string than the reader takes
+are returned by ``unmatched`` (NULL layout and turns), and never guessed at or emptied. A record without turns formats to the empty string. Conversations longer than a row can hold don't fit any output
 of one row per conversation; nothing is cut. Rows of one turn number go by role and text, so that ties have one order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -91,25 +95,31 @@ def fingerprint(record: Column) -> Column:
     return F.xxhash64(F.array_join(field_paths(record), "\x00"))
 
 
-def _mapped(record: Column, layout: Layout) -> Column:
+def _mapped(record: Column, layout: Layout, of: Callable[[Column], Column]) -> Column:
+    """The turns of a record of this layout; NULL where the reader gives no value for one of its fields."""
     if layout.messages is None:
-        fields = F.from_json(record, "map<string,string>")
-        return let(fields, lambda m: F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(m[name], F.lit("")).alias("text")) for role, name in layout.turns]))
+        names = [name for _, name in layout.turns]
+        turns = lambda m: F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(of(m[name]), F.lit("")).alias("text")) for role, name in layout.turns])
+        whole = lambda m: F.size(F.array_intersect(F.map_keys(m), F.array(*map(F.lit, names)))) == len(names)
+        return let(F.from_json(record, "map<string,string>"), lambda m: F.when(whole(m), turns(m)))
     items, role, text = layout.messages
     found = F.from_json(F.get_json_object(record, f"$.{items}"), "array<map<string,string>>")
     named = F.create_map(*[F.lit(x) for pair in layout.roles for x in pair]) if layout.roles else None
     to_role = lambda r: F.coalesce(named[r], r, F.lit("")) if layout.roles else F.coalesce(r, F.lit(""))
-    return F.transform(found, lambda m: F.struct(to_role(m[role]).alias("role"), F.coalesce(m[text], F.lit("")).alias("text")))
+    turns = F.transform(found, lambda m: F.struct(to_role(m[role]).alias("role"), F.coalesce(of(m[text]), F.lit("")).alias("text")))
+    return F.when(~F.exists(found, lambda m: m.isNull()), turns)
 
 
-def canonical(records: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """``records`` with ``layout`` (index of the mapping, NULL: unknown) and ``turns``."""
+def canonical(records: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS, texts: str | None = None) -> DataFrame:
+    """``records`` with ``layout`` (index of the mapping, NULL: none fits) and ``turns``. With ``texts``, an array column, the record's texts are positions in it."""
+    of = (lambda v: F.get(F.col(texts), v.cast("int"))) if texts else (lambda v: v)
     print_of = lambda layout: F.xxhash64(F.lit("\x00".join(sorted(layout.fields))))
     marked = records.withColumn("_print", fingerprint(F.col(record)))
     which = F.coalesce(*[F.when(F.col("_print") == print_of(x), F.lit(i)) for i, x in enumerate(layouts)])
     marked = marked.withColumn("layout", which)
-    turns = F.coalesce(*[F.when(F.col("layout") == i, _mapped(F.col(record), x)) for i, x in enumerate(layouts)])
-    return marked.withColumn("turns", turns.cast(_TURN)).drop("_print")
+    turns = F.coalesce(*[F.when(F.col("layout") == i, _mapped(F.col(record), x, of)) for i, x in enumerate(layouts)])
+    out = marked.withColumn("turns", turns.cast(_TURN)).drop("_print")
+    return out.withColumn("layout", F.when(F.col("turns").isNotNull(), F.col("layout")))
 
 
 def unmatched(mapped: DataFrame) -> DataFrame:
@@ -149,13 +159,12 @@ def digest(turns: Column) -> Column:
 
 
 def records_from_turns(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv, record): the rows of a conversation as one JSON record, in the layout that fits its roles."""
+    """(conv, record, texts): the rows of a conversation as one JSON record, in the layout that fits its roles, with the texts beside it."""
     one = F.struct(F.col(turn).alias("n"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
     held = rows.groupBy(F.col(conv).alias("conv_id")).agg(F.sort_array(F.collect_list(one)).alias("t"))
     roles = F.array_join(F.transform("t", lambda x: x["role"]), ",")
-    text_at = lambda i: F.col("t")[i]["text"]
-    as_prompt = F.to_json(F.struct(text_at(0).alias("prompt"), text_at(1).alias("response")))
-    as_task = F.to_json(F.struct(text_at(0).alias("instruction"), text_at(1).alias("input"), text_at(2).alias("output")))
-    as_list = F.to_json(F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages")))
+    as_prompt = F.lit('{"prompt":0,"response":1}')
+    as_task = F.lit('{"instruction":0,"input":1,"output":2}')
+    as_list = F.to_json(F.struct(F.transform("t", lambda x, i: F.struct(x["role"].alias("role"), i.alias("content"))).alias("messages")))
     record = F.when(roles == "user,assistant", as_prompt).when(roles == "system,user,assistant", as_task).otherwise(as_list)
-    return held.select("conv_id", record.alias("record"))
+    return held.select("conv_id", record.alias("record"), F.transform("t", lambda x: x["text"]).alias("texts"))

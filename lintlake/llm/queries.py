@@ -31,7 +31,7 @@ def ranks_path() -> str:
 def op1_ngram_jaccard_join(spark, sf_dir):
     """Components of documents with Jaccard >= 0.9 on 3-word shingles."""
     found = ngram_join.similar(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, percent=90)
-    return found.select(F.col("id").alias("doc_id"), F.col("n_elements").alias("n_shingles"), F.col("component").alias("component_id"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n_elements").alias("n_shingles"), F.col("component").alias("component_id"), "n_links")
 
 
 @query
@@ -91,20 +91,19 @@ def op5_source_mix(spark, sf_dir):
 
 @query
 def op6_chat_formatting(spark, sf_dir):
-    """Format every conversation, and one made of control strings, and read the output back."""
+    """Format every conversation, and one made of control strings, and read the output back. A conversation that fits no layout has a NULL
+    ``layout`` and no values; it is never guessed at, and doesn't end the query."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", hostile), (-7, 1, "assistant", hostile)], "conv_id long, turn long, role string, text string")
-    turns = chat_format.canonical(chat_format.records_from_turns(rows.unionByName(extra)))
+    role = F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant"))
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(hostile).alias("text"))
+    turns = chat_format.canonical(chat_format.records_from_turns(rows.unionByName(extra)), texts="texts")
     out = written(turns.select("conv_id", "layout", chat_format.formatted(F.col("turns")).alias("f")), "chat-formatted")
-    lost = chat_format.unmatched(out).select("conv_id").limit(10).collect()
-    if lost:
-        raise ValueError(f"no layout fits these conversations (the first ten at most): {[r['conv_id'] for r in lost]}")
-    back = out.select("conv_id", "f", chat_format.read_back(F.col("f.text"), F.col("f.loss")).alias("b"))
+    back = out.select("conv_id", "layout", "f", chat_format.read_back(F.col("f.text"), F.col("f.loss")).alias("b"))
     return back.select(
         "conv_id", F.size("b.turns").cast("bigint").alias("n_turns"), chat_format.digest(F.col("b.turns")).alias("turns_sha256"),
         F.length("b.loss_text").cast("bigint").alias("loss_chars"), F.sha2("b.loss_text", 256).alias("loss_sha256"),
-        F.length("f.text").cast("bigint").alias("formatted_chars"))
+        F.length("f.text").cast("bigint").alias("formatted_chars"), "layout")
 
 
 @query
