@@ -1,7 +1,7 @@
 """How one rule is evaluated on a text column: test, count, text before the first match, evidence.
 
-Everything is a SQL expression on ``content`` and ``_lowered``. Most patterns run as they are. Four
-would backtrack over the whole rest of a file and are evaluated in a linear form with the same
+Everything is a SQL expression on ``content`` and ``_lowered`` (``content`` with A-Z in lower case, of the same length). Most patterns run as they are. Seven
+would scan the whole rest of a file again for every start and are evaluated in a linear form with the same
 matches; ``tests/test_matchers.py`` compares them with the originals.
 """
 
@@ -56,6 +56,21 @@ class ClosedBy(Matcher):
         self.scope = f"regexp_extract(content, {quoted(rf'{DOTALL}\A.*{closer}')}, 0)"
 
 
+class OpenedInVain(Matcher):
+    """A pattern with a part that runs from an ``opener`` to a ``closer`` any distance away and there ends. An opener behind the
+    last closer would be followed to the end of the text in vain, again for every start. Those openers are made another
+    character that no part of the pattern asks for; then each opener that is tried finds its closer, and the match that it
+    makes moves the search behind it. Places and lengths stay, so evidence is cut from the text itself."""
+
+    def __init__(self, rule: Rule, openers: str, closer: str):
+        super().__init__(rule)
+        upto = f"regexp_extract(content, {quoted(rf'{DOTALL}\A.*{closer}')}, 0)"
+        self.scope = f"concat({upto}, translate(substring(content, length({upto}) + 1), {quoted(openers)}, {quoted(chr(1) * len(openers))}))"
+
+    def evidence(self) -> str:
+        return f"substring(content, length({self.before()}) + 1, least({EVIDENCE_CHARS}, length(regexp_extract({self.scope}, {self.regex}, 0))))"
+
+
 class HeadToLast(Matcher):
     """``head.*closer`` with a greedy dot: one match, from the first head to the last closer after it."""
 
@@ -105,6 +120,10 @@ def matcher(rule: Rule) -> Matcher:
         return ClosedBy(rule, r"\)")
     if rule.shape == "closed_by_quote":
         return ClosedBy(rule, "[\"']")
+    if rule.shape == "braced_end":
+        return OpenedInVain(rule, "{", r"\}")
+    if rule.shape == "quote_to_last_brace":
+        return OpenedInVain(rule, "\"'", r"\{")
     if rule.shape == "head_to_last":
         return HeadToLast(rule)
     if rule.shape == "quoted_nested_repeat":

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from lintlake import rules as R
 from lintlake.functions.scoring import capped_share, model_tag, review_depth
-from lintlake.functions.sqltext import any_contains
 from lintlake.functions.text import report_language
 from lintlake.operators.ordered import rank_within
-from lintlake.operators.rulescan import FILE_KEY, SCAN_RULES, family_mask, hit_title, rule_facts, with_hits, with_rule_mask
+from lintlake.operators.rulescan import FILE_KEY, SCAN_RULES, any_word, family_mask, hit_title, rule_facts, with_hits, with_rule_mask
 from lintlake.session import written
 
 DEEP_MODEL = "deepseek/deepseek-r1:free"  # fixed value: the default deep model
@@ -35,7 +34,7 @@ def scored(files: DataFrame, rules: tuple[R.Rule, ...] = SCAN_RULES, keys: tuple
     read = files.select(*keys, "path", "content").filter(F.col("content").isNotNull())
     masked = with_rule_mask(read, rules, by_language=False)
     mask = F.col("rule_mask")
-    score_gate = F.expr(any_contains("_lowered", R.AI_SCORE_WORDS))
+    score_gate = F.expr(any_word(R.AI_SCORE_WORDS))
     out = with_hits(masked.withColumn("_score_gate", F.when(_bits(mask, rules, "ai") > 0, score_gate).otherwise(F.lit(False))), rules)
     # The scanner lists secrets and injections first; the order of "hits" is regex rules, then tree rules.
     injection_layers = [R.FAMILY_ORDER.index(f) for f in ("secret", "injection", "injection_ast")]

@@ -87,6 +87,7 @@ INJECTION_RULES = (
         "An SQL verb is followed closely by concatenation or formatting, so data may become part of the statement.",
         "Bind values as parameters or use a query builder.",
         needs=(("+", "{", "%s", "format("), ("select", "insert", "update", "delete", "drop", "union")),
+        shape="braced_end",
     ),
     Rule(
         "ORM_RAW_QUERY", "injection",
@@ -141,6 +142,7 @@ INJECTION_RULES = (
         "The path of an opened file is computed, perhaps from request data, and may leave its directory.",
         "Resolve the path and check that it stays below the allowed root.",
         needs=(("open",), ("+", "{", "request.", "req.", "params", "query")), languages=PY,
+        shape="braced_end",
     ),
     Rule(
         "SSRF_REQUESTS", "injection",
@@ -310,6 +312,7 @@ AI_RULES = (
         "The system prompt is put together at run time from other values.",
         "Keep it constant and move variable context to the user turn.",
         needs=(("system",), ("+", "{")),
+        shape="quote_to_last_brace",
     ),
     Rule(
         "UNBOUNDED_AGENT_LOOP", "ai",
