@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.functions.text import basename, selection_extension
 from lintlake.operators.ordered import first_per_group
+from lintlake.sources.checkout import load_tree
 
 REPO_FILES_SCHEMA = (
     "repo_url STRING, commit_sha STRING, ordinal BIGINT, type STRING, path STRING, size BIGINT, sha STRING, content STRING"
@@ -39,17 +38,17 @@ def read_repo_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REPO_FILES_SCHEMA).parquet(path)
 
 
-def read_checkout(spark: SparkSession, root: str, repo_url: str, commit_sha: str) -> DataFrame:
-    """A checked-out tree as ``repo_files``; bytes that are not UTF-8 become replacement characters."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    relative = F.regexp_replace(F.col("path"), "^.*" + re.escape(root.rstrip("/")) + "/", "")
+def read_checkout(spark: SparkSession, root: str, repo_url: str, commit_sha: str, max_kb: float | None = None) -> DataFrame:
+    """A checked-out tree as ``repo_files``, hidden names included; bytes that are not UTF-8 become replacement characters. Contents above
+    ``max_kb`` are not read (NULL)."""
+    raw = load_tree(spark, root, None if max_kb is None else int(max_kb * 1024))
     return raw.select(
         F.lit(repo_url).alias("repo_url"),
         F.lit(commit_sha).alias("commit_sha"),
         F.lit(0).cast("bigint").alias("ordinal"),  # a tree lists its entries by path, the second sort key
         F.lit("blob").alias("type"),
-        relative.alias("path"),
-        F.col("length").alias("size"),
+        "path",
+        "size",
         F.sha2("content", 256).alias("sha"),
         F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
     )

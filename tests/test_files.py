@@ -1,4 +1,5 @@
 import base64
+import hashlib
 
 from pyspark.sql import functions as F
 
@@ -6,6 +7,7 @@ from lintlake.functions import text as T
 from lintlake.operators import score
 from lintlake.operators.rulescan import scan_distinct, scan_rules, with_rule_texts
 from lintlake import rules as R
+from lintlake.sources import checkout
 from lintlake.sources import files as S
 from lintlake.sources.repourl import owner_and_repo
 
@@ -40,13 +42,32 @@ def test_decoding_replaces_bad_bytes(spark):
     assert got == [b.decode("utf-8", errors="replace") for b in raw]
 
 
-def test_checkout_source(spark, tmp_path):
-    (tmp_path / "src").mkdir()
-    (tmp_path / "src" / "a.py").write_bytes(b"DEBUG = True \xff")
-    (tmp_path / "b.md").write_text("x")
-    got = S.read_checkout(spark, str(tmp_path), "u", "c").orderBy("path").collect()
-    assert [(r["path"], r["size"]) for r in got] == [("b.md", 1), ("src/a.py", 14)]
-    assert got[1]["content"] == "DEBUG = True �"
+def test_checkout_source(spark, tmp_path, monkeypatch):
+    root = tmp_path / "root"
+    kept = {"src/a.py": b"DEBUG = True \xff", "b.md": b"x", ".env": b"KEY=1", "pkg/__init__.py": b"", ".github/workflows/wf.yml": b"on: push",
+            "root/nested/root/c.py": b"c", "_private/d.py": b"d", "sp ace/\u00e9 %20.py": b"e", "big.py": b"z" * 3000}
+    for path, content in kept.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_bytes(content)
+    (root / "empty").mkdir()
+    monkeypatch.chdir(tmp_path)
+    for name in (str(root), str(root) + "/", "root", f"file://{root}", f"file:{root}"):
+        got = {r["path"]: r for r in S.read_checkout(spark, name, "u", "c").collect()}
+        assert {p: r["size"] for p, r in got.items()} == {p: len(c) for p, c in kept.items()}
+        assert {p: r["content"] for p, r in got.items()} == {p: c.decode(errors="replace") for p, c in kept.items()}
+        assert got["b.md"]["sha"] == hashlib.sha256(b"x").hexdigest()
+    small = {r["path"]: r["content"] for r in S.read_checkout(spark, str(root), "u", "c", max_kb=1).collect()}
+    assert small["big.py"] is None and small["b.md"] == "x" and set(small) == set(kept)
+    many = checkout.load_tree(spark, str(root), partition_files=2)
+    assert many.rdd.getNumPartitions() == 5 and many.count() == len(kept)
+    assert checkout.load_tree(spark, str(root / "empty")).count() == 0
+
+
+def test_a_tree_written_and_read(spark, tmp_path):
+    rows = [(f"d{i % 3}/.x/{i}.py", None if i == 4 else f"text {i} \u00e9") for i in range(30)]
+    checkout.write_tree(spark.createDataFrame(rows, "path string, content string").repartition(4), str(tmp_path / "t"))
+    back = {r["path"]: bytes(r["content"]).decode() for r in checkout.load_tree(spark, f"file://{tmp_path}/t").collect()}
+    assert back == {p: t for p, t in rows if t is not None}
 
 
 def test_masking_and_languages(spark):

@@ -1,3 +1,4 @@
+import datetime
 import random
 
 from pyspark.sql import functions as F
@@ -109,19 +110,53 @@ def test_responses_case_by_case(spark):
     assert got == {f"f{i}": v for i, v in enumerate(cases.values()) if v}
 
 
+T1, T2 = datetime.datetime(2024, 1, 1), datetime.datetime(2024, 1, 2)
+
+
 def test_store_replaces_what_a_job_found_before(spark, tmp_path):
     _, df = make(spark, 200)
     jobs, path = df.select("scan_job_id").distinct(), str(tmp_path / "store")
     n = df.select("scan_job_id", "file_path", "category", "line_start").count()
-    sink.write_findings(df, jobs, path, "2024-01-01")
-    sink.write_findings(df, jobs, path, "2024-01-01")
+    sink.write_findings(df, jobs, path, 1, T1)
+    sink.write_findings(df, jobs, path, 1, T2)  # repeated
     assert sink.read_findings(spark, path).count() == n
+    assert {r["created_at"] for r in sink.read_findings(spark, path).select("created_at").distinct().collect()} == {T2}
     again = spark.createDataFrame([("hot",)], "scan_job_id string")
-    sink.write_findings(df.filter("false"), again, path, "2024-01-02")
+    sink.write_findings(df.filter("false"), again, path, 2, T2)
     left = sink.read_findings(spark, path)
     assert left.filter("scan_job_id = 'hot'").count() == 0
     assert left.count() == df.filter("scan_job_id != 'hot'").count()
     assert left.filter(F.col("id").isNull()).count() == 0
+    assert sink.incomplete(spark, path).count() == 0 and sink.superseded(spark, path).count() == 1
+
+
+def test_store_of_empty_and_numbered_attempts(spark, tmp_path):
+    _, df = make(spark, 200)
+    jobs, path = spark.createDataFrame([("hot",), ("none",)], "scan_job_id string"), str(tmp_path / "store")
+    sink.write_findings(df.filter("false"), jobs, path, 9, T1)  # a first attempt without findings
+    assert sink.read_findings(spark, path).count() == 0 and sink.published(spark, path).count() == 2
+    hot = df.filter("scan_job_id = 'hot'")
+    sink.write_findings(hot, jobs, path, 10, T1)  # ten comes after nine
+    assert sink.read_findings(spark, path).count() == hot.count()
+    sink.write_findings(hot.limit(1), jobs, path, 9, T2)  # an old number published late changes nothing
+    assert sink.read_findings(spark, path).count() == hot.count()
+    sink.write_findings(hot.filter("false"), jobs, path, 10, T2)  # the repeated run finds nothing
+    assert sink.read_findings(spark, path).count() == 0
+    # An attempt that was never published shows nowhere.
+    hot.withColumn("id", F.lit("x")).write.parquet(f"{path}/attempts/attempt_id=dead")
+    assert sink.read_findings(spark, path).count() == 0
+
+
+def test_store_tells_lost_rows(spark, tmp_path):
+    import pathlib
+
+    _, df = make(spark, 200)
+    path = str(tmp_path / "store")
+    attempt = sink.write_findings(df.repartition(4), df.select("scan_job_id"), path, 1, T1)
+    sorted(pathlib.Path(path, "attempts", f"attempt_id={attempt}").glob("part-*"))[0].unlink()
+    spark.catalog.refreshByPath(path)
+    lost = sink.incomplete(spark, path).collect()
+    assert lost and all(r["n_stored"] < r["n_findings"] for r in lost)
 
 
 def test_audit_end_to_end(spark):
