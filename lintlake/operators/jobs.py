@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.operators.ordered import carry_last, sorted_chunks
@@ -79,6 +79,33 @@ def upsert_users(users: DataFrame, updates: DataFrame) -> DataFrame:
     )
 
 
+USER_BUCKETS = 256
+
+
+def _bucketed(users: DataFrame, buckets: int) -> DataFrame:
+    return users.withColumn("bucket", F.pmod(F.xxhash64("github_id"), F.lit(buckets)).cast("int"))
+
+
+def write_users(users: DataFrame, path: str, buckets: int = USER_BUCKETS) -> None:
+    """A snapshot of users in hash buckets of ``github_id``, one folder each."""
+    _bucketed(users, buckets).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_users(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket")
+
+
+def merge_users(spark: SparkSession, updates: DataFrame, path: str, buckets: int = USER_BUCKETS) -> list[int]:
+    """``upsert_users`` on a stored snapshot: only the buckets that the updates touch are read, and only those folders are replaced. Returns
+    them (at most ``buckets`` numbers). ``buckets`` must be what the snapshot was written with."""
+    touched = sorted(r["bucket"] for r in _bucketed(updates.select("github_id"), buckets).select("bucket").distinct().collect())
+    if touched:
+        old = spark.read.parquet(path).filter(F.col("bucket").isin(touched)).drop("bucket")
+        new = _bucketed(upsert_users(old, updates), buckets)
+        new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return touched
+
+
 def job_states(events: DataFrame) -> DataFrame:
     """The current row of each job from its transitions (job_id, ts, seq, status, files_scanned, message).
 
@@ -123,6 +150,16 @@ def delete_status(statuses: DataFrame, deleted: DataFrame) -> DataFrame:
     return statuses.join(deleted.select("job_id").distinct(), "job_id", "left_anti")
 
 
+def status_after_deletes(events: DataFrame, deletes: DataFrame) -> DataFrame:
+    """``latest_status`` of records and deletes (job_id, ts, seq) in one order: a delete removes what came before it, and a
+    record after it lives again. A delete of the same (ts, seq) as a record comes after it."""
+    record = F.struct("ts", *STATUS_FIELDS)
+    both = events.select("job_id", "ts", "seq", F.lit(0).alias("_kind"), record.alias("_r")).unionByName(
+        deletes.select("job_id", "ts", "seq", F.lit(1).alias("_kind"), F.lit(None).cast(events.select(record.alias("r")).schema["r"].dataType).alias("_r")))
+    last = both.groupBy("job_id").agg(F.max_by(F.struct("_kind", "_r"), F.struct("ts", "seq", "_kind")).alias("l"))
+    return last.filter("l._kind = 0").select("job_id", "l._r.*")
+
+
 def _slot(ts: Column, ttl_seconds: int) -> Column:
     return F.call_function("div", F.unix_micros(ts), F.lit(ttl_seconds * 1_000_000))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lintlake import rules as R
 from lintlake.operators import findings as FI
@@ -10,8 +11,10 @@ from lintlake.operators import responses as RE
 from lintlake.operators import rulescan
 from lintlake.session import written
 from lintlake.sources import files as S
+from lintlake.sources.repourl import owner_and_repo, repo_name
 
-REPORT_FIELDS = ("file_path", "line_start", "category", "severity", "confidence", "title", "detected_by")
+REPORT_FIELDS = ("file_path", "line_start", "line_end", "category", "severity", "confidence", "title", "description", "masked_evidence", "fix_suggestion",
+                 "code_snippet", "detected_by")
 
 
 def chosen_files(tree: DataFrame, max_kb: float = S.MAX_FILE_KB, tree_cap: int | None = None, scan_cap: int | None = None) -> DataFrame:
@@ -36,5 +39,8 @@ def final_findings(files: DataFrame, responses: DataFrame | None = None, rules:
 
 def report(tree: DataFrame, final: DataFrame, fields: tuple[str, ...] = REPORT_FIELDS, page_rows: int = FI.PAGE_ROWS,
            max_kb: float = S.MAX_FILE_KB, tree_cap: int | None = None, scan_cap: int | None = None) -> DataFrame:
-    """Report pages per repository, counting files under the limits that ``chosen_files`` was given; ``scanned_at`` is for the caller to add, so that a report can be reproduced."""
-    return FI.report_pages(FI.summary(S.tree_counts(tree, max_kb, tree_cap, scan_cap), final, S.REPO_KEY), final, S.REPO_KEY, fields, page_rows)
+    """Report pages per repository, with whole findings, counting files under the limits that ``chosen_files`` was given; ``scanned_at`` is for the caller to add, so that a report can be reproduced."""
+    counted = S.tree_counts(tree, max_kb, tree_cap, scan_cap)
+    place = owner_and_repo(F.col("repo_url"))
+    named = counted.withColumn("repo_name", F.when(place.isNotNull(), repo_name(place["owner"], place["repo"])))
+    return FI.report_pages(FI.summary(named, final, S.REPO_KEY), rulescan.with_rule_texts(final), S.REPO_KEY, fields, page_rows)

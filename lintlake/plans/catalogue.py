@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +14,11 @@ from lintlake.functions import text as T
 from lintlake.operators import findings as FI
 from lintlake.operators import jobs as J
 from lintlake.operators import responses as RE
-from lintlake.operators import rulescan, score
+from lintlake.operators import resultstore, rulescan, score
 from lintlake.operators.replay import replay
 from lintlake.plans import audit
-from lintlake.session import prepare
-from lintlake.sources import files, repourl, seeded
+from lintlake.session import prepare, work_dir
+from lintlake.sources import checkout, files, repourl, seeded, sink
 from lintlake.streaming import admission, runs, status
 from lintlake.streaming import scan as stream_scan_op
 
@@ -26,7 +28,7 @@ JOB = ("scan_job_id",)
 # Limits small enough to bite on the test tables.
 SMALL_KB, SMALL_TREE_CAP, SMALL_SCAN_CAP = 2, 30, 10
 
-# All rules but the secret rules and the three that need a syntax tree.
+# All rules but the secret rules and the three that need a syntax tree (used by tests).
 SQL_RULES = R.REGEX_RULES + (R.RATE_LIMIT, R.RATE_LIMIT_AUTH)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,7 +174,7 @@ def secret_findings(spark, sf_dir):
 @query
 def rule_hit_counts(spark, sf_dir):
     """All rules together, counted per repository and rule: one pass over the contents, one small shuffle."""
-    found = rulescan.scan_rules(_scannable(spark, sf_dir), SQL_RULES)
+    found = rulescan.scan_rules(_scannable(spark, sf_dir))
     return found.groupBy("repo_url", "rule_id", "category", "severity").agg(
         F.count("*").alias("n_files"), F.min("line_start").alias("first_line"))
 
@@ -180,13 +182,13 @@ def rule_hit_counts(spark, sf_dir):
 @query
 def scan_unique_contents(spark, sf_dir):
     """Scan each distinct (content, name suffix) once and give the findings to all its copies."""
-    return _finding_columns(rulescan.scan_distinct(_scannable(spark, sf_dir), SQL_RULES))
+    return _finding_columns(rulescan.scan_distinct(_scannable(spark, sf_dir)))
 
 
 @query
 def rule_texts(spark, sf_dir):
     """Descriptions and fixes attached to findings, by rule."""
-    found = rulescan.with_rule_texts(rulescan.scan_rules(_scannable(spark, sf_dir), SQL_RULES))
+    found = rulescan.with_rule_texts(rulescan.scan_rules(_scannable(spark, sf_dir)))
     return found.groupBy("rule_id", "description", "fix_suggestion").agg(F.count("*").alias("n_findings"))
 
 
@@ -194,12 +196,12 @@ def rule_texts(spark, sf_dir):
 
 @query
 def suspicion_scores(spark, sf_dir):
-    return score.suspicion_scores(_scannable(spark, sf_dir), SQL_RULES + R.SECRET_RULES).drop("commit_sha")
+    return score.suspicion_scores(_scannable(spark, sf_dir)).drop("commit_sha")
 
 
 @query
 def flagged_files(spark, sf_dir):
-    out = score.ranked_flagged(_scannable(spark, sf_dir), SQL_RULES + R.SECRET_RULES)
+    out = score.ranked_flagged(_scannable(spark, sf_dir))
     return out.select("repo_url", "file_path", "language", "suspicion_score",
                       F.array_join("regex_hits", "|").alias("regex_hits"), F.array_join("ast_hits", "|").alias("ast_hits"),
                       "n_findings", "flag_rank")
@@ -207,7 +209,7 @@ def flagged_files(spark, sf_dir):
 
 @query
 def review_requests(spark, sf_dir):
-    asked = score.review_requests(score.flagged(_scannable(spark, sf_dir), SQL_RULES + R.SECRET_RULES))
+    asked = score.review_requests(score.flagged(_scannable(spark, sf_dir)))
     return asked.select(
         "repo_url", "file_path", "route", "model_used",
         F.substring_index("system_text", "what the scanner found:\n", -1).alias("listed"),
@@ -273,15 +275,15 @@ def normalised_responses(spark, sf_dir):
 @query
 def merged_findings(spark, sf_dir):
     """Rule findings and review findings of the same files together, then deduplicated."""
-    found = rulescan.scan_rules(_scannable(spark, sf_dir), SQL_RULES)
+    found = rulescan.with_rule_texts(rulescan.scan_rules(_scannable(spark, sf_dir)))
     review = RE.normalised(
         _scannable(spark, sf_dir).select(
             *REPO, F.col("path").alias("file_path"), F.lit("llm_groq").alias("model_used"),
-            F.concat(F.lit('{"findings":[{"title":"seen","category":"crypto_failure","severity":"low","line_start":1},'
+            F.concat(F.lit('{"findings":[{"title":"seen","category":"crypto_failure","severity":"low","line_start":1,"description":"d1","fix_suggestion":"f1"},'
                            '{"title":"size","category":"input_validation","severity":"info","line_start":'),
                      F.col("size").cast("string"), F.lit("}]}")).alias("response_text")), REPO)
     both = FI.deduplicate(FI.merge(found, review), REPO)
-    return both.select("repo_url", "file_path", "line_start", "category", "severity", "title", "detected_by", "rule_id", "det_ordinal")
+    return both.select("repo_url", "file_path", "line_start", "category", "severity", "title", "description", "fix_suggestion", "detected_by", "rule_id")
 
 
 # --- aggregation and report ---------------------------------------------------------------------
@@ -329,9 +331,9 @@ def scan_summary(spark, sf_dir):
 def scan_report(spark, sf_dir):
     """Files to report: scan, deduplicate and rank once, store, then assemble the pages of each repository."""
     tree = _documents(spark, sf_dir).unionByName(seeded.folders(spark, sf_dir))
-    pages = audit.report(tree, audit.final_findings(audit.chosen_files(tree), rules=SQL_RULES))
+    pages = audit.report(tree, audit.final_findings(audit.chosen_files(tree)))
     return pages.select(
-        "repo_url", "commit_sha", "total_files", "files_scanned", "risk_score", "n_findings", "page", "pages",
+        "repo_url", "repo_name", "commit_sha", "total_files", "files_scanned", "risk_score", "n_findings", "page", "pages",
         F.to_json("severity_counts").alias("severity_counts"), F.to_json("category_counts").alias("category_counts"),
         F.to_json("findings", {"ignoreNullFields": "false"}).alias("findings"))
 
@@ -339,7 +341,7 @@ def scan_report(spark, sf_dir):
 @query
 def repo_risk(spark, sf_dir):
     """Flagship: risk score and severity counts per repository, files in, one pass over the contents."""
-    found = rulescan.scan_rules(_scannable(spark, sf_dir), R.by_id("WEAK_HASH_IMPORT", "DEBUG_TRUE", "VERIFY_FALSE"))
+    found = rulescan.scan_rules(_scannable(spark, sf_dir))
     kept = FI.deduplicate(found, REPO)
     return FI.summary(files.tree_counts(seeded.repo_files(spark, sf_dir)), kept, REPO).select(
         "repo_url", "commit_sha", "total_files", "files_scanned", "risk_score", "n_findings", "critical_count", "high_count",
@@ -359,10 +361,47 @@ def _callers(spark, sf_dir):
 @query
 def job_results(spark, sf_dir):
     jobs = J.owned_jobs(seeded.scan_jobs(spark, sf_dir), _callers(spark, sf_dir))
-    columns = ("id", "file_path", "line_start", "line_end", "category", "severity", "confidence", "title", "detected_by")
-    return J.job_results(jobs, seeded.findings(spark, sf_dir), columns)
+    return J.job_results(jobs, seeded.findings(spark, sf_dir))
 
 
+@query
+def user_by_id(spark, sf_dir):
+    """The owner of the first job there is."""
+    first = seeded.scan_jobs(spark, sf_dir).select(F.min_by("user_id", F.struct("created_at", "id"))).scalar()
+    return J.by_key(seeded.users(spark, sf_dir), "id", first)
+
+
+@query
+def job_by_id(spark, sf_dir):
+    """The last job there is."""
+    jobs = seeded.scan_jobs(spark, sf_dir)
+    return J.by_key(jobs, "id", jobs.select(F.max_by("id", F.struct("created_at", "id"))).scalar())
+
+
+@query
+def stored_findings(spark, sf_dir):
+    """Three attempts: all jobs; every third job again, in half of which nothing and in the rest only grave findings are found; and every seventh
+    job once more, without findings. Read back from the store."""
+    jobs = seeded.scan_jobs(spark, sf_dir).select(F.col("id").alias("scan_job_id"), F.substring("id", 5, 20).cast("bigint").alias("k"))
+    found = seeded.findings(spark, sf_dir)
+    k = F.substring("scan_job_id", 5, 20).cast("bigint")
+    path = f"{work_dir(spark)}/lintlake/findings-{uuid.uuid4().hex}"
+    day = lambda n: datetime.datetime(2024, 1, n, tzinfo=datetime.UTC)
+    sink.write_findings(found, jobs, path, 9, day(1))
+    sink.write_findings(found.filter((k % 6 == 3) & F.col("severity").isin("critical", "high")), jobs.filter("k % 3 = 0"), path, 10, day(2))
+    sink.write_findings(found.filter("false"), jobs.filter("k % 7 = 0"), path, 11, day(3))
+    return sink.read_findings(spark, path)
+
+
+@query
+def checkout_files(spark, sf_dir):
+    """Documents written as a tree, a third of it under hidden names, and read back as a checkout."""
+    n = F.col("ordinal") % 6
+    path = F.concat(F.when(n == 0, ".github/").when(n == 1, "__pkg__/").otherwise(""), F.col("path"))
+    root = f"{work_dir(spark)}/lintlake/checkout-{uuid.uuid4().hex}"
+    checkout.write_tree(_documents(spark, sf_dir).withColumn("path", path), root)
+    return files.read_checkout(spark, root, "u", "c").select("path", "size", "sha", F.length("content").alias("chars"))
+
 @query
 def user_findings(spark, sf_dir):
     return J.user_findings(seeded.users(spark, sf_dir), seeded.scan_jobs(spark, sf_dir), seeded.findings(spark, sf_dir))
@@ -373,6 +412,19 @@ def users_upsert(spark, sf_dir):
     return J.upsert_users(seeded.users(spark, sf_dir), seeded.user_updates(spark, sf_dir))
 
 
+@query
+def users_merged(spark, sf_dir):
+    """The same upsert on a stored snapshot of which only the touched buckets are rewritten, in two batches of log-ins."""
+    path = f"{work_dir(spark)}/lintlake/users-{uuid.uuid4().hex}"
+    J.write_users(seeded.users(spark, sf_dir), path, 16)
+    updates = seeded.user_updates(spark, sf_dir)
+    half = updates.select(F.percentile_approx(F.unix_micros(F.col("seen_at").cast("timestamp")), 0.5)).scalar()
+    early = F.unix_micros(F.col("seen_at").cast("timestamp")) <= half
+    J.merge_users(spark, updates.filter(early), path, 16)
+    J.merge_users(spark, updates.filter(~early), path, 16)
+    return J.read_users(spark, path)
+
+
 def _events(spark, sf_dir):
     return seeded.table(spark, sf_dir, "events")
 
@@ -395,6 +447,13 @@ def job_status_delete(spark, sf_dir):
     return J.delete_status(last, last.filter(F.col("status") == "completed"))
 
 
+@query
+def job_status_tombstones(spark, sf_dir):
+    """Every seventh record is followed at once by a delete; what comes later lives."""
+    events = seeded.job_status_events(_events(spark, sf_dir))
+    return J.status_after_deletes(events, events.filter(F.col("seq") % 7 == 0).select("job_id", "ts", "seq"))
+
+
 def _requests(spark, sf_dir):
     """Everything but purchases asks for a scan; purchases are finished scans."""
     return seeded.scan_requests(_events(spark, sf_dir).filter(F.col("event_type") != "purchase"))
@@ -410,6 +469,23 @@ def cache_hits(spark, sf_dir):
     return J.cache_hits(_requests(spark, sf_dir), seeded.scan_results(_events(spark, sf_dir)), 86_400)
 
 
+@query
+def cached_reports(spark, sf_dir):
+    """Reports of finished scans stored by cache key, then fetched for the requests that they answer."""
+    bought = _events(spark, sf_dir).filter(F.col("event_type") == "purchase")
+    done = seeded.scan_results(bought).withColumnRenamed("completed_at", "stored_at")
+    number = F.substring("job_id", 5, 20).cast("bigint")
+    report = F.to_json(F.struct("repo_url", "commit_sha", (number % 101).cast("int").alias("risk_score"),
+                                F.struct((number % 3).cast("int").alias("critical"), (number % 5).cast("int").alias("high")).alias("severity_counts"),
+                                F.array(F.struct(F.concat(F.lit("found by "), "job_id").alias("title"))).alias("findings")))
+    path = f"{work_dir(spark)}/lintlake/results-{uuid.uuid4().hex}"
+    resultstore.put(done.withColumn("report", report), path, 86_400)
+    hit = resultstore.probe(_requests(spark, sf_dir), path)
+    of = lambda p, kind: resultstore.field(F.col("report"), p, kind)
+    return hit.select("cache_key", "request_id", "ts", "job_id", of("$.repo_url", "string").alias("repo_url"), of("$.risk_score", "int").alias("risk_score"),
+                      of("$.severity_counts.critical", "int").alias("critical"), of("$.findings[0].title", "string").alias("first_title"))
+
+
 @query
 def request_replay(spark, sf_dir):
     return replay(seeded.scan_requests(_events(spark, sf_dir)), J.CACHE_TTL_SECONDS)
@@ -425,7 +501,7 @@ def request_replay_day(spark, sf_dir):
 @query
 def stream_scan(spark, sf_dir):
     arriving = seeded.documents_as_files(runs.table_stream(spark, sf_dir, "documents"))
-    found = runs.append_available(stream_scan_op.scan_stream(arriving, R.AUTH_RULES), "stream-scan")
+    found = runs.append_available(stream_scan_op.scan_stream(arriving), "stream-scan")
     return _finding_columns(found)
 
 
@@ -438,4 +514,4 @@ def stream_admission(spark, sf_dir):
 @query
 def stream_status(spark, sf_dir):
     records = seeded.job_status_events(runs.table_stream(spark, sf_dir, "events"))
-    return J.latest_status(runs.append_available(status.status_changes(records), "stream-status"))
+    return status.followed(records)

@@ -95,6 +95,11 @@ SNIPPETS = (
     ('urls = [path("users/", view)]', True),
     ('url(r"^x/$", view)\nrouter.put("/a", handler)', True),
     ('token = "short"', True),
+    ('t = "ghp_' + "EXAMPLE0example1" * 3 + '"', True),
+    ('k = "sk_live_' + "EXAMPLEexample00" + '"', True),
+    ('b = "xoxb-' + "0000-example" + '"', True),
+    ('k = "xoxz-' + "0000-example" + '"', True),
+    ('pem = """-----BEGIN ' + 'PRIVATE KEY-----\n"""', True),
 )
 
 
@@ -181,6 +186,9 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(FINDING_SEVERITIES, F.col("l_suppkey") % len(FINDING_SEVERITIES)).alias("severity"),
         ((F.floor(F.col("l_quantity")).cast("int") % 5 + 5) / F.lit(10.0)).alias("confidence"),
         F.concat(F.lit("part "), part.cast("string")).alias("title"),
+        F.concat(F.lit("line "), line.cast("string"), F.lit(" of part "), part.cast("string")).alias("description"),
+        F.when(part % 3 == 0, F.concat(F.lit("ab**"), line.cast("string"))).alias("masked_evidence"),
+        F.concat(F.lit("fix "), (part % 7).cast("string")).alias("fix_suggestion"),
         F.lit("regex").alias("detected_by"),
         # Lines of an order repeat in the table; price and date make the order of detection total.
         (line.cast("bigint") * 1_000_000_000_000 + part * 1_000_000

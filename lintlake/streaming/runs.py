@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from lintlake.session import work_dir
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table as a file stream."""
+FILES_PER_TRIGGER = 256
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
+    """A given table as a file stream, in micro-batches of a bounded number of files."""
     file = f"{name}.parquet"
     schema = spark.read.parquet(f"{sf_dir}/{file}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(sf_dir)
+    return spark.readStream.schema(schema).option("pathGlobFilter", file).option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir)
 
 
 def append_available(stream: DataFrame, name: str) -> DataFrame:

@@ -1,43 +1,46 @@
-"""Job-status tail."""
+"""Job-status tail: a stream of status records into a status table."""
 
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupStateTimeout
+from __future__ import annotations
 
-from lintlake.operators.jobs import STATUS_FIELDS
+import uuid
 
-RECORD = "job_id string, ts timestamp, seq bigint, status string, current_node string, message string, files_scanned int, total_files int"
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lintlake.operators.jobs import STATUS_FIELDS, latest_status
+from lintlake.session import work_dir
 
-def _newer_fn():
-    def newer(key, batches, state):
-        """Keep the newest record of one job in this micro-batch; pass it on if it beats the stored one."""
-        import pandas as pd
+STATUS_SCHEMA = "job_id STRING, ts TIMESTAMP, seq BIGINT, status STRING, current_node STRING, message STRING, files_scanned INT, total_files INT"
 
-        if state.hasTimedOut:
-            state.remove()
-            return
-        best = None
-        for b in batches:
-            top = b.sort_values(["us", "seq"]).iloc[-1]
-            if best is None or (top["us"], top["seq"]) > (best["us"], best["seq"]):
-                best = top
-        stored = state.get if state.exists else None
-        if stored is None or (int(best["us"]), int(best["seq"])) > tuple(stored):
-            state.update((int(best["us"]), int(best["seq"])))
-            # A job without news for a day is over: its state may go.
-            state.setTimeoutTimestamp(max(int(best["us"]) // 1000, state.getCurrentWatermarkMs()) + 86_400_000)
-            yield pd.DataFrame([best.drop("us").to_dict()])
 
-    return newer
+def newest(events: DataFrame) -> DataFrame:
+    """The newest record of each job, with its place in the order."""
+    r = F.max_by(F.struct("ts", "seq", *STATUS_FIELDS), F.struct("ts", "seq"))
+    return events.groupBy("job_id").agg(r.alias("r")).select("job_id", "r.*")
 
 
-def status_changes(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
-    """Append-only log of each job's newest record per micro-batch; the last entry of a job is its status.
+def append_batch(batch: DataFrame, batch_id: int, path: str) -> None:
+    """Reduce one micro-batch to the newest record of each job and store it under the batch's number. A batch that is run
+    again replaces what it wrote before, so replays change nothing."""
+    newest(batch).withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 
-    (For sinks that take updates, ``operators.jobs.latest_status`` runs on the stream as it is.)
-    """
-    from pyspark.sql import functions as F
 
-    timed = events.withWatermark("ts", lateness).withColumn("us", F.unix_micros("ts"))
-    return timed.select("job_id", "ts", "seq", *STATUS_FIELDS, "us").groupBy("job_id").applyInPandasWithState(
-        _newer_fn(), RECORD, "us bigint, seq bigint", "append", GroupStateTimeout.EventTimeTimeout)
+def current_status(spark: SparkSession, path: str) -> DataFrame:
+    """The last status of each job over all batches, whatever their order."""
+    return latest_status(spark.read.schema(f"{STATUS_SCHEMA}, batch_id BIGINT").parquet(path))
+
+
+def tail_status(events: DataFrame, path: str, progress: str):
+    """Start to follow a stream of status records; the newest record of each job is found in the JVM, batch by batch."""
+    return (
+        events.writeStream.foreachBatch(lambda batch, batch_id: append_batch(batch, batch_id, path))
+        .option("checkpointLocation", progress).trigger(availableNow=True).start()
+    )
+
+
+def followed(events: DataFrame) -> DataFrame:
+    """Follow what is available into a table in the shared folder and return the current status."""
+    spark = events.sparkSession
+    base = f"{work_dir(spark)}/lintlake/stream-status-{uuid.uuid4().hex}"
+    tail_status(events, f"{base}/table", f"{base}/progress").awaitTermination()
+    return current_status(spark, f"{base}/table")

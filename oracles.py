@@ -142,6 +142,29 @@ found AS (
   FROM cut JOIN fact USING (no))"""
 
 
+TREE_ROWS = f"""tree_line AS (
+  SELECT repo_url, commit_sha, path, n, parts[n] AS l, parts[n + 1] AS next
+  FROM (SELECT repo_url, commit_sha, path, string_split(content, {NL}) AS parts FROM s WHERE rule_ext = 'py' AND py_ok) t, unnest(range(1, len(parts) + 1)) u(n)),
+tree_hit AS (
+  SELECT *, 'PY_EXEC_CALL' AS rule_id, 'exec() at line ' AS e, 1000000 AS deep FROM tree_line WHERE regexp_matches(l, '^([a-z]+\\.)?exec\\(')
+  UNION ALL SELECT *, 'PY_ASSERT', 'assert at line ', 0 FROM tree_line WHERE l LIKE 'assert %'
+  UNION ALL SELECT *, 'PY_BARE_EXCEPT_PASS', 'except: pass at line ', 0 FROM tree_line WHERE l = 'except:' AND next = '    pass'),
+tree_found AS (
+  SELECT repo_url, commit_sha, path AS file_path, CAST(n AS INTEGER) AS line_start, CAST(n AS INTEGER) AS line_end, category, severity, confidence, title,
+    e || n AS masked_evidence, CAST(NULL AS VARCHAR) AS code_snippet, detected_by, rule_id, CAST(layer AS BIGINT) * 1000000000 + deep + n AS det_ordinal, family, description, fix
+  FROM tree_hit JOIN fact USING (rule_id))"""
+
+
+def found_all(name: str = "every") -> str:
+    """CTE ``every``: findings of the whole catalogue. Among tree findings of a file, statements come before calls (the walk goes breadth first)."""
+    return f"""{found(SQL_RULES + R.SECRET_RULES)}, {TREE_ROWS},
+{name} AS (SELECT * FROM found UNION ALL BY NAME SELECT * FROM tree_found)"""
+
+
+def scan_all(tail: str = f"SELECT {FINDING_COLUMNS} FROM every") -> str:
+    return f"{SCAN},\n{found_all()}\n{tail}"
+
+
 def scan(rules, tail: str = f"SELECT {FINDING_COLUMNS} FROM found") -> str:
     return f"{SCAN},\n{found(rules)}\n{tail}"
 
@@ -194,11 +217,12 @@ SCORES = f"""score AS (
 scored AS (SELECT *, greatest(secret_score, injection_score, rate_score, auth_score, ai_score) AS suspicion_score FROM score),
 per_file AS (
   SELECT repo_url, file_path, CAST(count(*) AS INTEGER) AS n_findings,
-         coalesce(string_agg(title, '|' ORDER BY det_ordinal) FILTER (family IN ('secret', 'injection')), '') AS regex_hits,
-         coalesce(string_agg('- ' || title, {NL} ORDER BY det_ordinal) FILTER (family IN ('secret', 'injection')), '(the scanner found nothing)') AS listed
-  FROM found GROUP BY ALL),
+         coalesce(string_agg(title, '|' ORDER BY det_ordinal) FILTER (family IN ('secret', 'injection', 'injection_ast')), '') AS regex_hits,
+         coalesce(string_agg(title, '|' ORDER BY det_ordinal) FILTER (detected_by = 'ast'), '') AS ast_hits,
+         coalesce(string_agg('- ' || title, {NL} ORDER BY det_ordinal) FILTER (family IN ('secret', 'injection', 'injection_ast')), '(the scanner found nothing)') AS listed
+  FROM every GROUP BY ALL),
 flagged AS (
-  SELECT s.*, coalesce(n_findings, 0) AS n_findings, coalesce(regex_hits, '') AS regex_hits, coalesce(listed, '(the scanner found nothing)') AS listed
+  SELECT s.*, coalesce(n_findings, 0) AS n_findings, coalesce(regex_hits, '') AS regex_hits, coalesce(ast_hits, '') AS ast_hits, coalesce(listed, '(the scanner found nothing)') AS listed
   FROM scored s LEFT JOIN per_file p ON s.repo_url = p.repo_url AND s.file_path = p.file_path
   WHERE suspicion_score > 0 OR n_findings > 0)"""
 
@@ -276,7 +300,8 @@ STORED = f"""WITH finding AS (
     CAST(CASE WHEN l_linenumber % 4 <> 3 THEN l_linenumber % 4 END AS INTEGER) AS line_end,
     ([{words(seeded.FINDING_CATEGORIES)}])[l_partkey % {len(seeded.FINDING_CATEGORIES)} + 1] AS category,
     ([{words(seeded.FINDING_SEVERITIES)}])[l_suppkey % {len(seeded.FINDING_SEVERITIES)} + 1] AS severity,
-    (CAST(floor(l_quantity) AS INTEGER) % 5 + 5) / 10e0 AS confidence, 'part ' || l_partkey AS title, 'regex' AS detected_by,
+    (CAST(floor(l_quantity) AS INTEGER) % 5 + 5) / 10e0 AS confidence, 'part ' || l_partkey AS title, 'line ' || l_linenumber || ' of part ' || l_partkey AS description,
+    CASE WHEN l_partkey % 3 = 0 THEN 'ab**' || l_linenumber END AS masked_evidence, 'fix ' || (l_partkey % 7) AS fix_suggestion, 'regex' AS detected_by,
     CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 1000000 + CAST(floor(l_extendedprice) AS BIGINT) % 1000000 AS det_ordinal,
     sha256(l_orderkey || '|' || l_partkey || '|' || l_suppkey || '|' || l_linenumber || '|' || CAST(floor(l_extendedprice * 100 + 0.5e0) AS BIGINT)
       || '|' || CAST(floor(l_quantity) AS INTEGER)) AS id
@@ -290,7 +315,8 @@ job AS (
     'org/r' || (o_orderkey % 50) AS repo_name, substr(sha256(o_orderkey::VARCHAR), 1, 40) AS commit_sha,
     CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN 'failed' WHEN o_orderstatus = 'F' THEN 'completed'
          WHEN o_orderstatus = 'O' THEN 'running' ELSE 'pending' END AS status,
-    0 AS total_files, CAST(CASE WHEN o_orderstatus = 'F' AND o_orderpriority <> '1-URGENT' THEN o_orderkey % 900 ELSE 0 END AS INTEGER) AS scanned_files
+    0 AS total_files, CAST(CASE WHEN o_orderstatus = 'F' AND o_orderpriority <> '1-URGENT' THEN o_orderkey % 900 ELSE 0 END AS INTEGER) AS scanned_files,
+    o_orderdate AS created_at, CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 5 MINUTE END AS completed_at, o_orderkey AS k
   FROM orders)"""
 
 FIVE = ", ".join(f"count_if(severity = '{s}') AS {s}_count" for s in R.SEVERITIES)
@@ -314,7 +340,7 @@ counted AS (SELECT t.repo_url, t.commit_sha, count(*) AS total_files,
 
 WEIGHTED = """weighted AS (SELECT *, CASE severity WHEN 'critical' THEN 10 WHEN 'high' THEN 5 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END AS weight,
     CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END AS sev
-  FROM (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY repo_url, file_path, category, coalesce(line_start, 0) ORDER BY det_ordinal) = 1))"""
+  FROM (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY repo_url, file_path, category, coalesce(line_start, 0) ORDER BY det_ordinal) = 1))"""
 
 STATUS = """WITH ev AS (
   SELECT 'job-' || user_id AS job_id, ts, event_id AS seq,
@@ -371,26 +397,26 @@ SELECT page_id, CAST(form AS INTEGER) AS form, repo_url, CASE WHEN len(parts) >=
     out["rate_limit_findings"] = scan([R.RATE_LIMIT, R.RATE_LIMIT_AUTH])
     out["python_syntax_findings"] = SYNTAX
     out["secret_findings"] = scan(R.SECRET_RULES)
-    out["rule_hit_counts"] = scan(SQL_RULES, """SELECT repo_url, rule_id, category, severity, count(*) AS n_files, min(line_start) AS first_line FROM found GROUP BY ALL""")
-    out["scan_unique_contents"] = scan(SQL_RULES)
-    out["rule_texts"] = scan(SQL_RULES, "SELECT rule_id, description, fix AS fix_suggestion, count(*) AS n_findings FROM found GROUP BY ALL")
-    out["suspicion_scores"] = f"""{SCAN}, {found(SCORED)}, {SCORES}
+    out["rule_hit_counts"] = scan_all("""SELECT repo_url, rule_id, category, severity, count(*) AS n_files, min(line_start) AS first_line FROM every GROUP BY ALL""")
+    out["scan_unique_contents"] = scan_all()
+    out["rule_texts"] = scan_all("SELECT rule_id, description, fix AS fix_suggestion, count(*) AS n_findings FROM every GROUP BY ALL")
+    out["suspicion_scores"] = f"""{SCAN}, {found_all()}, {SCORES}
 SELECT repo_url, file_path, secret_score, injection_score, auth_score, ai_score, rate_score, suspicion_score FROM scored"""
-    out["flagged_files"] = f"""{SCAN}, {found(SCORED)}, {SCORES}
-SELECT repo_url, file_path, report_lang AS language, suspicion_score, regex_hits, '' AS ast_hits, n_findings,
+    out["flagged_files"] = f"""{SCAN}, {found_all()}, {SCORES}
+SELECT repo_url, file_path, report_lang AS language, suspicion_score, regex_hits, ast_hits, n_findings,
   row_number() OVER (PARTITION BY repo_url, commit_sha ORDER BY suspicion_score DESC, file_path) AS flag_rank FROM flagged"""
-    out["review_requests"] = f"""{SCAN}, {found(SCORED)}, {SCORES},
+    out["review_requests"] = f"""{SCAN}, {found_all()}, {SCORES},
 asked AS (SELECT *, 'File under review: ' || file_path || {NL} || '<untrusted_code>' || {NL} || content || {NL} || '</untrusted_code>' AS user_text FROM flagged)
 SELECT repo_url, file_path, CASE WHEN suspicion_score >= 0.6e0 THEN 'deep' ELSE 'fast' END AS route,
   CASE WHEN suspicion_score >= 0.6e0 THEN 'llm_deepseek' ELSE 'llm_groq' END AS model_used, listed,
   CAST(length(user_text) AS INTEGER) AS user_chars, sha256(user_text) AS user_sha FROM asked"""
     out["normalised_responses"] = responses()
-    out["merged_findings"] = f"""{SCAN}, {found(SQL_RULES)},
+    out["merged_findings"] = f"""{SCAN}, {found_all()},
 both_kinds AS (
-  SELECT repo_url, commit_sha, file_path, line_start, category, severity, title, detected_by, rule_id, det_ordinal FROM found
-  UNION ALL SELECT repo_url, commit_sha, path, 1, 'crypto_failure', 'low', 'seen', 'llm_groq', 'REVIEW', 7000000000 FROM s
-  UNION ALL SELECT repo_url, commit_sha, path, CAST(size AS INTEGER), 'input_validation', 'info', 'size', 'llm_groq', 'REVIEW', 7000000001 FROM s)
-SELECT repo_url, file_path, line_start, category, severity, title, detected_by, rule_id, CAST(det_ordinal AS BIGINT) AS det_ordinal FROM both_kinds
+  SELECT repo_url, commit_sha, file_path, line_start, category, severity, title, description, fix AS fix_suggestion, detected_by, rule_id, det_ordinal FROM every
+  UNION ALL SELECT repo_url, commit_sha, path, 1, 'crypto_failure', 'low', 'seen', 'd1', 'f1', 'llm_groq', 'REVIEW', 7000000000 FROM s
+  UNION ALL SELECT repo_url, commit_sha, path, CAST(size AS INTEGER), 'input_validation', 'info', 'size', '', '', 'llm_groq', 'REVIEW', 7000000001 FROM s)
+SELECT repo_url, file_path, line_start, category, severity, title, description, fix_suggestion, detected_by, rule_id FROM both_kinds
 QUALIFY row_number() OVER (PARTITION BY repo_url, commit_sha, file_path, category, coalesce(line_start, 0) ORDER BY det_ordinal) = 1"""
     out["dedup_findings"] = f"{STORED} SELECT * FROM uniq"
     out["ranked_findings"] = f"""{STORED} SELECT scan_job_id, row_number() OVER (PARTITION BY scan_job_id ORDER BY sev, confidence DESC, file_path, det_ordinal, id) AS rank_in_job,
@@ -402,21 +428,21 @@ FROM job j LEFT JOIN rank5 f ON f.scan_job_id = j.id GROUP BY ALL"""
     out["scan_summary"] = f"""{STORED}, {summed('rank5', 'scan_job_id')}
 SELECT j.id AS scan_job_id, repo_url, {SUMMARY_COLUMNS}, coalesce(category_counts, '{{}}') AS category_counts
 FROM job j LEFT JOIN summed m ON m.scan_job_id = j.id"""
-    out["scan_report"] = f"""{SCAN}, {found(SQL_RULES)}, {WEIGHTED}, {summed('weighted', 'repo_url')}, {COUNTED},
+    out["scan_report"] = f"""{SCAN}, {found_all()}, {WEIGHTED}, {summed('weighted', 'repo_url')}, {COUNTED},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY repo_url ORDER BY sev, confidence DESC, file_path, det_ordinal) AS r FROM weighted),
-nested AS (SELECT repo_url, CAST((r - 1) // 500 AS INTEGER) AS page, to_json(list({{'rank_in_job': r, 'file_path': file_path, 'line_start': line_start, 'category': category,
-  'severity': severity, 'confidence': confidence, 'title': title, 'detected_by': detected_by}} ORDER BY r))::VARCHAR AS findings FROM ranked GROUP BY ALL)
-SELECT c.repo_url, c.commit_sha, total_files, files_scanned, risk_score, n_findings, coalesce(page, 0) AS page,
+nested AS (SELECT repo_url, CAST((r - 1) // 500 AS INTEGER) AS page, to_json(list({{'rank_in_job': r, 'file_path': file_path, 'line_start': line_start, 'line_end': line_end, 'category': category,
+  'severity': severity, 'confidence': confidence, 'title': title, 'description': description, 'masked_evidence': masked_evidence, 'fix_suggestion': fix, 'code_snippet': code_snippet, 'detected_by': detected_by}} ORDER BY r))::VARCHAR AS findings FROM ranked GROUP BY ALL)
+SELECT c.repo_url, replace(c.repo_url, 'https://github.com/', '') AS repo_name, c.commit_sha, total_files, files_scanned, risk_score, n_findings, coalesce(page, 0) AS page,
   CAST(greatest((n_findings + 499) // 500, 1) AS INTEGER) AS pages, severity_counts, category_counts, findings FROM (
   SELECT c.repo_url, c.commit_sha, total_files, files_scanned, {SUMMARY_COLUMNS}, coalesce(category_counts, '{{}}') AS category_counts
   FROM counted c LEFT JOIN summed USING (repo_url)) c LEFT JOIN nested USING (repo_url)"""
-    out["repo_risk"] = f"""{SCAN}, {found(R.by_id('WEAK_HASH_IMPORT', 'DEBUG_TRUE', 'VERIFY_FALSE'))}, {WEIGHTED}, {summed('weighted', 'repo_url')}, {COUNTED}
+    out["repo_risk"] = f"""{SCAN}, {found_all()}, {WEIGHTED}, {summed('weighted', 'repo_url')}, {COUNTED}
 SELECT c.repo_url, c.commit_sha, total_files, files_scanned, {SUMMARY_COLUMNS} FROM counted c LEFT JOIN summed USING (repo_url)"""
     out["job_results"] = f"""{STORED}, caller AS (
   SELECT 'job-' || o_orderkey AS job_id, 'user-' || c AS caller_id FROM (
     SELECT o_orderkey, o_custkey AS c FROM orders UNION ALL SELECT o_orderkey, o_custkey + 1 FROM orders))
 SELECT f.scan_job_id, repo_name, commit_sha, status, total_files, scanned_files, f.id AS finding_id, file_path, line_start, line_end, category, severity,
-  confidence, title, detected_by FROM job j JOIN finding f ON f.scan_job_id = j.id
+  confidence, title, description, masked_evidence, fix_suggestion, detected_by FROM job j JOIN finding f ON f.scan_job_id = j.id
 WHERE EXISTS (SELECT 1 FROM caller c WHERE c.job_id = j.id AND c.caller_id = j.user_id)"""
     out["user_findings"] = f"""{STORED}
 SELECT u.id, u.username, count(DISTINCT j.id) AS n_jobs, count(DISTINCT f.scan_job_id) AS n_jobs_with_findings, count(f.id) AS n_findings,
@@ -445,7 +471,24 @@ SELECT job_id, arg_max(status, (ts, seq)) AS status, min(ts) FILTER (status = 'p
 ASOF JOIN done d ON r.repo_url = d.repo_url AND r.ts >= d.completed_at WHERE r.event_type <> 'purchase' AND r.ts < d.completed_at + {day}"""
     out["request_replay"] = replay(3600, REPLAYED)
     out["request_replay_day"] = replay(86400, REPLAYED)
-    out["stream_scan"] = out["auth_findings"]
+    out["user_by_id"] = """SELECT 'user-' || c_custkey AS id, c_custkey::VARCHAR AS github_id, c_name AS username,
+  CASE WHEN c_custkey % 3 <> 0 THEN c_custkey || '@example.org' END AS email, 'https://img.example.org/' || c_custkey AS avatar_url FROM customer
+WHERE c_custkey = (SELECT o_custkey FROM orders ORDER BY o_orderdate, 'job-' || o_orderkey LIMIT 1)"""
+    out["job_by_id"] = f"""{STORED} SELECT id, user_id, repo_url, repo_name, commit_sha, status, total_files, scanned_files, created_at, completed_at FROM job
+ORDER BY created_at DESC, id DESC LIMIT 1"""
+    out["stored_findings"] = f"""{STORED}, at_job AS (SELECT id AS scan_job_id, k, CASE WHEN k % 7 = 0 THEN 11 WHEN k % 3 = 0 THEN 10 ELSE 9 END AS attempt FROM job)
+SELECT f.id, scan_job_id, file_path, line_start, line_end, category, severity, confidence, title, description, masked_evidence, fix_suggestion,
+  CAST(NULL AS VARCHAR) AS code_snippet, detected_by, CASE attempt WHEN 9 THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-01-02' END AS created_at
+FROM finding f JOIN at_job j USING (scan_job_id) WHERE attempt = 9 OR attempt = 10 AND k % 6 = 3 AND severity IN ('critical', 'high')"""
+    out["checkout_files"] = f"""WITH {FILES} SELECT CASE ordinal % 6 WHEN 0 THEN '.github/' WHEN 1 THEN '__pkg__/' ELSE '' END || path AS path,
+  CAST(size AS BIGINT) AS size, sha, CAST(length(content) AS INTEGER) AS chars FROM tree WHERE content IS NOT NULL"""
+    out["users_merged"] = out["users_upsert"]
+    out["job_status_tombstones"] = f"""{STATUS}, ends AS (SELECT job_id, ts, seq FROM ev QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) = 1)
+SELECT last.* FROM last JOIN ends USING (job_id) WHERE ends.seq % 7 <> 0"""
+    out["cached_reports"] = f"""WITH {REQUESTS} SELECT 'scan:' || sha256(r.repo_url || ':' || r.commit_sha) AS cache_key, r.request_id, r.ts, d.job_id, r.repo_url,
+  CAST(substr(d.job_id, 5)::BIGINT % 101 AS INTEGER) AS risk_score, CAST(substr(d.job_id, 5)::BIGINT % 3 AS INTEGER) AS critical, 'found by ' || d.job_id AS first_title
+FROM req r ASOF JOIN done d ON r.repo_url = d.repo_url AND r.ts >= d.completed_at WHERE r.event_type <> 'purchase' AND r.ts < d.completed_at + {day}"""
+    out["stream_scan"] = scan_all()
     out["stream_admission"] = replay(86400, "SELECT repo_url, commit_sha, request_id, ts FROM (" + REPLAYED + ") WHERE NOT cached")
     out["stream_status"] = f"{STATUS} SELECT * FROM last"
     return out

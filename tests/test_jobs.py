@@ -177,9 +177,84 @@ def test_stream_admission_over_several_batches(spark, tmp_path):
 
 def test_stream_status(spark, tmp_path):
     rows = [(f"j{i % 3}", at(i), i, "running", "fetcher", f"m{i}", i, 9) for i in range(40)]
-    log_ = run_stream(spark, status.status_changes(in_batches(spark, rows, EVENT, tmp_path / "in")), tmp_path)
-    assert {r["job_id"]: r["message"] for r in J.latest_status(log_).collect()} == {"j0": "m39", "j1": "m37", "j2": "m38"}
+    table = str(tmp_path / "table")
+    status.tail_status(in_batches(spark, rows, EVENT, tmp_path / "in"), table, str(tmp_path / "progress")).awaitTermination()
+    said = lambda: {r["job_id"]: r["message"] for r in status.current_status(spark, table).collect()}
+    assert said() == {"j0": "m39", "j1": "m37", "j2": "m38"}
+    held = lambda: spark.read.parquet(table).count()
+    n = held()
+    # The same batch again changes nothing, whatever it holds late.
+    last = spark.createDataFrame(rows[-10:], EVENT)
+    batches = sorted(r["batch_id"] for r in spark.read.parquet(table).select("batch_id").distinct().collect())
+    assert len(batches) >= 4
+    status.append_batch(last, batches[-1], table)
+    status.append_batch(last, batches[-1], table)
+    assert held() == n and said() == {"j0": "m39", "j1": "m37", "j2": "m38"}
+    status.append_batch(spark.createDataFrame([("j1", at(5), 5, "running", "x", "late", 0, 0), ("new", at(1), 1, "pending", "x", "n", 0, 0)], EVENT), 99, table)
+    assert said() == {"j0": "m39", "j1": "m37", "j2": "m38", "new": "n"}
     q = (J.latest_status(in_batches(spark, rows, EVENT, tmp_path / "in2")).writeStream.outputMode("update").format("memory")
          .queryName("tail").trigger(availableNow=True).start())
     q.awaitTermination()
     assert spark.table("tail").filter("message = 'm39'").count() == 1
+
+
+def test_deletes_take_their_place_among_records(spark):
+    rows = [("a", at(0), 1, "pending", "q", "1", 0, 0), ("a", at(9), 4, "running", "q", "4", 0, 0), ("b", at(1), 2, "running", "q", "2", 0, 0),
+            ("c", at(1), 3, "running", "q", "3", 0, 0), ("d", at(5), 5, "running", "q", "5", 0, 0)]
+    gone = [("a", at(5), 2), ("b", at(1), 3), ("c", at(1), 2), ("d", at(5), 5), ("nobody", at(0), 0), ("a", at(5), 2)]
+    left = J.status_after_deletes(spark.createDataFrame(rows, EVENT), spark.createDataFrame(gone, "job_id string, ts timestamp, seq bigint"))
+    assert {r["job_id"]: r["message"] for r in left.collect()} == {"a": "4", "c": "3"}
+    assert left.columns == J.latest_status(spark.createDataFrame(rows, EVENT)).columns
+
+
+def test_only_touched_buckets_are_rewritten(spark, tmp_path):
+    import pathlib
+
+    schema = "github_id string, username string, email string, avatar_url string, seen_at timestamp, seq bigint"
+    users = spark.createDataFrame([(f"u{i}", f"g{i}", f"n{i}", None, f"a{i}") for i in range(200)], "id string, github_id string, username string, email string, avatar_url string")
+    path = str(tmp_path / "users")
+    J.write_users(users, path, 32)
+    files = lambda: {(int(f.parent.name.split("=")[1]), f.name) for f in pathlib.Path(path).glob("bucket=*/part-*")}
+    before = files()
+    updates = spark.createDataFrame([("g3", "x", None, "new", at(1), 1), ("g3", "y", None, "newer", at(2), 2), ("fresh", "f", "e", "p", at(1), 3)], schema)
+    touched = J.merge_users(spark, updates, path, 32)
+    after = files()
+    assert 1 <= len(touched) <= 2
+    assert {f for f in before if f[0] not in touched} == {f for f in after if f[0] not in touched} and len(before & after) > 20
+    assert not {f for f in before if f[0] in touched} & after
+    spark.catalog.refreshByPath(path)
+    rows = lambda df: sorted(tuple(r) for r in df.select(*users.columns).fillna("").collect())
+    assert rows(J.read_users(spark, path)) == rows(J.upsert_users(users, updates))
+    assert J.merge_users(spark, updates.limit(0), path, 32) == [] and files() == after
+
+
+def test_result_store(spark, tmp_path):
+    from lintlake.operators import resultstore as RS
+
+    rnd, ttl, path = random.Random(3), 600, str(tmp_path / "results")
+    kept = [(f"r{rnd.randint(0, 5)}", "c", f"j{i}", at(rnd.randint(0, 20_000)), '{"risk_score":%d,"n":null,"f":[{"t":"é"}]}' % i) for i in range(200)]
+    reports = spark.createDataFrame(kept, "repo_url string, commit_sha string, job_id string, stored_at timestamp, report string")
+    RS.put(reports.limit(120), path, ttl)
+    RS.put(reports.subtract(reports.limit(120)).unionByName(reports.limit(3)), path, ttl)  # some entries twice
+    asked = log(300) + [(f"r{i % 6}", "c", at(i * 60), 50_000 + i) for i in range(300)]
+    req = spark.createDataFrame(asked, REQ)
+
+    def want(rows):
+        out = {}
+        for repo, _, ts, i in asked:
+            past = [(t, j) for r, _, j, t, _ in rows if r == repo and t <= ts]
+            if past and ts < max(past)[0] + timedelta(seconds=ttl):
+                out[i] = {j for t, j in past if t == max(past)[0]}
+        return out
+
+    got = RS.probe(req, path).select("request_id", "job_id", RS.field(F.col("report"), "$.risk_score", "int").alias("s"), RS.field(F.col("report"), "$.f[0].t", "string").alias("t"),
+                                     RS.field(F.col("report"), "$.missing", "int").alias("m")).collect()
+    w = want(kept)
+    assert len(got) == len(w) > 100 and all(r["job_id"] in w[r["request_id"]] and f"j{r['s']}" == r["job_id"] and r["t"] == "é" and r["m"] is None for r in got)
+    # Compaction keeps whatever can still answer.
+    later = RS.compact(spark, path, F.lit(at(10_000)).cast("timestamp"))
+    n = RS.stored(spark, later).count()
+    assert n < 200
+    after = {r["request_id"] for r in RS.probe(req.filter(F.col("ts") >= F.lit(at(10_000)).cast("timestamp")), later).collect()}
+    assert after == {i for repo, _, ts, i in asked if i in w and ts >= at(10_000)}
+    assert RS.probe(req.limit(0), path).count() == 0
