@@ -508,7 +508,7 @@ def stream_scan(spark, sf_dir):
 @query
 def stream_admission(spark, sf_dir):
     asked = seeded.scan_requests(runs.table_stream(spark, sf_dir, "events"))
-    return runs.append_available(admission.admit_requests(asked, 86_400), "stream-admission")
+    return admission.admit_requests(asked, 86_400)
 
 
 @query

@@ -168,11 +168,38 @@ def test_stream_scan_is_the_batch_scan(spark, tmp_path):
     assert key(got) == key(want) != []
 
 
-def test_stream_admission_over_several_batches(spark, tmp_path):
+@pytest.mark.parametrize("ttl", [600, 20_000])
+def test_stream_admission_over_several_batches(spark, tmp_path, monkeypatch, ttl):
+    monkeypatch.setattr(ordered, "CHUNK_BITS", 5)  # the hot repository lies in many chunks
     rows = sorted(log(400), key=lambda r: (r[2], r[3]))
-    stream = admission.admit_requests(in_batches(spark, rows, REQ, tmp_path / "in"), 600)
-    got = {r["request_id"] for r in run_stream(spark, stream, tmp_path).collect()}
-    assert got == {i for i, hit in decide(rows, 600).items() if not hit}
+    path = str(tmp_path / "table")
+    admission.follow_requests(in_batches(spark, rows, REQ, tmp_path / "in"), ttl, path, str(tmp_path / "progress")).awaitTermination()
+    ids = lambda: sorted(r["request_id"] for r in admission.admitted(spark, path).collect())
+    want = sorted(i for i, hit in decide(rows, ttl).items() if not hit)
+    assert ids() == want
+    # Batches run again, also an earlier one, change nothing; a late request before the validity is a hit, one after it is admitted.
+    quarter = [spark.createDataFrame(rows[i:i + 100], REQ) for i in range(0, 400, 100)]
+    for n in (3, 1):
+        admission.admit_batch(quarter[n], n, path, ttl)
+    spark.catalog.refreshByPath(path)
+    assert ids() == want
+    end = max(r[2] for r in rows)
+    late = [("hot", "c", rows[5][2], 90_001), ("hot", "c", end + timedelta(seconds=ttl), 90_002), ("hot", "c", end + timedelta(seconds=ttl), 90_003)]
+    admission.admit_batch(spark.createDataFrame(late, REQ), 4, path, ttl)
+    assert ids() == sorted([*want, 90_002])
+    state = lambda: {r["repo_url"]: r["_valid"] for r in admission.validity(spark, path, 5).collect()}
+    before = state()
+    admission.forget(spark, path, 4, 0)
+    spark.catalog.refreshByPath(path)
+    assert state() == before
+
+
+def test_approximate_admission(spark, tmp_path):
+    rows = sorted(log(400), key=lambda r: (r[2], r[3]))
+    stream = admission.admit_approximately(in_batches(spark, rows, REQ, tmp_path / "in"), 3600)
+    got = run_stream(spark, stream, tmp_path).collect()
+    exact = [i for i, hit in decide(rows, 3600).items() if not hit]
+    assert {r["repo_url"] for r in got} == {r[0] for r in rows} and len(got) <= len(exact) and len({r["request_id"] for r in got}) == len(got)
 
 
 def test_stream_status(spark, tmp_path):
