@@ -13,15 +13,22 @@ invert it. Kinds and the domains that are permuted:
   dd/MM/yyyy with a day above 12, and dates with a one-digit part, each among their like, so that they are read back as what they are (29 February:
   among the leap years); what can be read as month first is;
 * iban: digits and letters of the account, each among their like, country stays, check digits are set anew;
-* email: letters and digits of the local part, each among its like; the domain stays.
+* email: letters and digits of the local part, each among its like; capitals stay where they are, and the domain stays.
+
+Symbols that stand alone (a local part of one letter) and leap years have no two halves; they are permuted by a keyed table.
+
+The key itself is in no plan: keys for each use are derived from it (HMAC-SHA-256). Those, and the tables, are literals of the plan, so whoever may read plans, the
+UI or event logs can undo pseudonyms; restrict these, or redact them (spark.sql.redaction.string.regex).
 
 Values that fail validation stay as they are. Only texts with a digit or an @ are looked at closely. No shuffle.
 
-Edge cases: NULL stays NULL, empty stays empty. Adjoining values are told apart by the pattern's bounds. Rows are independent.
+Edge cases: NULL stays NULL, empty stays empty. Columns ``_p`` and ``pii_kinds`` of the input are replaced. Adjoining values are told apart by the pattern's bounds. Rows are independent.
 """
 
 from __future__ import annotations
 
+import hashlib
+import hmac
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -57,9 +64,20 @@ _PARTLY = (
 _WHOLE = (("yyyy-MM-dd", r"^[0-9]{4}-"), ("yyyy/MM/dd", r"^[0-9]{4}/"), ("MM/dd/yyyy", r"^[0-9]{2}/[0-9]{2}/"), ("dd.MM.yyyy", r"^[0-9]{2}\.[0-9]{2}\."))
 
 
+def _subkey(key: str, use: str) -> str:
+    """The key for one use, of a fixed length."""
+    return hmac.new(key.encode(), use.encode(), hashlib.sha256).hexdigest()
+
+
+def _table(values: list, key: str, use: str, back: bool) -> list:
+    """A keyed permutation of a few values: what the i-th one becomes."""
+    moved = sorted(values, key=lambda x: hmac.new(key.encode(), f"{use}|{x}".encode(), hashlib.sha256).digest())
+    return [values[moved.index(x)] for x in values] if back else moved
+
+
 def _random(key: str, tweak: Column, round_: Column, half: Column) -> Column:
     """60 pseudo-random bits from the key, what is permuted, the round and one half."""
-    told = F.concat_ws("|", F.lit(key), tweak, round_.cast("string"), half.cast("string"))
+    told = F.concat_ws("|", F.lit(key), F.length(tweak).cast("string"), tweak, round_.cast("string"), half.cast("string"))
     return F.conv(F.substring(F.sha2(told, 256), 1, 15), 16, 10).cast("bigint")
 
 
@@ -81,9 +99,10 @@ def _power(base: int, n: Column) -> Column:
 
 def _digits(s: Column, key: str, tweak: str, back: bool, more: Column | None = None) -> Column:
     """Permute the strings of as many digits (18 at most)."""
-    n = F.length(s)
+    n, alone = F.length(s), "".join(_table(list("0123456789"), key, tweak, back))
     low, high = _power(10, F.floor(n / 2)), _power(10, n - F.floor(n / 2))
-    return F.lpad(feistel(s.cast("bigint"), low, high, key, F.concat(F.lit(tweak), n.cast("string"), *([F.lit("|"), more] if more is not None else [])), back).cast("string"), n, "0")
+    moved = F.lpad(feistel(s.cast("bigint"), low, high, key, F.concat(F.lit(tweak), n.cast("string"), *([F.lit("|"), more] if more is not None else [])), back).cast("string"), n, "0")
+    return F.when(n == 1, F.translate(s, "0123456789", alone)).otherwise(moved)
 
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -91,11 +110,12 @@ _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 def _letters(s: Column, key: str, tweak: str, back: bool) -> Column:
     """Permute the strings of as many lower-case letters (12 at most)."""
-    n = F.length(s)
+    n, alone = F.length(s), "".join(_table(list(_LETTERS), key, tweak, back))
     value = F.aggregate(F.split(s, ""), F.lit(0).cast("bigint"), lambda acc, c: acc * 26 + F.ascii(c) - 97)
     low, high = _power(26, F.floor(n / 2)), _power(26, n - F.floor(n / 2))
     moved = feistel(value, low, high, key, F.concat(F.lit(tweak), n.cast("string")), back)
-    return let(moved, lambda v: F.array_join(F.transform(F.sequence(n - 1, F.lit(0)), lambda k: F.substring(F.lit(_LETTERS), (F.pmod(((v - F.pmod(v, _power(26, k))) / _power(26, k)).cast("bigint"), F.lit(26)) + 1).cast("int"), F.lit(1))), ""))
+    spelled = let(moved, lambda v: F.array_join(F.transform(F.sequence(n - 1, F.lit(0)), lambda k: F.substring(F.lit(_LETTERS), (F.pmod(((v - F.pmod(v, _power(26, k))) / _power(26, k)).cast("bigint"), F.lit(26)) + 1).cast("int"), F.lit(1))), ""))
+    return F.when(n == 1, F.translate(s, _LETTERS, alone)).otherwise(spelled)
 
 
 def _fill(form: Column, pattern: str, symbols: Column) -> Column:
@@ -157,19 +177,15 @@ def _partly(v: Column, of: Callable) -> Column:
     return F.coalesce(*[one(*p) for p in _PARTLY])
 
 
-def _leap(year: Column) -> Column:
-    return (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
-
-
 def _moved_partly(v: Column, key: str, back: bool) -> Column:
     def of(date: Column, name: str, form: str, days: list[str]) -> Column:
         one = lambda n: F.lit(n).cast("bigint")
-        listed, leap = F.array(*map(F.lit, days)), F.filter(F.sequence(F.lit(1700), F.lit(2099)), _leap)
+        years = [y for y in range(1700, 2100) if y % 4 == 0 and (y % 100 or y % 400 == 0)]
+        listed, leap, moved = (F.array(*map(F.lit, x)) for x in (days, years, _table(years, key, name + " leap", back)))
         place = F.array_position(listed, F.date_format(date, "MM-dd")) - 1
         x = feistel((F.year(date).cast("bigint") - 1700) * len(days) + place, one(len(days)), one(400), key, F.lit(name), back)
         common = let(x, lambda x: F.concat((F.floor(x / len(days)) + 1700).cast("string"), F.lit("-"), F.element_at(listed, (F.pmod(x, one(len(days))) + 1).cast("int"))))
-        y = feistel(F.array_position(leap, F.year(date)) - 1, one(1), one(97), key, F.lit(name + " leap"), back)
-        year = F.element_at(leap, (y + 1).cast("int"))
+        year = F.element_at(moved, F.array_position(leap, F.year(date)).cast("int"))
         made = F.when(place >= 0, common).otherwise(F.concat(year.cast("string"), F.lit("-02-29")))
         return F.date_format(made.cast("date"), form)
 
@@ -178,17 +194,19 @@ def _moved_partly(v: Column, key: str, back: bool) -> Column:
 
 def pseudonym(v: Column, key: str, back: bool = False) -> Column:
     """The pseudonym of a found value (or with ``back`` the value of a pseudonym); what is not valid stays."""
+    key, abroad_key = _subkey(key, "pseudonym"), _subkey(key, "abroad")
     digits = F.regexp_replace(v, "[^0-9]", "")
     local = F.lower(F.substring_index(v, "@", 1))
+    cased = lambda moved: F.array_join(F.zip_with(F.split(F.substring_index(v, "@", 1), ""), F.split(moved, ""), lambda o, m: F.when(o.rlike("^[A-Z]$"), F.upper(m)).otherwise(m)), "")
     parts = lambda cls, size: F.regexp_extract_all(F.regexp_replace(local, f"[^{cls}]", ""), F.lit(f".{{1,{size}}}"), F.lit(0))
     words = F.array_join(F.transform(parts("a-z", 12), lambda p: _letters(p, key, "letters", back)), "")
     numbers = F.array_join(F.transform(parts("0-9", 18), lambda p: _digits(p, key, "digits", back)), "")
-    email = F.concat(_fill(_fill(local, "^[a-z]$", words), "^[0-9]$", numbers), F.lit("@"), F.substring_index(v, "@", -1))
+    email = F.concat(cased(_fill(_fill(local, "^[a-z]$", words), "^[0-9]$", numbers)), F.lit("@"), F.substring_index(v, "@", -1))
     ten = F.right(digits, F.lit(10))
     phone_value = feistel(ten.cast("bigint") - 2_000_000_000, F.lit(10_000).cast("bigint"), F.lit(800_000).cast("bigint"), key, F.lit("phone"), back) + 2_000_000_000
     phone = _fill(v, "^[0-9]$", F.concat(F.when(F.length(digits) > 10, "1").otherwise(""), phone_value.cast("string")))
     code = F.regexp_extract(digits, _CODE, 1)
-    abroad = let(code, lambda c: _fill(v, "^[0-9]$", F.concat(c, let(F.substring(digits, F.length(c) + 1, F.length(digits)), lambda rest: _digits(rest, f"{key}|abroad", "", back, c)))))
+    abroad = let(code, lambda c: _fill(v, "^[0-9]$", F.concat(c, let(F.substring(digits, F.length(c) + 1, F.length(digits)), lambda rest: _digits(rest, abroad_key, "", back, c)))))
     account = F.lower(F.substring(F.replace(v, F.lit(" "), F.lit("")), F.lit(5), F.length(v)))
     runs = lambda cls, size: F.regexp_extract_all(F.regexp_replace(account, f"[^{cls}]", ""), F.lit(f".{{1,{size}}}"), F.lit(0))
     numbers_in = F.array_join(F.transform(runs("0-9", 18), lambda p, i: _digits(p, key, "iban", back, i.cast("string"))), "")
