@@ -134,7 +134,9 @@ def fit(voted: DataFrame, names: list[str], steps: int = 20) -> list[float]:
     Starts from rules that are right in four of five cases; two pseudo-observations each way keep estimates off 0 and 1.
     Without rows the start is returned.
     """
-    patterns = written(voted.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1), "vote-patterns")
+    # Counted in parallel first; what is left are 3 ** rules rows at most, in one file for the steps that follow.
+    counted = written(voted.groupBy(*names).agg(F.count("*").alias("n")), "vote-patterns")
+    patterns = written(counted.coalesce(1), "vote-patterns")
     params = [0.8] + [0.8] * len(names)
     v = [F.col(c) for c in names]
     for _ in range(steps):
@@ -155,22 +157,24 @@ def fit(voted: DataFrame, names: list[str], steps: int = 20) -> list[float]:
     return params
 
 
-N_RULES = 8
 VOTES = [f"v{i}" for i in range(N_RULES)]
 
 
-def fit_texts(docs: DataFrame, text: str = "text") -> list[float]:
-    voted = docs.select(let(measures(F.col(text)), lambda m: F.struct(*[x.alias(c) for x, c in zip(votes(m), VOTES, strict=True)])).alias("v"))
-    return fit(voted.select("v.*"), VOTES)
-
-
 def verdict(m: Column, params: list[float]) -> Column:
     """(posterior, base_failed, kept) of measured texts."""
     return let(F.struct(_evidence(votes(m), params).alias("p"), base_failed(m).alias("failed")), lambda x: F.struct(
         x["p"].alias("quality"), x["failed"].alias("base_failed"), (~x["failed"] & (x["p"] >= 0.5)).alias("kept")))
 
 
+def voted(measured: DataFrame, m: str) -> DataFrame:
+    """The votes on measured texts, a column for each rule."""
+    return measured.select(*[v.alias(c) for v, c in zip(votes(F.col(m)), VOTES, strict=True)])
+
+
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose verdict is to keep them."""
-    params = fit_texts(docs, text)
-    return docs.filter(let(measures(F.col(text)), lambda m: verdict(m, params))["kept"])
+    """The rows of ``docs`` whose verdict is to keep them. Texts are measured once: the rows are stored with their measures, and filtered after the fit."""
+    # The measures go by a name that no column of the table has.
+    m = "_measures" + "_" * max(len(c) for c in docs.columns)
+    measured = written(docs.withColumn(m, measures(F.col(text))), "quality-measured")
+    params = fit(voted(measured, m), VOTES)
+    return measured.filter(verdict(F.col(m), params)["kept"]).drop(m)

@@ -118,8 +118,7 @@ def op8_quality_rules(spark, sf_dir):
     """Base measures and the verdict of weakly supervised rules, per document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     measured = written(docs.select("doc_id", quality.measures(F.col("text")).alias("m")), "quality-measures")
-    voted = measured.select(*[v.alias(c) for v, c in zip(quality.votes(F.col("m")), quality.VOTES, strict=True)])
-    params = quality.fit(voted, quality.VOTES)
+    params = quality.fit(quality.voted(measured, "m"), quality.VOTES)
     out = measured.select("*", quality.verdict(F.col("m"), params).alias("v"))
     return out.select("doc_id", *[f"m.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
                       "v.base_failed", "v.kept", F.round("v.quality", 6).alias("quality"))

@@ -144,3 +144,76 @@ def test_every_stretch_of_the_schedule_is_mixed(spark):
     assert [slots.count(s) for s in "abc"] == [1000, 500, 100]
     for at in range(0, 1400, 200):
         assert abs(slots[at:at + 200].count("a") - 125) <= 5 and abs(slots[at:at + 200].count("c") - 12.5) <= 5
+
+
+def test_pseudonyms_keep_capitals_and_permute_single_symbols(spark):
+    from lintlake.llm import pii_feistel
+
+    texts = ["Tom.X@Mail.com", "tom.x@mail.com", "TOM.X@mail.com", *[f"{c}@x.org" for c in "abcdefghijklmnopqrstuvwxyz"], *[f"{c}@y.org" for c in "0123456789"],
+             *[f"29/2/{y}" for y in range(1704, 2097, 4) if y % 100], "A1b@q.de", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"_p": F.lit(1), "pii_kinds": F.lit("x")})
+
+    def moved(key):
+        out = pii_feistel.apply(df, key)
+        rows = out.select("doc_id", "text", pii_feistel.pseudonymise(F.col("text"), key, back=True)["text"].alias("back")).orderBy("doc_id").collect()
+        assert [r["back"] for r in rows] == texts
+        return [r["text"] for r in rows], out
+
+    one, out = moved("k1")
+    assert [[c.isupper() for c in t.split("@")[0]] for t in one[:3]] == [[c.isupper() for c in t.split("@")[0]] for t in texts[:3]]
+    assert one[0].split("@")[0].lower() == one[1].split("@")[0] == one[2].split("@")[0].lower()
+    letters = [t[0] for t in one[3:29]]
+    assert sorted(letters) == list("abcdefghijklmnopqrstuvwxyz") and len({(ord(a) - i) % 26 for i, a in enumerate(letters)}) > 3
+    assert sorted(t[0] for t in one[29:39]) == list("0123456789")
+    leap = [int(t[-4:]) for t in one[39:39 + len([t for t in texts if t and t.startswith("29/2/")])]]
+    assert len(set(leap)) == len(leap) and len({b - int(t[-4:]) for b, t in zip(leap, texts[39:], strict=False)}) > 10
+    two, _ = moved("k2")
+    assert two != one
+    plan = out._jdf.queryExecution().toString()
+    assert "k1" not in plan.replace(pii_feistel._subkey("k1", "pseudonym"), "").replace(pii_feistel._subkey("k1", "abroad"), "")
+    assert pii_feistel.apply(df.limit(0), "k").count() == 0
+
+
+def test_quality_of_odd_rows(spark):
+    from lintlake.llm import quality_votes
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = docs.withColumns({"_measures": F.lit(1), "kept": F.lit("x")})
+    kept = quality_votes.keep_good(odd)
+    want = {r["doc_id"] for r in queries.op8_quality_rules(spark, "/root/testdata/sf0.001").collect() if r["kept"]}
+    assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == want and 0 < len(want) < docs.count()
+    assert quality_votes.keep_good(odd.limit(0)).count() == 0
+
+
+def posterior_by_hand(rows, names):
+    """EM by hand over the same votes."""
+    import math
+
+    share, right = 0.8, [0.8] * len(names)
+
+    def good(v):
+        z = math.log(share / (1 - share)) + sum(x * math.log(r / (1 - r)) for x, r in zip(v, right, strict=True))
+        return 1 / (1 + math.exp(-z))
+
+    for _ in range(20):
+        p = [good(v) for v in rows]
+        new = []
+        for i in range(len(names)):
+            hit = sum(q if v[i] == 1 else 1 - q if v[i] == -1 else 0 for v, q in zip(rows, p, strict=True))
+            new.append(min(0.98, max(0.6, (hit + 2) / (sum(abs(v[i]) for v in rows) + 4))))
+        s = (sum(p) + 2) / (len(rows) + 4)
+        moved = max(abs(a - b) for a, b in zip([s, *new], [share, *right], strict=True))
+        share, right = s, new
+        if moved < 1e-4:
+            break
+    return [share, *right]
+
+
+def test_accuracies_and_verdicts_by_hand(spark):
+    from lintlake.llm import quality_votes
+
+    rnd = random.Random(8)
+    rows = [tuple(rnd.choice([-1, 0, 0, 1, 1]) for _ in range(8)) for _ in range(400)]
+    df = spark.createDataFrame(rows, ", ".join(f"{v} int" for v in quality_votes.VOTES)).repartition(6)
+    got = quality_votes.fit(df, quality_votes.VOTES)
+    assert all(abs(a - b) < 1e-9 for a, b in zip(got, posterior_by_hand(rows, quality_votes.VOTES), strict=True))
