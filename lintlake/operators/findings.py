@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.functions.scoring import severity_rank, severity_weight
-from lintlake.operators.ordered import first_per_group, rank_within
+from lintlake.operators.ordered import first_per_group, rank_in_buckets
 from lintlake.rules import SEVERITIES
 
 PAGE_ROWS = 500
@@ -27,7 +27,7 @@ def deduplicate(findings: DataFrame, keys: tuple[str, ...], tie_break: tuple[str
 def ranked(findings: DataFrame, keys: tuple[str, ...], tie_break: tuple[str, ...] = ()) -> DataFrame:
     """Number the findings of each job: most severe first, then most certain, then by file and detection."""
     order = [F.asc("_severity"), F.desc("confidence"), F.asc("file_path"), F.asc("det_ordinal"), *[F.asc(c) for c in tie_break]]
-    return rank_within(findings.withColumn("_severity", severity_rank(F.col("severity"))), keys, order, "rank_in_job").drop("_severity")
+    return rank_in_buckets(findings.withColumn("_severity", severity_rank(F.col("severity"))), keys, order, "rank_in_job").drop("_severity")
 
 
 def _severity_columns() -> list[Column]:

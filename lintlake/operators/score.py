@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lintlake import rules as R
 from lintlake.functions.scoring import capped_share, model_tag, review_depth
 from lintlake.functions.text import report_language
-from lintlake.operators.ordered import rank_within
+from lintlake.operators.ordered import rank_in_buckets
 from lintlake.operators.rulescan import FILE_KEY, SCAN_RULES, any_word, family_mask, hit_title, rule_facts, with_hits, with_rule_mask
 from lintlake.session import written
 
@@ -84,7 +84,7 @@ def ranked_flagged(files: DataFrame, rules: tuple[R.Rule, ...] = SCAN_RULES, key
     """Flagged files with their place in the repository, most suspicious first. Contents are not carried."""
     # Stored first: ranking samples its input, and that must not scan the files a second time.
     slim = written(flagged(files, rules, keys).drop("content"), "flagged")
-    return rank_within(slim, keys, [F.desc("suspicion_score"), F.asc("file_path")], "flag_rank")
+    return rank_in_buckets(slim, keys, [F.desc("suspicion_score"), F.asc("file_path")], "flag_rank")
 
 
 def review_requests(flagged_files: DataFrame, keys: tuple[str, ...] = FILE_KEY,

@@ -21,7 +21,7 @@ def chosen_files(tree: DataFrame, max_kb: float = S.MAX_FILE_KB, tree_cap: int |
     """Files to read. Without caps every scannable file is read; ``S.TREE_CAP`` and ``S.SCAN_CAP`` give the service's limits."""
     caps = [c for c in (tree_cap, scan_cap) if c is not None]
     kept = S.scannable(tree, max_kb)
-    return S.first_files(kept, min(caps)) if caps else kept
+    return S.first_files(kept, *caps) if caps else kept
 
 
 def final_findings(files: DataFrame, responses: DataFrame | None = None, rules: tuple[R.Rule, ...] = R.ALL_RULES,

@@ -68,8 +68,7 @@ def scannable_files_small_limit(spark, sf_dir):
 
 @query
 def file_caps(spark, sf_dir):
-    kept = files.first_files(files.scannable(seeded.repo_files(spark, sf_dir)), SMALL_TREE_CAP)
-    return _file_columns(files.first_files(kept, SMALL_SCAN_CAP))
+    return _file_columns(files.first_files(files.scannable(seeded.repo_files(spark, sf_dir)), SMALL_TREE_CAP, SMALL_SCAN_CAP))
 
 
 @query

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lintlake.functions.text import basename, selection_extension
 from lintlake.operators.ordered import first_per_group
+from lintlake.session import written
 from lintlake.sources.checkout import load_tree
 
 REPO_FILES_SCHEMA = (
@@ -75,22 +76,42 @@ def scannable(tree: DataFrame, max_kb: float = MAX_FILE_KB) -> DataFrame:
     return tree.filter(is_scannable(max_kb))
 
 
-def first_files(files: DataFrame, cap: int, salts: int = 32) -> DataFrame:
-    """The first ``cap`` files of each repository in tree order.
+def _might_hold(rows: DataFrame, kept: DataFrame, columns: list[str], bits: int) -> DataFrame:
+    """``rows`` without most of those whose ``columns`` are not in ``kept``; none that is there is lost.
 
-    Only (repository, ordinal, path) travels: the cap is found as one cut-off per repository, in two
-    rounds so that a repository with very many files is reduced in ``salts`` tasks first. Contents
-    meet the cut-offs in a join with one row per repository.
+    The hashes of ``kept`` are one bit map of 2 ** ``bits`` bits, cut into pieces of 4 KB. Together the pieces take 2 ** (bits - 3) bytes at
+    most, whatever the tables' sizes, so they are broadcast, and rows are dropped before anything is exchanged.
     """
+    place = F.pmod(F.xxhash64(*columns), F.lit(1 << bits)) + 1
+    pieces = kept.groupBy(F.bitmap_bucket_number(place).alias("_piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return (
+        rows.withColumn("_piece", F.bitmap_bucket_number(place)).join(F.broadcast(pieces), "_piece")
+        .filter(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1).drop("_piece", "_bits")
+    )
+
+
+def first_files(files: DataFrame, *caps: int, salts: int = 32, bits: int = 28) -> DataFrame:
+    """The first files of each repository in tree order; of several ``caps`` the least one binds.
+
+    Only (repository, ordinal, path) travels to find them, in two rounds, so that a repository with very many files is reduced in
+    ``salts`` tasks first. They are stored (at most ``caps`` rows per repository). Contents are first reduced to the files
+    whose hash is among theirs, where they are read; what is left meets them by repository and path, so a
+    repository is no hot key. Files without a repository or a commit are left out.
+    """
+    cap = min(caps)
     meta = files.select(*REPO_KEY, "ordinal", "path").withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(salts)))
     order = [F.asc("ordinal"), F.asc("path")]
     few = first_per_group(meta, (*REPO_KEY, "_salt"), order, cap)
-    kept = first_per_group(few, REPO_KEY, order, cap)
-    cutoff = kept.groupBy(*REPO_KEY).agg(F.max(F.struct("ordinal", "path")).alias("_last"))
-    return (
-        files.join(cutoff, list(REPO_KEY))
-        .filter(F.struct("ordinal", "path") <= F.col("_last")).drop("_last")
-    )
+    columns = [*REPO_KEY, "ordinal", "path"]
+    kept = written(first_per_group(few, REPO_KEY, order, cap).select(*columns).distinct(), "first-files")
+    theirs = kept.select(*[F.col(c).alias(f"_{c}") for c in columns])
+    same = F.lit(True)
+    for c in columns:
+        same = same & (F.col(c) == F.col(f"_{c}") if c in REPO_KEY else F.col(c).eqNullSafe(F.col(f"_{c}")))
+    # (Spark would push a semi join below the bit map's; an inner one stays above it.)
+    return _might_hold(files, kept, columns, bits).join(theirs, same).select(*files.columns)
 
 
 def tree_counts(tree: DataFrame, max_kb: float = MAX_FILE_KB, tree_cap: int | None = TREE_CAP, scan_cap: int | None = SCAN_CAP) -> DataFrame:

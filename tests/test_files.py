@@ -34,6 +34,19 @@ def test_caps_keep_tree_order(spark):
     assert {r: sorted((g["ordinal"], g["path"]) for g in got if g["repo_url"] == r) for r in want} == want
 
 
+def test_caps_with_a_hot_repository_repeated_rows_and_null_places(spark):
+    rows = [("hot", "c", i, "blob", f"f{i}.py", 1, "s", f"x{i}") for i in range(5000)]
+    rows += [("two", "c", None, "blob", "n.py", 1, "s", "n"), ("two", "c", 1, "blob", None, 1, "s", "p"), ("two", "c", 2, "blob", "b.py", 1, "s", "b")]
+    rows += [("same", "c", 1, "blob", "a.py", 1, "s", t) for t in "uvw"] + [(None, "c", 1, "blob", "a.py", 1, "s", "x")]
+    df = spark.createDataFrame(rows, S.REPO_FILES_SCHEMA)
+    # A map of 2 ** 15 bits lets many wrong rows through; the join behind it drops them.
+    for bits in (15, 28):
+        got = {(r["repo_url"], r["path"], r["content"]) for r in S.first_files(df, 900, 2, bits=bits).collect()}
+        assert got == {("hot", "f0.py", "x0"), ("hot", "f1.py", "x1"), ("two", "n.py", "n"), ("two", None, "p")} | {("same", "a.py", t) for t in "uvw"}
+    assert S.first_files(df, 3000, bits=15).filter("repo_url = 'hot'").count() == 3000
+    assert S.first_files(df.limit(0), 5).count() == 0
+
+
 def test_decoding_replaces_bad_bytes(spark):
     raw = [b"abc", b"", b"\xff\xfea", b"\xe2\x82", b"ok \xf0\x9f\x98\x80 \x80"]
     encoded = [base64.encodebytes(b).decode() for b in raw]

@@ -1,6 +1,7 @@
 import datetime
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lintlake.operators import findings as FI
@@ -52,6 +53,17 @@ def test_rank_is_a_stable_sort_even_for_a_hot_job(spark, monkeypatch):
     assert got == want
 
 
+def test_both_rankings_agree(spark, monkeypatch):
+    """A hot group over many chunks, groups that end in the middle of chunks, NULL keys, an empty table."""
+    monkeypatch.setattr(ordered, "CHUNK_BITS", 4)
+    df = spark.range(0, 4000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.concat(F.lit("g"), (F.col("id") % 97).cast("string"))).alias("g"),
+        F.xxhash64("id").alias("v"), "id")
+    want = {r["id"]: r["n"] for r in df.select("id", F.row_number().over(Window.partitionBy("g").orderBy("v")).alias("n")).collect()}
+    assert {r["id"]: r["n"] for r in ordered.rank_in_buckets(df, ("g",), [F.asc("v")], "n").collect()} == want
+    assert ordered.rank_in_buckets(df.limit(0), ("g",), [F.asc("v")], "n").count() == 0
+
+
 def test_risk_is_capped_and_jobs_without_findings_score_zero(spark):
     def job(name, **counts):
         return [(name, f"f{i}{s}", 1, "ssrf", s, 0.5, "t", "R", i) for s, n in counts.items() for i in range(n)]

@@ -67,3 +67,29 @@ def test_snippets_do_not_carry_contents(stored):
     p = plan(scan_rules(S.scannable(stored), SQL_RULES))
     generate = next(b for b in p.split("\n\n") if re.match(r"\(\d+\) Generate", b))
     assert "content#" not in generate.split("Arguments")[1]
+
+
+def without_broadcasts(spark, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return plan(QUERIES[name](spark, SMALL)).split("\n\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_ranking_moves_rows_once(spark):
+    """Stored in buckets by chunk, the rows are numbered and meet their offsets without an exchange."""
+    tree = without_broadcasts(spark, "ranked_findings")[0]
+    scan = tree.index("Scan parquet")
+    assert "Window" in tree[:scan] and "Exchange" not in tree[:scan]
+
+
+def test_caps_drop_contents_before_the_exchange(spark):
+    blocks = without_broadcasts(spark, "file_caps")
+    tree = blocks[0]
+    exchange, bits, scan = tree.index("Exchange"), tree.index("BroadcastHashJoin"), tree.index("Scan parquet")
+    assert exchange < bits < scan
+    scans = [b for b in blocks if re.match(r"\s*\(\d+\) Scan parquet", b)]
+    # Two of the stored keys, one of the files; the keys themselves came from one scan of metadata.
+    assert len(scans) == 3 and sum("documents" in b for b in scans) == 1
