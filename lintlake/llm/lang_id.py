@@ -1,21 +1,22 @@
 """Language identification by words first, then ever shorter character n-grams.
 
-Model: for each language the log frequency of the most frequent words, and of the most frequent character n-grams
-(n = 5 ... 1) of all words, a word being framed by ``_``. A known word scores by its own log frequency. An unseen word
+Model: for each language the log frequency of every word learned, and of every character n-gram
+(n = 5 ... 1) of these words, a word being framed by ``_``. A known word scores by its own log frequency. An unseen word
 scores by the mean log frequency of its known n-grams of the greatest length of which any is known. A text scores by
-the sum over its words; the winner's share after normalisation is the score.
+the sum over its words; the winner's share after normalisation is the score. A word is a letter with the letters and marks
+that follow it, in lower case; learning and predicting cut words by the same function.
 
-Fitting is counted by Spark on a bounded sample of labelled documents (``sample_docs``, those of smallest hash of
-their id, whole texts), so the model has a proven bound: ``max_words + 5 * max_grams`` rows of one number per language.
-It is collected and broadcast. Scoring is one Arrow pass without a shuffle; workers keep a bounded memo of words.
+Fitting is counted by Spark on a bounded sample of labelled documents (about ``sample_docs``, those of smallest hash of
+their id, whole texts). All their words and n-grams are kept, so the model is as large as the sample's vocabulary, and no larger
+when the corpus grows. It is collected and broadcast. Scoring is one Arrow pass without a shuffle; workers keep a bounded memo of words.
 
-Edge cases: NULL, empty and letter-free texts are ``und`` with score 0; so is everything if nothing was learned.
-Equal scores: the first language by code point. Rows are independent, so repeated rows get equal answers.
+Edge cases: NULL, empty and letter-free texts are ``und`` with score 0; so is everything if nothing was learned (an empty table,
+no labelled row). Equal scores: the first language by code point. Rows are independent, so repeated rows get equal answers. Texts of any
+length count whole. Other columns are kept; columns of the outputs' names are replaced.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -23,15 +24,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lintlake.session import written
+
 LONGEST = 5
 UNKNOWN = "und"
 SMOOTH = 0.1
 MEMO_SIZE = 300_000
-_WORD = re.compile(r"[^\W\d_]+")
+FLUSH_WORDS = 200_000
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 @dataclass(frozen=True)
@@ -45,56 +51,69 @@ class Model:
     gram_rows: np.ndarray
 
 
-def _log_rows(rows: list, langs: list[str], totals: dict[str, float]) -> tuple[dict[str, int], np.ndarray]:
-    at = {lang: i for i, lang in enumerate(langs)}
-    counts = np.full((len(rows), len(langs)), SMOOTH, np.float64)
-    for i, r in enumerate(rows):
-        for e in r["per_lang"]:
-            counts[i, at[e["lang"]]] += e["n"]
-    size = np.array([totals.get(lang, 0.0) + SMOOTH * (len(rows) + 1) for lang in langs])
-    return {r["item"]: i for i, r in enumerate(rows)}, np.log(counts / size).astype(np.float32)
+def words_of(text: str | None) -> list[str]:
+    return _WORD.findall(text.lower()) if text else []
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, text) to word counts, summed per task up to ``FLUSH_WORDS`` words."""
+    counts: Counter = Counter()
 
+    def rows() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(counts.values(), pa.int64())], names=["lang", "item", "n"])
+        counts.clear()
+        return out
 
-def _top(counted: DataFrame, limit: int) -> list:
-    """The items of greatest total count with their counts by language (ties: the smaller item)."""
-    per_item = counted.groupBy("item").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("per_lang"))
-    return per_item.orderBy(F.desc("total"), "item").limit(limit).collect()
+    for batch in batches:
+        for lang, text in zip(*batch.columns, strict=True):
+            lang = lang.as_py()
+            for word, n in Counter(words_of(text.as_py())).items():
+                counts[lang, word] += n
+            if len(counts) > FLUSH_WORDS:
+                yield rows()
+    yield rows()
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = 5_000,
-        max_words: int = 50_000, max_grams: int = 20_000) -> Model:
+def _log_rows(counted: pa.Table, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """Rows (lang, item, n), one per pair, to the items' places and their log frequencies."""
+    items = counted["item"].combine_chunks().dictionary_encode()
+    counts = np.zeros((len(items.dictionary), len(langs)))
+    of_lang = pc.index_in(counted["lang"], pa.array(langs, pa.string()))
+    counts[np.asarray(items.indices), np.asarray(of_lang)] = np.asarray(counted["n"])
+    sizes = counts.sum(axis=0) + SMOOTH * (len(counts) + 1)
+    return {w: i for i, w in enumerate(items.dictionary.to_pylist())}, np.log((counts + SMOOTH) / sizes).astype(np.float32)
+
+
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = 5_000) -> Model:
     """Learn from ``labelled`` rows (NULL texts and languages are left out)."""
     usable = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
     n = usable.count()
     share = min(1.0, sample_docs / max(n, 1))
     order = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("lang")), F.lit(1 << 30))
     sample = usable.filter(order < int(share * (1 << 30))) if share < 1 else usable
-    found = F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0)))
-    words = sample.select(F.col(lang).alias("lang"), found.alias("item")).groupBy("lang", "item").agg(F.count("*").alias("n")).cache()
-    try:
-        framed = F.concat(F.lit("_"), "item", F.lit("_"))
-        grams = F.flatten(F.array(*[
-            F.when(F.length(framed) >= k, F.transform(F.sequence(F.lit(1), F.length(framed) - k + 1), lambda i, k=k: F.substring(framed, i, F.lit(k))))
-            .otherwise(F.array().cast("array<string>")) for k in range(1, LONGEST + 1)]))
-        counted = words.select("lang", "n", F.explode(grams).alias("item")).groupBy("lang", "item").agg(F.sum("n").alias("n")).cache()
-        try:
-            known = _top(words, max_words)
-            sizes = {r["lang"]: float(r["n"]) for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-            langs = sorted(sizes)
-            word_at, word_rows = _log_rows(known, langs, sizes)
-            gram_at: dict[str, int] = {}
-            gram_rows = [np.zeros((0, len(langs)), np.float32)]
-            for k in range(1, LONGEST + 1):
-                of_length = counted.filter(F.length("item") == k)
-                totals = {r["lang"]: float(r["n"]) for r in of_length.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-                at, rows = _log_rows(_top(of_length, max_grams), langs, totals)
-                base = len(gram_at)
-                gram_at.update({g: base + i for g, i in at.items()})
-                gram_rows.append(rows)
-        finally:
-            counted.unpersist()
-    finally:
-        words.unpersist()
+    found = sample.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(_count, "lang string, item string, n long")
+    words = written(found.groupBy("lang", "item").agg(F.sum("n").alias("n")), "lang-words")
+    framed = F.concat(F.lit("_"), "item", F.lit("_"))
+
+    def cut(k: int) -> Column:
+        # (A second parameter of the lambda would be the place in the array.)
+        every = F.transform(F.sequence(F.lit(1), F.length(framed) - k + 1), lambda i: F.substring(framed, i, F.lit(k)))
+        return F.when(F.length(framed) >= k, every).otherwise(F.array().cast("array<string>"))
+
+    grams = F.flatten(F.array(*[cut(k) for k in range(1, LONGEST + 1)]))
+    counted = words.select("lang", "n", F.explode(grams).alias("item")).groupBy("lang", "item").agg(F.sum("n").alias("n")).toArrow()
+    known = words.toArrow()
+    langs = sorted(pc.unique(known["lang"]).to_pylist())
+    word_at, word_rows = _log_rows(known, langs)
+    gram_at: dict[str, int] = {}
+    gram_rows = [np.zeros((0, len(langs)), np.float32)]
+    length = pc.utf8_length(counted["item"])
+    for k in range(1, LONGEST + 1):
+        at, rows = _log_rows(counted.filter(pc.equal(length, k)), langs)
+        base = len(gram_at)
+        gram_at.update({g: base + i for g, i in at.items()})
+        gram_rows.append(rows)
     return Model(langs, word_at, gram_at, word_rows, np.concatenate(gram_rows))
 
 
@@ -137,11 +156,9 @@ class _Scorer(dict):
             self.update(self.model.words)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(_WORD.findall(text.lower())) if text else {}
+        counts = Counter(words_of(text))
         if not counts or not self.model.langs:
             return UNKNOWN, 0.0
-        if not any(map(str.isalpha, counts)) and not any(c.isalpha() for w in counts for c in w):
-            return UNKNOWN, 0.0
         n = len(counts)
         at = np.fromiter(map(self.__getitem__, counts), np.int64, n)
         if self.unseen:
@@ -157,7 +174,7 @@ _worker: dict[str, _Scorer] = {}
 def predict(df: DataFrame, model: Model, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """``df`` with the predicted language and its score in place of ``text``."""
     shared, key = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
-    schema = T.StructType([f for f in df.schema if f.name != text] + [T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
+    schema = T.StructType([f for f in df.schema if f.name not in (text, lang_out, score_out)] + [T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _worker:
@@ -170,7 +187,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang_out: str = "la
             for x in batch.column(at):
                 found.append(scorer.predict(x.as_py()))
                 scorer.trim()
-            keep = [i for i in range(batch.num_columns) if i != at]
+            keep = [i for i in range(batch.num_columns) if batch.schema.field(i).name not in (text, lang_out, score_out)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in keep] + [pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())],
                 names=[batch.schema.field(i).name for i in keep] + [lang_out, score_out])
