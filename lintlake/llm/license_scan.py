@@ -1,9 +1,9 @@
 """Licence texts in documents by the Dice coefficient of word bigrams, in DataFrame operations only.
 
-Every line, and every paragraph of several lines, is normalised (lower case, runs of anything but a-z and 0-9 become one
+Every line, every paragraph of several lines, and every sentence of a line that speaks of a licence among other things, is normalised (lower case, runs of anything but a-z and 0-9 become one
 space) and compared with licence templates: 2 |A and B| / (|A| + |B|) over the sets of word bigrams. A template of b bigrams can
 reach the threshold t only with a between t b / (2 - t) and b (2 - t) / t bigrams, so sizes prune nearly all comparisons
-before any set is intersected. The templates are a fixed table of a few kilobytes inside the plan; nothing is shuffled
+before any set is intersected. Each version of a licence has its own templates, so that a notice goes to the nearest one. The templates are a fixed table of a few kilobytes inside the plan; nothing is shuffled
 but one row per find.
 
 Edge cases: NULL, empty and one-word units have no bigrams and match nothing. Equal scores: the first licence by name, then the
@@ -28,15 +28,34 @@ TEMPLATES = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
 
+# Lines that speak of a licence, and where their sentences part (both engines read these patterns alike).
+NAMED = "[Ll][Ii][Cc][Ee][Nn][CcSs][Ee]"
+SENTENCE = "[.!?;] +"
+
+
 def normalised_words(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
 
@@ -78,9 +97,11 @@ def best_match(unit: Column, threshold: float = THRESHOLD, templates: tuple[tupl
 
 
 def units(text: Column) -> Column:
-    """Lines, then paragraphs of more than one line, in order."""
+    """Lines, then paragraphs of more than one line, then sentences of lines that have several and speak of a licence, in order."""
+    lines = F.split(text, "\n")
     paragraphs = F.filter(F.split(text, r"\n[ \t]*\n"), lambda p: F.trim(p).contains("\n"))
-    return F.concat(F.split(text, "\n"), paragraphs)
+    several = F.filter(lines, lambda x: x.rlike(NAMED) & x.rlike(SENTENCE + "[^ ]"))
+    return F.concat(lines, paragraphs, F.flatten(F.transform(several, lambda x: F.split(x, SENTENCE))))
 
 
 def scan(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

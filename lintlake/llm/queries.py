@@ -36,11 +36,12 @@ def op1_ngram_jaccard_join(spark, sf_dir):
 
 @query
 def op2_license_scan(spark, sf_dir):
-    """Licences found in each document: how many lines or paragraphs match a template, and the best match."""
+    """Licences found in each document: how many units (lines, paragraphs, sentences) match a template, all their names, and the best match."""
     found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     ranked = F.transform("licences", lambda m: F.struct(m["dice"].alias("dice"), (-m["unit"]).alias("place"), m["licence"].alias("licence")))
-    out = found.select("doc_id", F.size("licences").cast("bigint").alias("n_matches"), F.array_max(ranked).alias("best"))
-    return out.select("doc_id", "n_matches", F.round("best.dice", 6).alias("dice"), F.col("best.licence").alias("licence"), (-F.col("best.place")).cast("bigint").alias("unit"))
+    out = found.select("doc_id", F.size("licences").cast("bigint").alias("n_matches"), F.array_max(ranked).alias("best"),
+                       F.array_join(F.array_sort(F.array_distinct("licences.licence")), ", ").alias("licences"))
+    return out.select("doc_id", "n_matches", F.round("best.dice", 6).alias("dice"), F.col("best.licence").alias("licence"), (-F.col("best.place")).cast("bigint").alias("unit"), "licences")
 
 
 def _license_sql() -> str:
@@ -50,13 +51,15 @@ def _license_sql() -> str:
 WITH t(licence, b) AS (VALUES {known}),
 u AS (SELECT doc_id, unnest(a) AS s, generate_subscripts(a, 1) - 1 AS unit FROM (
   SELECT doc_id, list_concat(string_split(coalesce(text, ''), chr(10)),
-    list_filter(regexp_split_to_array(coalesce(text, ''), '\n[ \t]*\n'), lambda p: contains(trim(p, ' '), chr(10)))) AS a FROM documents)),
+    list_filter(regexp_split_to_array(coalesce(text, ''), '\n[ \t]*\n'), lambda p: contains(trim(p, ' '), chr(10))))
+    || flatten(list_transform(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{license_scan.NAMED}') AND regexp_matches(x, '{license_scan.SENTENCE}[^ ]')),
+                              lambda x: regexp_split_to_array(x, '{license_scan.SENTENCE}'))) AS a FROM documents)),
 w AS (SELECT doc_id, unit, string_split(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'), ' '), ' ') AS w FROM u),
 g AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS a FROM w WHERE len(w) > 1),
 m AS (SELECT doc_id, unit, licence, 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice FROM g JOIN t ON 3 * len(a) >= 2 * len(b) AND 2 * len(a) <= 3 * len(b)),
 best AS (SELECT doc_id, unit, dice, licence FROM m WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, licence) = 1),
-d AS (SELECT doc_id, count(*) AS n, max(row(dice, -unit, licence)) AS x FROM best GROUP BY 1)
-SELECT doc_id, coalesce(n, 0) AS n_matches, round(x[1], 6) AS dice, x[3] AS licence, -x[2] AS unit FROM documents LEFT JOIN d USING (doc_id)"""
+d AS (SELECT doc_id, count(*) AS n, max(row(dice, -unit, licence)) AS x, string_agg(DISTINCT licence, ', ' ORDER BY licence) AS licences FROM best GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_matches, round(x[1], 6) AS dice, x[3] AS licence, -x[2] AS unit, coalesce(licences, '') AS licences FROM documents LEFT JOIN d USING (doc_id)"""
 
 
 ORACLES["op2_license_scan"] = _license_sql()

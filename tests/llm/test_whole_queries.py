@@ -100,3 +100,19 @@ def test_language_id_of_marks_long_texts_and_clashing_columns(spark):
     got = told.collect()
     assert len(got) == 7 and all(r["lang_pred"] == (r["lang"] if r["doc_id"] != 5 else "und") and 0 <= r["score"] <= 1 for r in got)
     assert lang_id.words_of("แมวอยู่ที่นี่") == ["แมวอยู่ที่นี่"] and lang_id.words_of("Ⅷ ½ 7") == []
+
+
+def test_licence_versions_and_sentences(spark):
+    from lintlake.llm import license_scan
+
+    texts = {t: {name} for name, t in license_scan.TEMPLATES}  # each template's text goes to its own licence
+    texts |= {
+        "This work is licensed under the GNU General Public License, version 2": {"GPL-2.0"},
+        "See the site. Released under the MIT License. Ask us for more! ": {"MIT"},
+        "Docs: licensed under CC BY-SA 4.0. This work is licensed under the GNU Lesser General Public License, version 2.1. x": {"CC-BY-SA-4.0", "LGPL-2.1"},
+        "Released under the MIT License.\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:": {"MIT", "BSD"},
+        "A licence. Or a license! Not one; none?  ": set(), "license. ": set(), "": set(),
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in license_scan.scan(df.withColumn("t", df["text"])).collect():
+        assert {m["licence"] for m in r["licences"]} == texts[r["t"]], r["t"]
