@@ -1,6 +1,7 @@
 """Licence texts in documents by the Dice coefficient of word bigrams, in DataFrame operations only.
 
-Every line, every paragraph of several lines, and every sentence of a line that speaks of a licence among other things, is normalised (lower case, runs of anything but a-z and 0-9 become one
+Every line, every paragraph of several lines, every sentence of a line that speaks of a licence among other things, and every
+sentence that runs over several lines of a paragraph that grants something, is normalised (lower case, runs of anything but a-z and 0-9, comment marks too, become one
 space) and compared with licence templates: 2 |A and B| / (|A| + |B|) over the sets of word bigrams. A template of b bigrams can
 reach the threshold t only with a between t b / (2 - t) and b (2 - t) / t bigrams, so sizes prune nearly all comparisons
 before any set is intersected. Each version of a licence has its own templates, so that a notice goes to the nearest one. The templates are a fixed table of a few kilobytes inside the plan; nothing is shuffled
@@ -24,8 +25,11 @@ THRESHOLD = 0.8
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("MIT", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
@@ -42,6 +46,8 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("BSD", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
@@ -54,6 +60,13 @@ TEMPLATES = (
 # Lines that speak of a licence, and where their sentences part (both engines read these patterns alike).
 NAMED = "[Ll][Ii][Cc][Ee][Nn][CcSs][Ee]"
 SENTENCE = "[.!?;] +"
+# Paragraphs part at lines that are blank or hold comment marks only; marks and blanks at their ends don't make a second line.
+MARKS = "/#*;%-"
+PARTED = r"\n[ \t\r]*[/#*;%-]*[ \t\r]*\n"
+EDGES = " \t\r\n" + MARKS
+# Paragraphs that grant something, and where their sentences part, at ends of lines too.
+GRANTS = NAMED + "|[Pp][Ee][Rr][Mm][Ii][Ss][Ss][Ii][Oo][Nn]|[Rr][Ee][Dd][Ii][Ss][Tt][Rr][Ii][Bb][Uu][Tt]|[Ww][Aa][Rr][Rr][Aa][Nn][Tt]|[Uu][Nn][Ee][Nn][Cc][Uu][Mm][Bb][Ee][Rr][Ee][Dd]"
+WRAPPED = r"[.!?;][ \r\n]+"
 
 
 def normalised_words(text: Column) -> Column:
@@ -97,11 +110,15 @@ def best_match(unit: Column, threshold: float = THRESHOLD, templates: tuple[tupl
 
 
 def units(text: Column) -> Column:
-    """Lines, then paragraphs of more than one line, then sentences of lines that have several and speak of a licence, in order."""
+    """Lines, then paragraphs of more than one line, then sentences of lines that have several and speak of a licence, then sentences
+    over several lines of paragraphs that have several and grant something, in order."""
+    wrapped = lambda p: F.btrim(p, F.lit(EDGES)).contains("\n")
     lines = F.split(text, "\n")
-    paragraphs = F.filter(F.split(text, r"\n[ \t]*\n"), lambda p: F.trim(p).contains("\n"))
+    paragraphs = F.filter(F.split(text, PARTED), wrapped)
     several = F.filter(lines, lambda x: x.rlike(NAMED) & x.rlike(SENTENCE + "[^ ]"))
-    return F.concat(lines, paragraphs, F.flatten(F.transform(several, lambda x: F.split(x, SENTENCE))))
+    granting = F.filter(paragraphs, lambda p: p.rlike(GRANTS) & p.rlike(WRAPPED + "[^ \r\n]"))
+    return F.concat(lines, paragraphs, F.flatten(F.transform(several, lambda x: F.split(x, SENTENCE))),
+                    F.flatten(F.transform(granting, lambda p: F.filter(F.split(p, WRAPPED), wrapped))))
 
 
 def scan(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

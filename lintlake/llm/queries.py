@@ -36,7 +36,7 @@ def op1_ngram_jaccard_join(spark, sf_dir):
 
 @query
 def op2_license_scan(spark, sf_dir):
-    """Licences found in each document: how many units (lines, paragraphs, sentences) match a template, all their names, and the best match."""
+    """Licences found in each document: how many units (lines, paragraphs, sentences of either) match a template, all their names, and the best match."""
     found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     ranked = F.transform("licences", lambda m: F.struct(m["dice"].alias("dice"), (-m["unit"]).alias("place"), m["licence"].alias("licence")))
     out = found.select("doc_id", F.size("licences").cast("bigint").alias("n_matches"), F.array_max(ranked).alias("best"),
@@ -47,13 +47,17 @@ def op2_license_scan(spark, sf_dir):
 def _license_sql() -> str:
     quoted = lambda t: "'" + t.replace("'", "''") + "'"
     known = ", ".join(f"({quoted(name)}, [{', '.join(map(quoted, license_scan.template_bigrams(text)))}])" for name, text in license_scan.TEMPLATES)
+    edges = f"' {license_scan.MARKS}' || chr(9) || chr(13) || chr(10)"
     return f"""
 WITH t(licence, b) AS (VALUES {known}),
+p AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l,
+  list_filter(regexp_split_to_array(coalesce(text, ''), '{license_scan.PARTED}'), lambda p: contains(trim(p, {edges}), chr(10))) AS p FROM documents),
 u AS (SELECT doc_id, unnest(a) AS s, generate_subscripts(a, 1) - 1 AS unit FROM (
-  SELECT doc_id, list_concat(string_split(coalesce(text, ''), chr(10)),
-    list_filter(regexp_split_to_array(coalesce(text, ''), '\n[ \t]*\n'), lambda p: contains(trim(p, ' '), chr(10))))
-    || flatten(list_transform(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{license_scan.NAMED}') AND regexp_matches(x, '{license_scan.SENTENCE}[^ ]')),
-                              lambda x: regexp_split_to_array(x, '{license_scan.SENTENCE}'))) AS a FROM documents)),
+  SELECT doc_id, l || p
+    || flatten(list_transform(list_filter(l, lambda x: regexp_matches(x, '{license_scan.NAMED}') AND regexp_matches(x, '{license_scan.SENTENCE}[^ ]')),
+                              lambda x: regexp_split_to_array(x, '{license_scan.SENTENCE}')))
+    || flatten(list_transform(list_filter(p, lambda x: regexp_matches(x, '{license_scan.GRANTS}') AND regexp_matches(x, '{license_scan.WRAPPED}[^ \r\n]')),
+                              lambda x: list_filter(regexp_split_to_array(x, '{license_scan.WRAPPED}'), lambda y: contains(trim(y, {edges}), chr(10))))) AS a FROM p)),
 w AS (SELECT doc_id, unit, string_split(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'), ' '), ' ') AS w FROM u),
 g AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS a FROM w WHERE len(w) > 1),
 m AS (SELECT doc_id, unit, licence, 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice FROM g JOIN t ON 3 * len(a) >= 2 * len(b) AND 2 * len(a) <= 3 * len(b)),

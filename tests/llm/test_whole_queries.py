@@ -6,8 +6,11 @@ import unicodedata
 import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
+from test_queries import plain
 
 from lintlake.llm import queries
 
@@ -102,7 +105,7 @@ def test_language_id_of_marks_long_texts_and_clashing_columns(spark):
     assert lang_id.words_of("แมวอยู่ที่นี่") == ["แมวอยู่ที่นี่"] and lang_id.words_of("Ⅷ ½ 7") == []
 
 
-def test_licence_versions_and_sentences(spark):
+def test_licence_versions_and_sentences(spark, tmp_path):
     from lintlake.llm import license_scan
 
     texts = {t: {name} for name, t in license_scan.TEMPLATES}  # each template's text goes to its own licence
@@ -111,8 +114,22 @@ def test_licence_versions_and_sentences(spark):
         "See the site. Released under the MIT License. Ask us for more! ": {"MIT"},
         "Docs: licensed under CC BY-SA 4.0. This work is licensed under the GNU Lesser General Public License, version 2.1. x": {"CC-BY-SA-4.0", "LGPL-2.1"},
         "Released under the MIT License.\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:": {"MIT", "BSD"},
+        # Notices in comment blocks, wrapped, among other sentences.
+        "// Copyright (c) 2020 A. Body\n//\n// This program is free software: you can redistribute it and/or modify\n// it under the terms of the GNU General Public License as published by\n"
+        "// the Free Software Foundation, either version 3 of the License, or\n// (at your option) any later version.\n//\n//\n// It is of use.\nint main;": {"GPL-3.0"},
+        "/*\n * Tool for x. Copyright B. Other. This Source Code Form is subject to the\n * terms of the Mozilla Public License, v. 2.0. More on x. This work is licensed under a Creative\n"
+        " * Commons Attribution 4.0 International License. Enough.\n */": {"CC-BY-4.0"},
+        "# MIT License\n#\n# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the \"Software\"), to deal\n# in the Software "
+        "without restriction, including without limitation the rights\n# to use, copy, modify, merge, publish, distribute, sublicense, and/or sell\n# copies of the Software, and to permit persons to whom "
+        "the Software is\n# furnished to do so, subject to the following conditions:\n#\n# The above copyright notice and this permission notice shall be included in all\n# copies": {"MIT"},
+        "We ship x. Redistributions of source code must retain\r\nthe above copyright notice, this list of conditions and the following\r\ndisclaimer. Bye": {"BSD"},
+        "Permission to\nenter. No\nredistribution. -\n-\n": set(), "\n//\n//\n \n": set(),
         "A licence. Or a license! Not one; none?  ": set(), "license. ": set(), "": set(),
     }
     df = spark.createDataFrame([(t,) for t in texts], "text string")
+    df.withColumn("doc_id", F.monotonically_increasing_id()).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert plain(queries.op2_license_scan(spark, str(tmp_path)).toPandas()) == plain(con.execute(queries.ORACLES["op2_license_scan"]).df())
     for r in license_scan.scan(df.withColumn("t", df["text"])).collect():
         assert {m["licence"] for m in r["licences"]} == texts[r["t"]], r["t"]
