@@ -18,6 +18,8 @@ FENCE = "```"
 
 _NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 _INTEGER = r"^[+-]?\d+(\.0*)?$"
+# JSON up to a bare NaN or infinity, over whole strings. Possessive, so one pass; of other JSON no N or I stands outside strings.
+_NOT_FINITE = r'\G((?:[^"NI-]++|"(?:[^"\\]++|\\.)*+"|-(?!Infinity))*+)(?<![-\w.])(?:NaN|-?Infinity)'
 _NUMERIC_KINDS = "^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$"
 
 
@@ -29,6 +31,11 @@ def unfenced(text: Column) -> Column:
     return F.when(F.startswith(trimmed, F.lit(FENCE)), inner).otherwise(trimmed)
 
 
+def _finite(json: Column) -> Column:
+    """JSON in which a number that is no number, which the reviewers' writers allow, becomes one that no field accepts."""
+    return F.when(F.rlike(json, F.lit("NaN|Infinity")), F.regexp_replace(json, _NOT_FINITE, "$1 1e300")).otherwise(json)
+
+
 def _field(item: Column, name: str) -> Column:
     return F.try_variant_get(item, f"$.{name}", "variant")
 
@@ -68,9 +75,9 @@ def normalised(responses: DataFrame, keys: tuple[str, ...] = ("job_id",)) -> Dat
     """Findings stated in (keys..., file_path, model_used, response_text).
 
     Unreadable text, a root or ``findings`` of the wrong type and list members that are not objects give
-    nothing; a member with a value outside its type or range is left out alone.
+    nothing; a member with a value outside its type or range (``NaN`` too) is left out alone.
     """
-    items = F.try_variant_get(F.try_parse_json(unfenced(F.col("response_text"))), "$.findings", "array<variant>")
+    items = F.try_variant_get(F.try_parse_json(_finite(unfenced(F.col("response_text")))), "$.findings", "array<variant>")
     rows = (
         responses.select(*keys, "file_path", "model_used", F.posexplode_outer(items).alias("pos", "item"))
         .filter(F.col("item").isNotNull())
