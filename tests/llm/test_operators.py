@@ -178,7 +178,7 @@ def test_bit_predictions_add_up():
 
     cells = [16 * s for s in lm_mixing.SLOTS] + [256 * s for s in lm_mixing.ESCAPED]
     tables = [np.random.default_rng(1).integers(-99, 99, n).astype(np.int8) for n in cells]
-    score = lambda t: lm_mixing._bit_scores([lm_mixing.PAD + t], tables)[0]
+    score = lambda t: lm_mixing._bit_scores([lm_mixing.PAD + t], tables, lm_mixing._start())[0]
     total = sum(2 ** (score(b"ab" + bytes([c])) - score(b"ab")) for c in range(256))
     assert abs(total - 1) < 1e-3
 
