@@ -17,6 +17,8 @@ from lintlake.session import written
 
 REPO_KEY = ("repo_url", "commit_sha")
 NONE_YET = -(1 << 62)
+#: A chunk is one group in a Python worker, which holds it several times over: as Arrow, as pandas and as arrays.
+PYTHON_BITS = 15
 
 
 def _summary_fn(ttl: int):
@@ -110,13 +112,13 @@ def replay(requests: DataFrame, ttl_seconds: int) -> DataFrame:
     """
     ttl = ttl_seconds * 1_000_000
     log = requests.select(*REPO_KEY, "request_id", "ts", F.unix_micros("ts").alias("us"))
-    chunks = sorted_chunks(log, REPO_KEY, [F.asc("ts"), F.asc("request_id")], "replay")
+    chunks = sorted_chunks(log, REPO_KEY, [F.asc("ts"), F.asc("request_id")], "replay", PYTHON_BITS)
     # Only repositories that reach over a chunk border need their functions.
     chunks_of = written(chunks.groupBy(*REPO_KEY, "chunk").agg(F.count("*").alias("n")), "replay-chunks")
     spread = chunks_of.groupBy(*REPO_KEY).agg(F.count("*").alias("n")).filter("n > 1").select(*REPO_KEY)
     key = "repo_url string, commit_sha string"
     steps = written(
-        chunks.join(spread, list(REPO_KEY), "left_semi").groupBy(*REPO_KEY, "chunk").applyInPandas(
+        chunks.select(*REPO_KEY, "chunk", "us").join(spread, list(REPO_KEY), "left_semi").groupBy(*REPO_KEY, "chunk").applyInPandas(
             _summary_fn(ttl), f"{key}, chunk bigint, until bigint, leave bigint"), "replay-steps")
     entries = _entries(steps, chunks_of.join(spread, list(REPO_KEY), "left_semi").select(*REPO_KEY, "chunk"))
     known = chunks.join(entries, [*REPO_KEY, "chunk"], "left").withColumn("valid", F.coalesce("valid", F.lit(NONE_YET)))
