@@ -36,7 +36,12 @@ def job_results(jobs: DataFrame, findings: DataFrame, columns: tuple[str, ...] =
     """
     job = jobs.select(F.col("id").alias("scan_job_id"), "repo_name", "commit_sha", "status", "total_files", "scanned_files")
     found = findings.select("scan_job_id", *[F.col(c).alias(f"finding_{c}" if c == "id" else c) for c in columns])
-    return job.join(found, "scan_job_id")
+    if "id" not in columns:
+        return job.join(found, "scan_job_id")
+    # An id that is lower-case hexadecimal, as ``sink.finding_id`` makes them, travels as its bytes.
+    id_, raw = F.col("finding_id"), F.unhex("finding_id")
+    lean = found.withColumn("_bytes", F.when(F.lower(F.hex(raw)) == id_, raw)).withColumn("finding_id", F.when(F.col("_bytes").isNull(), id_))
+    return job.join(lean, "scan_job_id").withColumn("finding_id", F.coalesce("finding_id", F.lower(F.hex("_bytes")))).drop("_bytes")
 
 
 def user_findings(users: DataFrame, jobs: DataFrame, findings: DataFrame) -> DataFrame:
