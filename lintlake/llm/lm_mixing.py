@@ -8,9 +8,10 @@ The predictors' log-odds are combined by weights, gated by the bit's place in th
 coding error online, in steps of one block of the document, and an adaptive map refines the result. Every bit is
 predicted from earlier bits and the model only, so the probabilities of all texts add up to at most one.
 
-The weights that each document begins with are fitted to training documents that the tables have not seen: counts are first taken
-without a sample of them (``SAMPLE_KEYS`` keys, a sixth of all at most), the weights that code the sample best are found by Newton's method
-(each round is one job over the sample, which gives sums per gate), and then the sample's counts are added. Held-out texts take no part.
+The weights that each document begins with are fitted to all training documents, each under tables that have not seen it: documents are
+dealt into two halves by hash of the key, which are counted apart, and each half is coded with the other's counts. One job over all texts counts
+the bits by (gate, log-odds of the predictors by level), a bounded number of cells, from which Newton's method finds the best weights. Then both
+halves' counts are added. Held-out texts take no part.
 
 Scale: counting is one Arrow pass with sums per task before the shuffle; what is gathered grows with the corpus, but
 the model doesn't: one number of 8 bits per cell, ``16 * sum(SLOTS) + 256 * sum(ESCAPED)`` bytes, which is collected in pages
@@ -18,8 +19,8 @@ and broadcast; contexts beyond the slots share them. The unigram vocabulary is u
 more (thus at most ``FREQUENT`` of them, of 64 bytes at most) are broadcast; occurrences of the others are joined by token.
 
 Edge cases: NULL, empty and blank texts have one token (the end) and one byte. Repeated rows are scored each and count each.
-Without training documents all counts are 0 and the predictors know nothing; without a sample the weights are ``START``. All rows of a sampled
-key are in the sample, NULL being a key. Texts of any length are scored whole.
+Without training documents all counts are 0 and the predictors know nothing; where one half has none, the weights are ``START``. All rows of a
+key are in one half, NULL being a key. Texts of any length are scored whole.
 """
 
 from __future__ import annotations
@@ -48,8 +49,11 @@ BLOCK = 256
 PART_BYTES = 1 << 17
 SCALE = 15.0
 RATE, START = 0.004, 0.4
-#: The start weights are fitted to the texts of this many keys, in this many rounds; ``RIDGE`` draws them to ``START`` where bits are few.
-SAMPLE_KEYS, ROUNDS, RIDGE = 1000, 6, 1.0
+#: The start weights are fitted in this many rounds; ``RIDGE`` draws them to ``START`` where bits are few.
+ROUNDS, RIDGE = 6, 1.0
+#: For that, stored log-odds are rounded to the middles of levels, which begin at these numbers and their negatives; exact up to 16.
+EDGES = np.array([*range(1, 17), 17, 23, 30, 39, 51, 67, 87, 108, 128])
+LEVELS = 2 * len(EDGES) - 1
 BUCKETS, MAP_RATE = 24, 0.01
 PAD = b"\n\n\n\n\n"
 END = b""
@@ -123,28 +127,20 @@ def _in_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of (text, is it in the sample) summed per task: rows (token, n) of tokens with order -1, and rows (order, page, cells) of the
-    cells. Texts of the sample are not counted: they are handed on, with order -2, in the place of a token."""
+    """Counts of (text) summed per task: rows (token, n) of tokens with order -1, and rows (order, page, cells) of the cells."""
     cells = [np.zeros(s * 16, np.int32) for s in SLOTS] + [np.zeros(s * 256, np.int32) for s in ESCAPED]
     words: Counter = Counter()
 
     def of_words() -> pa.RecordBatch:
-        out = named(list(words.keys()), list(words.values()), -1)
+        n = len(words)
+        out = pa.RecordBatch.from_arrays([pa.array(list(words.keys()), pa.binary()), pa.array(list(words.values()), pa.int64()), pa.array(np.full(n, -1, np.int8)),
+                                          pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["token", "n", "ord", "page", "cells"])
         words.clear()
         return out
 
-    def named(token: list[bytes | None], n: list[int], kind: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(token, pa.binary()), pa.array(n, pa.int64()), pa.array(np.full(len(n), kind, np.int8)), pa.nulls(len(n), pa.int32()),
-                                           pa.nulls(len(n), pa.binary())], names=["token", "n", "ord", "page", "cells"])
-
     for batch in _in_rows(batches):
         texts = []
-        sampled = [x.as_py() for x, picked in zip(*batch.columns, strict=True) if picked.as_py()]
-        if sampled:
-            yield named(sampled, [1] * len(sampled), -2)
-        for x, picked in zip(*batch.columns, strict=True):
-            if picked.as_py():
-                continue
+        for x in batch.column(0):
             t = tokens(x.as_py())
             words.update(t)
             words[END] += 1
@@ -251,65 +247,87 @@ def _start() -> dict[int, np.ndarray]:
     return {depth: np.full((len(SLOTS), depth), START) for depth in (4, 8)}
 
 
-def _fitted(sample: DataFrame, tables: list[np.ndarray]) -> dict[int, np.ndarray]:
-    """The weights that code ``sample`` (text) best with ``tables``, which must not have seen it: Newton's method per gate, whose step
-    is halved where the loss grew. The best weights met are kept, so they are never worse than ``START``."""
-    k = len(SLOTS)
-    size = k + k * k + 1  # slope, curvature, loss
-    shared = sample.sparkSession.sparkContext.broadcast(Packed(tables))
-    best, tried, step = _start(), _start(), {d: np.zeros((k, d)) for d in (4, 8)}
-    least = {d: np.full(d, np.inf) for d in best}
-    for _ in range(ROUNDS):
-        def run(batches: Iterator[pa.RecordBatch], now: dict[int, np.ndarray] = tried) -> Iterator[pa.RecordBatch]:
-            sums = {depth: np.zeros((depth, size)) for depth in now}
-            for batch in _in_rows(batches):
-                for _, part in _parts([b" ".join(tokens(x.as_py())) for x in batch.column(0)]):
-                    for depth, symbol, slots, known in _symbols(part, shared.value.tables):
-                        for g in range(depth):
-                            node, bit = (symbol + (1 << depth)) >> (depth - g), symbol >> (depth - 1 - g) & 1
-                            live = ~((depth == 8) & (g >= 4) & (symbol == LAST))  # certain bits
-                            odds, bit = np.stack([t[s * (1 << depth) + node] for s, t in zip(slots, known, strict=True)])[:, live] / SCALE, bit[live]
-                            p = 1 / (1 + np.exp(-np.clip(now[depth][:, g] @ odds, -8, 7.99)))
-                            sums[depth][g, :k] += odds @ (bit - p)
-                            sums[depth][g, k:-1] += ((odds * (p * (1 - p))) @ odds.T).ravel()
-                            sums[depth][g, -1] -= np.log(np.abs(bit - 1 + p)).sum()
-            rows = [(depth, g, i, float(v)) for depth, x in sums.items() for (g, i), v in np.ndenumerate(x) if v]
-            yield pa.RecordBatch.from_pylist([dict(zip(("depth", "gate", "i", "v"), r, strict=True)) for r in rows],
-                                             pa.schema([("depth", pa.int32()), ("gate", pa.int32()), ("i", pa.int32()), ("v", pa.float64())]))
-
-        total = {depth: np.zeros((depth, size)) for depth in best}
-        for r in sample.mapInArrow(run, "depth int, gate int, i int, v double").groupBy("depth", "gate", "i").agg(F.sum("v").alias("v")).collect():
-            total[r["depth"]][r["gate"], r["i"]] = r["v"]
-        tried, seen = {d: w.copy() for d, w in tried.items()}, tried
-        for depth, x in total.items():
-            for g in range(depth):
-                w = seen[depth][:, g]
-                loss = x[g, -1] + RIDGE / 2 * ((w - START) ** 2).sum()
-                if loss < least[depth][g]:
-                    least[depth][g], best[depth][:, g] = loss, w
-                    step[depth][:, g] = np.linalg.solve(x[g, k:-1].reshape(k, k) + RIDGE * np.eye(k), x[g, :k] - RIDGE * (w - START))
+def _bits(texts: DataFrame, tables: list[np.ndarray]) -> DataFrame:
+    """(cell, n): how many bits of ``texts`` fall into each cell, ``(((gate * LEVELS + level) * LEVELS + level) * LEVELS + level) * 2 + bit``; the gates of
+    escaped bytes follow those of codes."""
+    shared = texts.sparkSession.sparkContext.broadcast(Packed(tables))
+    size = 2 * LEVELS ** len(SLOTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odds = np.arange(256).astype(np.uint8).view(np.int8).astype(np.int32)
+        level = (len(EDGES) - 1 + np.sign(odds) * np.searchsorted(EDGES[:-1], np.abs(odds), side="right")).astype(np.uint8)
+        levels = [level[t.view(np.uint8)] for t in shared.value.tables]
+        counts = np.zeros((12, size), np.int64)
+        for batch in _in_rows(batches):
+            for _, part in _parts([b" ".join(tokens(x.as_py())) for x in batch.column(0)]):
+                for depth, symbol, slots, known in _symbols(part, levels):
+                    width = np.int32(1 << depth)
+                    for g in range(depth):
+                        node, bit = (symbol + width) >> (depth - g), symbol >> (depth - 1 - g) & 1
+                        cell = np.zeros(len(symbol), np.int32)
+                        for s, t in zip(slots, known, strict=True):
+                            cell *= np.int32(LEVELS)
+                            cell += np.take(t, s * width + node)
+                        cell += cell
+                        cell += bit
+                        if depth == 8 and g >= 4:
+                            cell = cell[symbol != LAST]  # the others are certain bits
+                        np.add.at(counts[g + (4 if depth == 8 else 0)], cell.astype(np.intp), 1)
+        counts = counts.ravel()
+        there = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(counts[there])], names=["cell", "n"])
+
+    return texts.mapInArrow(run, "cell int, n long")
+
+
+def _fitted(texts: DataFrame, tables: list[np.ndarray], *others: tuple[DataFrame, list[np.ndarray]]) -> dict[int, np.ndarray]:
+    """The weights that code ``texts`` (text) best with ``tables``, which must not have seen them, and any ``others`` with theirs: Newton's method
+    per gate, whose step is halved where the loss grew. The best weights met are kept, so they are never worse than ``START``."""
+    bits = _bits(texts, tables)
+    for more, known in others:
+        bits = bits.unionByName(_bits(more, known))
+    # At most 24 * LEVELS ** 3 rows.
+    summed = bits.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(24 * LEVELS ** len(SLOTS))
+    counts[summed["cell"].to_numpy()] = summed["n"].to_numpy()
+    counts = counts.reshape(12, -1, 2)
+    middle = (EDGES[:-1] + EDGES[1:] - 1) / 2
+    axis = np.concatenate((-middle[::-1], [0], middle)) / SCALE
+    odds = np.stack([x.ravel() for x in np.meshgrid(axis, axis, axis, indexing="ij")])
+    best = _start()
+    for depth, weights in best.items():
+        for g in range(depth):
+            seen = counts[g + (4 if depth == 8 else 0)]
+            there = np.flatnonzero(seen.sum(axis=1))
+            x, zeros, ones = odds[:, there], seen[there, 0], seen[there, 1]
+            tried, step, least = weights[:, g].copy(), np.zeros(len(SLOTS)), np.inf
+            for _ in range(ROUNDS):
+                p = 1 / (1 + np.exp(-np.clip(tried @ x, -8, 7.99)))
+                loss = -(ones @ np.log(p) + zeros @ np.log1p(-p)) + RIDGE / 2 * ((tried - START) ** 2).sum()
+                if loss < least:
+                    least, weights[:, g] = loss, tried
+                    slope = x @ (ones - (ones + zeros) * p) - RIDGE * (tried - START)
+                    step = np.linalg.solve((x * ((ones + zeros) * p * (1 - p))) @ x.T + RIDGE * np.eye(len(SLOTS)), slope)
                 else:
-                    step[depth][:, g] /= 2
-                tried[depth][:, g] = best[depth][:, g] + step[depth][:, g]
-    shared.destroy()
+                    step = step / 2
+                tried = weights[:, g] + step
     return best
 
 
 class Model:
-    def __init__(self, counts: DataFrame):
-        """``counts``: what ``_count`` gives, written."""
-        sample = counts.filter("ord = -2").select(F.col("token").alias("text"))
-        of_sample = written(sample.select("text", F.lit(False)).mapInArrow(_count, counts.schema), "lm-sample")
-        words = counts.unionByName(of_sample).filter("ord = -1").groupBy("token").agg(F.sum("n").alias("c"))
+    def __init__(self, halves: list[DataFrame]):
+        """``halves``: the training texts (text) in two parts."""
+        made = [written(h.mapInArrow(_count, "token binary, n long, ord byte, page int, cells binary"), "lm-counts") for h in halves]
+        words = made[0].unionByName(made[1]).filter("ord = -1").groupBy("token").agg(F.sum("n").alias("c"))
         self.words = written(words, "lm-words")
         totals = self.words.agg(F.sum("c"), F.count("*")).first()
         self.n, self.v = int(totals[0] or 0), int(totals[1])
         often = self.words.filter((F.col("c") * FREQUENT >= self.n) & (F.length("token") <= 64))
         self.frequent = {bytes(r["token"]): r["c"] for r in often.collect()}
-        unseen, kinds = _pages(counts), ("ord", "page", "cells")
-        self.weights = _fitted(sample, _tables(unseen))
+        pages, kinds = [_pages(m) for m in made], ("ord", "page", "cells")
+        self.weights = _fitted(halves[0], _tables(pages[1]), (halves[1], _tables(pages[0])))
         # The sums are exchanged again, not what each task counted.
-        self.tables = _tables(_pages(unseen.select(*kinds).unionByName(of_sample.select(*kinds))))
+        self.tables = _tables(_pages(pages[0].select(*kinds).unionByName(pages[1].select(*kinds))))
 
 
 def _mixed(symbol: np.ndarray, slots: list[np.ndarray], sizes: np.ndarray, tables: list[np.ndarray], depth: int, start: np.ndarray) -> np.ndarray:
@@ -437,12 +455,8 @@ def held_out(key: Column, folds: int = 7, fold: int = 2) -> Column:
 
 
 def learn(rows: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
-    spread = F.xxhash64(key)
-    keys = rows.select(spread.alias("h")).filter("pmod(h, 6) = 0").distinct().orderBy("h").limit(SAMPLE_KEYS)
-    last = keys.agg(F.max("h")).first()[0]
-    picked = F.lit(False) if last is None else (F.pmod(spread, F.lit(6)) == 0) & (spread <= last)
-    made = rows.select(F.col(text).cast("binary").alias("text"), picked.alias("picked")).mapInArrow(_count, "token binary, n long, ord byte, page int, cells binary")
-    return Model(written(made, "lm-counts"))
+    half = F.pmod(F.xxhash64(key), F.lit(2))
+    return Model([rows.filter(half == h).select(F.col(text).cast("binary").alias("text")) for h in (0, 1)])
 
 
 def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
