@@ -77,7 +77,20 @@ def scannable(tree: DataFrame, max_kb: float = MAX_FILE_KB) -> DataFrame:
 
 
 def _might_hold(rows: DataFrame, kept: DataFrame, columns: list[str], bits: int) -> DataFrame:
-    """``rows`` without most of those whose ``columns`` are not in ``kept``; none that is there is lost.
+    """``rows`` without most of those whose ``columns`` are not in ``kept``; none that is there is lost."""
+    marked, bit = marked_by_hash(rows, kept, columns, bits, "inner")
+    return marked.filter(bit).drop("_piece", "_bits")
+
+
+def surely_not_in(rows: DataFrame, kept: DataFrame, columns: list[str], bits: int = 28) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two: those whose ``columns`` are surely not in ``kept``, most of them, and the rest, which may be or not."""
+    marked, bit = marked_by_hash(rows, kept, columns, bits, "left")
+    found = F.coalesce(bit, F.lit(False))
+    return marked.filter(~found).drop("_piece", "_bits"), marked.filter(found).drop("_piece", "_bits")
+
+
+def marked_by_hash(rows: DataFrame, kept: DataFrame, columns: list[str], bits: int, how: str) -> tuple[DataFrame, Column]:
+    """``rows`` with the piece of a bit map that each falls into, and whether its bit is set.
 
     The hashes of ``kept`` are one bit map of 2 ** ``bits`` bits, cut into pieces of 4 KB. Together the pieces take 2 ** (bits - 3) bytes at
     most, whatever the tables' sizes, so they are broadcast, and rows are dropped before anything is exchanged.
@@ -86,10 +99,8 @@ def _might_hold(rows: DataFrame, kept: DataFrame, columns: list[str], bits: int)
     pieces = kept.groupBy(F.bitmap_bucket_number(place).alias("_piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits"))
     at = F.bitmap_bit_position(place)
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return (
-        rows.withColumn("_piece", F.bitmap_bucket_number(place)).join(F.broadcast(pieces), "_piece")
-        .filter(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1).drop("_piece", "_bits")
-    )
+    marked = rows.withColumn("_piece", F.bitmap_bucket_number(place)).join(F.broadcast(pieces), "_piece", how)
+    return marked, F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1
 
 
 def first_files(files: DataFrame, *caps: int, salts: int = 32, bits: int = 28) -> DataFrame:

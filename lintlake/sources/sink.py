@@ -14,6 +14,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintlake.session import written
+from lintlake.sources.files import surely_not_in
+
 JOB = "scan_job_id"
 FINDING_SCHEMA = (
     "id STRING, scan_job_id STRING, file_path STRING, line_start INT, line_end INT, category STRING, severity STRING, confidence DOUBLE, "
@@ -63,8 +66,16 @@ def _attempts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_findings(spark: SparkSession, path: str) -> DataFrame:
-    """Current findings of all jobs. The manifest is joined, never collected; partitions of attempts that no job needs are pruned at run time."""
-    return _attempts(spark, path).join(published(spark, path).select(JOB, "attempt_id"), [JOB, "attempt_id"], "left_semi").drop("attempt_id")
+    """Current findings of all jobs. The manifest is joined, never collected; partitions of attempts that no job needs are pruned at run time.
+
+    Only (job, attempt) pairs are exchanged to find those that do not count. Findings whose pair is surely none of them are read as they lie; the
+    others (in a store with few repeated attempts, few) meet the manifest.
+    """
+    stored, current, pair = _attempts(spark, path), published(spark, path).select(JOB, "attempt_id"), [JOB, "attempt_id"]
+    stored = stored.join(F.broadcast(spark.read.schema(MANIFEST_SCHEMA).parquet(f"{path}/manifest").select("attempt_id").distinct()), "attempt_id", "left_semi")
+    dead = written(stored.select(*pair).distinct().join(current, pair, "left_anti"), "dead-attempts")
+    sure, others = surely_not_in(stored, dead, pair)
+    return sure.unionByName(others.join(current, pair, "left_semi")).drop("attempt_id")
 
 
 def incomplete(spark: SparkSession, path: str) -> DataFrame:
