@@ -8,7 +8,6 @@ turns the array of hits into rows; contents stay behind.
 from __future__ import annotations
 
 import json
-import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,13 +28,16 @@ RATE_AUTH_NO = R.RULE_NO[R.RATE_LIMIT_AUTH.rule_id]
 
 
 # Patterns fold A-Z only, in the test as in the evidence; ``lower`` would also make a k of the Kelvin sign, and is used where a text has nothing
-# but ASCII, as it is much faster. Words that open a gate are looked for in text lowered as Unicode says.
-_IS_ASCII = "octet_length(content) = length(content)"
-ASCII_LOWERED = f"CASE WHEN {_IS_ASCII} THEN lower(content) ELSE translate(content, '{string.ascii_uppercase}', '{string.ascii_lowercase}') END"
+# but ASCII, as it is much faster: in other texts, for each run of such characters (``translate`` makes objects of every single one). Words that
+# open a gate are looked for in text lowered as Unicode says, once for all words.
+_IS_ASCII = "octet_length({0}) = length({0})"
+_RUNS = f"regexp_extract_all(content, {quoted(r'[\x00-\x7F]+|[^\x00-\x7F]+')}, 0)"
+ASCII_LOWERED = f"""CASE WHEN {_IS_ASCII.format('content')} THEN lower(content)
+  ELSE array_join(transform({_RUNS}, p -> CASE WHEN {_IS_ASCII.format('p')} THEN lower(p) ELSE p END), '') END"""
 
 
 def any_word(words: tuple[str, ...]) -> str:
-    return f"CASE WHEN {_IS_ASCII} THEN {any_contains('_lowered', words)} ELSE {any_contains('lower(content)', words)} END"
+    return f"CASE WHEN {_IS_ASCII.format('content')} THEN {any_contains('_lowered', words)} ELSE exists(array(lower(content)), p -> {any_contains('p', words)}) END"
 
 
 def bit(rule: R.Rule) -> str:
@@ -80,12 +82,13 @@ FIRST_ROUTE_LINE = "CASE " + " ".join(
 
 def _rule_bit(rule: R.Rule, by_language: bool) -> str:
     m = matcher(rule)
-    tests = [m.may_hit(), m.hit()]
+    tests = [m.may_hit()]
     if by_language and "any" not in rule.languages:
         tests.insert(0, in_list("_language", rule.languages))
     if rule.family == "ai":
         tests.insert(0, "_ai_gate")
-    return f"CASE WHEN {' AND '.join(tests)} THEN {bit(rule)} ELSE 0L END"
+    # A branch of its own: what a test names twice Spark would evaluate first, for every row, if it were on one level with its gate.
+    return f"CASE WHEN {' AND '.join(tests)} THEN CASE WHEN {m.hit()} THEN {bit(rule)} ELSE 0L END ELSE 0L END"
 
 
 def with_rule_mask(files: DataFrame, rules: tuple[R.Rule, ...], by_language: bool) -> DataFrame:
@@ -103,7 +106,7 @@ def with_rule_mask(files: DataFrame, rules: tuple[R.Rule, ...], by_language: boo
     return base.select("*", F.expr(" | ".join(bits) if bits else "0L").alias("rule_mask"))
 
 
-def _hit(rule: R.Rule) -> str:
+def _hit(rule: R.Rule, places: bool) -> str:
     """SQL of one rule's hit: a struct when its bit is set (and its language fits), otherwise NULL."""
     when = f"(rule_mask & {bit(rule)}) != 0L"
     line, matches, evidence, secret = FIRST_ROUTE_LINE, "1", "CAST(NULL AS STRING)", "CAST(NULL AS STRING)"
@@ -116,6 +119,8 @@ def _hit(rule: R.Rule) -> str:
             matches = m.count()
         if rule.family == "secret":
             secret, evidence = m.secret(), mask_sql(m.secret())
+    if not places:
+        return f"CASE WHEN {when} THEN named_struct('rule_no', {R.RULE_NO[rule.rule_id]}, 'matches', {matches}) END"
     return (
         f"CASE WHEN {when} THEN named_struct('rule_no', {R.RULE_NO[rule.rule_id]}, 'line', {line}, 'seq', 0, "
         f"'matches', {matches}, 'evidence', {evidence}, 'secret', {secret}) END"
@@ -135,12 +140,15 @@ WITH_SNIPPET = f"""transform(_found, h -> named_struct('rule_no', h.rule_no, 'li
     ELSE replace(array_join(slice(_lines, greatest(h.line - 1, 1), least(4, h.line + 2)), '\n'), h.secret, {mask_sql('h.secret')}) END))"""
 
 
-def with_hits(masked: DataFrame, rules: tuple[R.Rule, ...]) -> DataFrame:
-    """Add ``hits``: one struct per rule that fired, with its snippet; regex rules in catalogue order, then tree rules."""
+def with_hits(masked: DataFrame, rules: tuple[R.Rule, ...], places: bool = True) -> DataFrame:
+    """Add ``hits``: one struct per rule that fired, with its snippet; regex rules in catalogue order, then tree rules. Without ``places`` a hit
+    has its rule and number of matches only, and no text is searched for lines, evidence and snippets."""
     rules = tuple(sorted(rules, key=lambda r: R.RULE_NO[r.rule_id]))
-    textual = [_hit(r) for r in rules if r.pattern or r.family == "rate_limit"]
+    textual = [_hit(r, places) for r in rules if r.pattern or r.family == "rate_limit"]
     out = masked
-    if textual:
+    if textual and not places:
+        out = out.select("*", F.expr(f"array_compact(array({', '.join(textual)})) AS hits"))
+    elif textual:
         out = out.select("*", F.expr(f"array_compact(array({', '.join(textual)})) AS _found"))
         out = out.select("*", F.expr(f"CASE WHEN size(_found) > 0 THEN {SOURCE_LINES} END AS _lines"))
         out = out.select("*", F.expr(f"{WITH_SNIPPET} AS hits"))
@@ -154,10 +162,12 @@ def with_hits(masked: DataFrame, rules: tuple[R.Rule, ...]) -> DataFrame:
         evidence = "CASE h.rule_no " + " ".join(
             f"WHEN {R.RULE_NO[k]} THEN concat({quoted(v)}, h.line)" for k, v in R.SYNTAX_EVIDENCE.items()) + " END"
 
+        fields = f"'line', h.line, 'seq', h.seq, 'matches', 1, 'evidence', {evidence}, 'snippet', CAST(NULL AS STRING)" if places else "'matches', 1"
+
         def part(test: str) -> str:
             return (
                 f"transform(filter(coalesce(_tree, array()), h -> h.rule_no IN ({wanted}) AND {test}), h -> named_struct("
-                f"'rule_no', h.rule_no, 'line', h.line, 'seq', h.seq, 'matches', 1, 'evidence', {evidence}, 'snippet', CAST(NULL AS STRING)))"
+                f"'rule_no', h.rule_no, {fields}))"
             )
 
         # Calls and assertions are reported before handlers, each in walk order.

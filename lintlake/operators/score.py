@@ -35,7 +35,7 @@ def scored(files: DataFrame, rules: tuple[R.Rule, ...] = SCAN_RULES, keys: tuple
     masked = with_rule_mask(read, rules, by_language=False)
     mask = F.col("rule_mask")
     score_gate = F.expr(any_word(R.AI_SCORE_WORDS))
-    out = with_hits(masked.withColumn("_score_gate", F.when(_bits(mask, rules, "ai") > 0, score_gate).otherwise(F.lit(False))), rules)
+    out = with_hits(masked.withColumn("_score_gate", F.when(_bits(mask, rules, "ai") > 0, score_gate).otherwise(F.lit(False))), rules, places=False)
     # The scanner lists secrets and injections first; the order of "hits" is regex rules, then tree rules.
     injection_layers = [R.FAMILY_ORDER.index(f) for f in ("secret", "injection", "injection_ast")]
     injection_titles = F.filter("hits", lambda h: rule_facts(h["rule_no"])["layer"].isin(*injection_layers))
