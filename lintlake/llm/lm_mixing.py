@@ -158,14 +158,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.add.at(cells[len(SLOTS) + i], (slot[rare] & (ESCAPED[i] - 1)) * 256 + RANK[byte[rare]], np.int32(1))
     yield of_words()
     for i, counts in enumerate(cells):
-        for a in range(0, len(counts), PAGE * 64):
-            pages = [(b // PAGE, counts[b:b + PAGE]) for b in range(a, min(a + PAGE * 64, len(counts)), PAGE)]
-            pages = [(k, x) for k, x in ((k, _packed(c)) for k, c in pages) if x]
+        for pages in _cut(counts):
             n = len(pages)
             yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array(np.full(n, i, np.int8)), pa.array([x[0] for x in pages], pa.int32()),
                                               pa.array([x[1] for x in pages], pa.binary())], names=["token", "n", "ord", "page", "cells"])
 
 
+def _cut(counts: np.ndarray) -> Iterator[list[tuple[int, bytes]]]:
+    """Counts as (page, packed cells), a few pages at a time, without those that are all 0."""
+    for a in range(0, len(counts), PAGE * 64):
+        packed = [(b // PAGE, _packed(counts[b:b + PAGE])) for b in range(a, min(a + PAGE * 64, len(counts)), PAGE)]
+        yield [(k, x) for k, x in packed if x]
+
+
 def _packed(counts: np.ndarray) -> bytes:
     """A page's counts: how many are not 0, bytes of a number, then the gaps and numbers, byte by byte of their places, compressed. Empty if all are 0."""
     at = np.flatnonzero(counts)
@@ -196,29 +201,42 @@ def _odds(order: int, leaves: np.ndarray) -> bytes:
     return np.clip(np.rint(np.log(p / (1 - p)) * SCALE), -127, 127).astype(np.int8).tobytes()
 
 
-def _to_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (ord, page, cells), sorted by page, to (ord, page, odds, cells); one page is summed at a time."""
-    def row(key: tuple[int, int], leaves: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int8()), pa.array([key[1]], pa.int32()), pa.array([_odds(key[0], leaves)], pa.binary()),
-                                           pa.array([_packed(leaves)], pa.binary())], names=["ord", "page", "odds", "cells"])
-
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
+    """Rows (ord, page, cells), sorted by page, to pages and their sums, one page at a time."""
     now, leaves = None, np.zeros(PAGE, np.int64)
     for batch in batches:
         for order, page, cells in zip(*batch.columns, strict=True):
             key = order.as_py(), page.as_py()
             if key != now:
                 if now:
-                    yield row(now, leaves)
+                    yield now, leaves
                 now, leaves = key, np.zeros(PAGE, np.int64)
             _add(leaves, cells.as_py())
     if now:
-        yield row(now, leaves)
+        yield now, leaves
+
+
+def _to_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (ord, page, cells), sorted by page, to (ord, page, odds, cells)."""
+    for (order, page), leaves in _sums(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([order], pa.int8()), pa.array([page], pa.int32()), pa.array([_odds(order, leaves)], pa.binary()),
+                                          pa.array([_packed(leaves)], pa.binary())], names=["ord", "page", "odds", "cells"])
+
+
+def _to_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (ord, page, cells), sorted by page, to the same with one row for each page."""
+    for (order, page), leaves in _sums(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([order], pa.int8()), pa.array([page], pa.int32()), pa.array([_packed(leaves)], pa.binary())],
+                                         names=["ord", "page", "cells"])
+
+
+def _by_page(counts: DataFrame) -> DataFrame:
+    return counts.select("ord", "page", "cells").repartition("ord", "page").sortWithinPartitions("ord", "page")
 
 
 def _pages(counts: DataFrame) -> DataFrame:
     """(ord, page, odds, cells): each page once, with the sums of its cells."""
-    rows = counts.filter("ord >= 0").select("ord", "page", "cells").repartition("ord", "page").sortWithinPartitions("ord", "page")
-    return written(rows.mapInArrow(_to_nodes, "ord byte, page int, odds binary, cells binary"), "lm-pages")
+    return written(_by_page(counts.filter("ord >= 0")).mapInArrow(_to_nodes, "ord byte, page int, odds binary, cells binary"), "lm-pages")
 
 
 class Packed:
@@ -247,9 +265,23 @@ def _start() -> dict[int, np.ndarray]:
     return {depth: np.full((len(SLOTS), depth), START) for depth in (4, 8)}
 
 
+def _trees(tables: list[np.ndarray], slots: list[np.ndarray], depth: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each predictor an array with the trees of all positions, and where each position's tree begins in it. Trees of 16 nodes are fetched
+    whole, once, as each look into a large table waits for memory."""
+    if depth > 4:
+        return tables, [s.astype(np.intp) << depth for s in slots]
+    whole = [np.take(t.view(np.complex128), s).ravel().view(t.dtype) for t, s in zip(tables, slots, strict=True)]
+    return whole, [np.arange(slots[0].size).reshape(slots[0].shape) << depth] * len(slots)
+
+
+def _places(begins: list[np.ndarray], node: np.ndarray) -> list[np.ndarray]:
+    first = begins[0] + node
+    return [first if b is begins[0] else b + node for b in begins]
+
+
 def _bits(texts: DataFrame, tables: list[np.ndarray]) -> DataFrame:
-    """(cell, n): how many bits of ``texts`` fall into each cell, ``(((gate * LEVELS + level) * LEVELS + level) * LEVELS + level) * 2 + bit``; the gates of
-    escaped bytes follow those of codes."""
+    """How many bits of ``texts`` fall into each cell, ``(((gate * LEVELS + level) * LEVELS + level) * LEVELS + level) * 2 + bit``, in pages summed per
+    task (ord, page, cells); the gates of escaped bytes follow those of codes."""
     shared = texts.sparkSession.sparkContext.broadcast(Packed(tables))
     size = 2 * LEVELS ** len(SLOTS)
 
@@ -261,23 +293,25 @@ def _bits(texts: DataFrame, tables: list[np.ndarray]) -> DataFrame:
         for batch in _in_rows(batches):
             for _, part in _parts([b" ".join(tokens(x.as_py())) for x in batch.column(0)]):
                 for depth, symbol, slots, known in _symbols(part, levels):
-                    width = np.int32(1 << depth)
-                    for g in range(depth):
-                        node, bit = (symbol + width) >> (depth - g), symbol >> (depth - 1 - g) & 1
-                        cell = np.zeros(len(symbol), np.int32)
-                        for s, t in zip(slots, known, strict=True):
-                            cell *= np.int32(LEVELS)
-                            cell += np.take(t, s * width + node)
-                        cell += cell
-                        cell += bit
-                        if depth == 8 and g >= 4:
-                            cell = cell[symbol != LAST]  # the others are certain bits
-                        np.add.at(counts[g + (4 if depth == 8 else 0)], cell.astype(np.intp), 1)
-        counts = counts.ravel()
-        there = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(counts[there])], names=["cell", "n"])
-
-    return texts.mapInArrow(run, "cell int, n long")
+                    for a in range(0, len(symbol), PART_BYTES):
+                        now = symbol[a:a + PART_BYTES].astype(np.intp)
+                        trees, begins = _trees(known, [s[a:a + PART_BYTES] for s in slots], depth)
+                        for g in range(depth):
+                            node, bit = (now + (1 << depth)) >> (depth - g), now >> (depth - 1 - g) & 1
+                            cell = np.zeros(len(now), np.intp)
+                            for t, place in zip(trees, _places(begins, node), strict=True):
+                                cell *= LEVELS
+                                cell += np.take(t, place)
+                            cell += cell
+                            cell += bit
+                            if depth == 8 and g >= 4:
+                                cell = cell[now != LAST]  # the others are certain bits
+                            np.add.at(counts[g + (4 if depth == 8 else 0)], cell, 1)
+        for pages in _cut(counts.ravel()):
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(pages), np.int8)), pa.array([x[0] for x in pages], pa.int32()),
+                                              pa.array([x[1] for x in pages], pa.binary())], names=["ord", "page", "cells"])
+
+    return texts.mapInArrow(run, "ord byte, page int, cells binary")
 
 
 def _fitted(texts: DataFrame, tables: list[np.ndarray], *others: tuple[DataFrame, list[np.ndarray]]) -> dict[int, np.ndarray]:
@@ -286,11 +320,12 @@ def _fitted(texts: DataFrame, tables: list[np.ndarray], *others: tuple[DataFrame
     bits = _bits(texts, tables)
     for more, known in others:
         bits = bits.unionByName(_bits(more, known))
-    # At most 24 * LEVELS ** 3 rows.
-    summed = bits.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(24 * LEVELS ** len(SLOTS))
-    counts[summed["cell"].to_numpy()] = summed["n"].to_numpy()
-    counts = counts.reshape(12, -1, 2)
+    # 24 * LEVELS ** 3 cells, in pages.
+    size = 24 * LEVELS ** len(SLOTS)
+    counts = np.zeros(-(-size // PAGE) * PAGE, np.int64)
+    for r in _by_page(bits).mapInArrow(_to_sums, "ord byte, page int, cells binary").collect():
+        _add(counts[r["page"] * PAGE:(r["page"] + 1) * PAGE], r["cells"])
+    counts = counts[:size].astype(float).reshape(12, -1, 2)
     middle = (EDGES[:-1] + EDGES[1:] - 1) / 2
     axis = np.concatenate((-middle[::-1], [0], middle)) / SCALE
     odds = np.stack([x.ravel() for x in np.meshgrid(axis, axis, axis, indexing="ij")])
@@ -332,8 +367,7 @@ class Model:
 
 def _mixed(symbol: np.ndarray, slots: list[np.ndarray], sizes: np.ndarray, tables: list[np.ndarray], depth: int, start: np.ndarray) -> np.ndarray:
     """Sum of log2 of the bits' probabilities per document; ``sizes``: symbols of each, one document after the other."""
-    width = np.int32(1 << depth)
-    after = np.arange(depth - 1, -1, -1, dtype=np.int32)[:, None, None]
+    after = np.arange(depth - 1, -1, -1)[:, None, None]
     # Blocks of one document each; the last of a document is filled up with symbols that don't count.
     n_blocks = -(-sizes // BLOCK)
     doc = np.repeat(np.arange(len(sizes)), n_blocks)
@@ -352,13 +386,12 @@ def _mixed(symbol: np.ndarray, slots: list[np.ndarray], sizes: np.ndarray, table
         d = doc[rows]
         live = (place < left[rows, None]).astype(np.float32)
         where = np.minimum(begins[rows, None] + place, len(symbol) - 1)
-        now = symbol[where].astype(np.int32)
+        now = symbol[where].astype(np.intp)
         # Arrays run over (gate, row, place in the block), so that the innermost loops are long.
-        node, bit = (now + width >> after) >> 1, (now >> after & 1).astype(np.float32)
+        node, bit = (now + (1 << depth) >> after) >> 1, (now >> after & 1).astype(np.float32)
         w = weights[:, :, d, None]
-        o = []
-        for k, table in enumerate(tables):
-            o.append(np.take(table, slots[k][where] * width + node).astype(np.float32))
+        trees, starts = _trees(tables, [s[where] for s in slots], depth)
+        o = [np.take(t, place).astype(np.float32) for t, place in zip(trees, _places(starts, node), strict=True)]
         z = w[0] * o[0]
         for k in range(1, len(o)):
             z += w[k] * o[k]
@@ -456,7 +489,10 @@ def held_out(key: Column, folds: int = 7, fold: int = 2) -> Column:
 
 def learn(rows: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     half = F.pmod(F.xxhash64(key), F.lit(2))
-    return Model([rows.filter(half == h).select(F.col(text).cast("binary").alias("text")) for h in (0, 1)])
+    # Each task has tables of its own to pack and send; a half has half the rows, so two partitions make a task.
+    parts = rows.rdd.getNumPartitions()
+    tasks = max(1, min(parts, max(-(-parts // 2), rows.sparkSession.sparkContext.defaultParallelism)))
+    return Model([rows.filter(half == h).select(F.col(text).cast("binary").alias("text")).coalesce(tasks) for h in (0, 1)])
 
 
 def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
