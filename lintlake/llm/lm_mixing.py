@@ -15,7 +15,7 @@ halves' counts are added. Held-out texts take no part.
 
 Scale: counting is one Arrow pass with sums per task before the shuffle; what is gathered grows with the corpus, but
 the model doesn't: one number of 8 bits per cell, ``16 * sum(SLOTS) + 256 * sum(ESCAPED)`` bytes, which is collected in pages
-and broadcast; contexts beyond the slots share them. The unigram vocabulary is unbounded, so only tokens that make up 1 / ``FREQUENT`` of the training text or
+and broadcast; contexts beyond the slots share them. A task counts in 16 bits per cell and carries what is over. The unigram vocabulary is unbounded, so only tokens that make up 1 / ``FREQUENT`` of the training text or
 more (thus at most ``FREQUENT`` of them, of 64 bytes at most) are broadcast; occurrences of the others are joined by token.
 
 Edge cases: NULL, empty and blank texts have one token (the end) and one byte. Repeated rows are scored each and count each.
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.llm.hashing import hash_slices
-from lintlake.session import written
+from lintlake.session import arrow_rows, written
 
 #: Slots of the predictors: 2 bytes and the last short word, 4 bytes, the word before and the word so far; and those of the escaped bytes.
 SLOTS = (1 << 18, 1 << 18, 1 << 20)
@@ -46,7 +46,12 @@ PAGE = 1 << 14
 FREQUENT = 1 << 19
 FLUSH_TOKENS = 300_000
 BLOCK = 256
-PART_BYTES = 1 << 17
+#: Texts are hashed and counted in parts of this size, and mixed in larger ones, so that a step has many documents.
+PART_BYTES, MIX_BYTES = 1 << 17, 1 << 20
+#: Cells of a task hold less than this; what is over is carried.
+CARRY = 1 << 15
+#: Blocks that are mixed at once, of codes; of escaped bytes half as many.
+BLOCKS = 128
 SCALE = 15.0
 RATE, START = 0.004, 0.4
 #: The start weights are fitted in this many rounds; ``RIDGE`` draws them to ``START`` where bits are few.
@@ -96,20 +101,30 @@ def _contexts(buf: np.ndarray) -> list[np.ndarray]:
             (word >> np.uint64(65 - SLOTS[2].bit_length())).astype(np.int32)]
 
 
-def _parts(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
+def _parts(texts: list[bytes], most: int = PART_BYTES) -> Iterator[tuple[list[int], list[bytes]]]:
     """Documents as padded byte strings, in parts of bounded size and like lengths: (their numbers, strings)."""
     part, size, numbers = [], 0, []
     for i in sorted(range(len(texts)), key=lambda i: len(texts[i])):
         part.append(PAD + texts[i] + b"\n")
         numbers.append(i)
         size += len(part[-1])
-        if size >= PART_BYTES:
+        if size >= most:
             yield numbers, part
             part, size, numbers = [], 0, []
     if part:
         yield numbers, part
 
 
+def _pieces(part: list[bytes]) -> Iterator[list[bytes]]:
+    """A part's documents in runs of bounded size."""
+    begin, size = 0, 0
+    for i, doc in enumerate(part):
+        size += len(doc)
+        if size >= PART_BYTES or i + 1 == len(part):
+            yield part[begin:i + 1]
+            begin, size = i + 1, 0
+
+
 def _scored(part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a part, and the positions that are not padding."""
     buf = np.frombuffer(b"".join(part), np.uint8)
@@ -128,7 +143,8 @@ def _in_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of (text) summed per task: rows (token, n) of tokens with order -1, and rows (order, page, cells) of the cells."""
-    cells = [np.zeros(s * 16, np.int32) for s in SLOTS] + [np.zeros(s * 256, np.int32) for s in ESCAPED]
+    cells = [np.zeros(s * 16, np.uint16) for s in SLOTS] + [np.zeros(s * 256, np.uint16) for s in ESCAPED]
+    carried: list[Counter] = [Counter() for _ in cells]
     words: Counter = Counter()
 
     def of_words() -> pa.RecordBatch:
@@ -154,20 +170,41 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rare = np.flatnonzero(code == ESCAPE)
             for i, slot in enumerate(_contexts(buf)):
                 slot = slot[at].astype(np.intp)  # add.at is fast for this type, and for a number of the cells' type
-                np.add.at(cells[i], slot * 16 + code, np.int32(1))
-                np.add.at(cells[len(SLOTS) + i], (slot[rare] & (ESCAPED[i] - 1)) * 256 + RANK[byte[rare]], np.int32(1))
+                _tally(cells[i], carried[i], slot * 16 + code)
+                _tally(cells[len(SLOTS) + i], carried[len(SLOTS) + i], (slot[rare] & (ESCAPED[i] - 1)) * 256 + RANK[byte[rare]])
     yield of_words()
     for i, counts in enumerate(cells):
-        for pages in _cut(counts):
+        for pages in _cut(counts, carried[i]):
             n = len(pages)
             yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array(np.full(n, i, np.int8)), pa.array([x[0] for x in pages], pa.int32()),
                                               pa.array([x[1] for x in pages], pa.binary())], names=["token", "n", "ord", "page", "cells"])
 
 
-def _cut(counts: np.ndarray) -> Iterator[list[tuple[int, bytes]]]:
-    """Counts as (page, packed cells), a few pages at a time, without those that are all 0."""
+def _tally(cells: np.ndarray, carried: Counter, at: np.ndarray) -> None:
+    """Add 1 to the cells at ``at``, which may repeat, and move what reaches ``CARRY`` to ``carried``."""
+    for a in range(0, len(at), CARRY):
+        now = at[a:a + CARRY]
+        np.add.at(cells, now, np.uint16(1))
+        full = np.unique(now[_at(cells, now) >= CARRY])
+        if len(full):
+            cells[full] -= np.uint16(CARRY)
+            carried.update(dict.fromkeys(full.tolist(), CARRY))
+
+
+def _cut(counts: np.ndarray, carried: Counter | None = None) -> Iterator[list[tuple[int, bytes]]]:
+    """Counts, with what was carried, as (page, packed cells), a few pages at a time, without those that are all 0."""
+    more: dict[int, list[tuple[int, int]]] = {}
+    for at, n in (carried or {}).items():
+        more.setdefault(at // PAGE, []).append((at % PAGE, n))
     for a in range(0, len(counts), PAGE * 64):
-        packed = [(b // PAGE, _packed(counts[b:b + PAGE])) for b in range(a, min(a + PAGE * 64, len(counts)), PAGE)]
+        packed = []
+        for b in range(a, min(a + PAGE * 64, len(counts)), PAGE):
+            page = counts[b:b + PAGE]
+            if b // PAGE in more:
+                at, n = np.array(more[b // PAGE]).T
+                page = page.astype(np.int64)
+                page[at] += n
+            packed.append((b // PAGE, _packed(page)))
         yield [(k, x) for k, x in packed if x]
 
 
@@ -269,44 +306,49 @@ def _trees(tables: list[np.ndarray], slots: list[np.ndarray], depth: int) -> tup
     """For each predictor an array with the trees of all positions, and where each position's tree begins in it. Trees of 16 nodes are fetched
     whole, once, as each look into a large table waits for memory."""
     if depth > 4:
-        return tables, [s.astype(np.intp) << depth for s in slots]
-    whole = [np.take(t.view(np.complex128), s).ravel().view(t.dtype) for t, s in zip(tables, slots, strict=True)]
-    return whole, [np.arange(slots[0].size).reshape(slots[0].shape) << depth] * len(slots)
+        return tables, [s << depth for s in slots]
+    whole = [_at(t.view(np.complex128), s).ravel().view(t.dtype) for t, s in zip(tables, slots, strict=True)]
+    return whole, [np.arange(slots[0].size, dtype=np.int32).reshape(slots[0].shape) << depth] * len(slots)
+
+
+def _at(values: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """``values[places]``; NumPy takes twice as long where it looks for places out of bounds."""
+    return np.take(values, places, mode="wrap")
 
 
 def _places(begins: list[np.ndarray], node: np.ndarray) -> list[np.ndarray]:
-    first = begins[0] + node
-    return [first if b is begins[0] else b + node for b in begins]
+    first = (begins[0] + node).astype(np.intp)
+    return [first if b is begins[0] else (b + node).astype(np.intp) for b in begins]
 
 
 def _bits(texts: DataFrame, tables: list[np.ndarray]) -> DataFrame:
     """How many bits of ``texts`` fall into each cell, ``(((gate * LEVELS + level) * LEVELS + level) * LEVELS + level) * 2 + bit``, in pages summed per
     task (ord, page, cells); the gates of escaped bytes follow those of codes."""
-    shared = texts.sparkSession.sparkContext.broadcast(Packed(tables))
+    odds = np.arange(256).astype(np.uint8).view(np.int8).astype(np.int32)
+    level = (len(EDGES) - 1 + np.sign(odds) * np.searchsorted(EDGES[:-1], np.abs(odds), side="right")).astype(np.int8)
+    shared = texts.sparkSession.sparkContext.broadcast(Packed([level[t.view(np.uint8)] for t in tables]))
     size = 2 * LEVELS ** len(SLOTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odds = np.arange(256).astype(np.uint8).view(np.int8).astype(np.int32)
-        level = (len(EDGES) - 1 + np.sign(odds) * np.searchsorted(EDGES[:-1], np.abs(odds), side="right")).astype(np.uint8)
-        levels = [level[t.view(np.uint8)] for t in shared.value.tables]
+        levels = shared.value.tables
         counts = np.zeros((12, size), np.int64)
         for batch in _in_rows(batches):
             for _, part in _parts([b" ".join(tokens(x.as_py())) for x in batch.column(0)]):
                 for depth, symbol, slots, known in _symbols(part, levels):
                     for a in range(0, len(symbol), PART_BYTES):
-                        now = symbol[a:a + PART_BYTES].astype(np.intp)
+                        now = symbol[a:a + PART_BYTES]
                         trees, begins = _trees(known, [s[a:a + PART_BYTES] for s in slots], depth)
                         for g in range(depth):
                             node, bit = (now + (1 << depth)) >> (depth - g), now >> (depth - 1 - g) & 1
-                            cell = np.zeros(len(now), np.intp)
+                            cell = np.zeros(len(now), np.int32)
                             for t, place in zip(trees, _places(begins, node), strict=True):
                                 cell *= LEVELS
-                                cell += np.take(t, place)
+                                cell += _at(t, place)
                             cell += cell
                             cell += bit
                             if depth == 8 and g >= 4:
                                 cell = cell[now != LAST]  # the others are certain bits
-                            np.add.at(counts[g + (4 if depth == 8 else 0)], cell, 1)
+                            np.add.at(counts[g + (4 if depth == 8 else 0)], cell.astype(np.intp), 1)
         for pages in _cut(counts.ravel()):
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(pages), np.int8)), pa.array([x[0] for x in pages], pa.int32()),
                                               pa.array([x[1] for x in pages], pa.binary())], names=["ord", "page", "cells"])
@@ -367,7 +409,7 @@ class Model:
 
 def _mixed(symbol: np.ndarray, slots: list[np.ndarray], sizes: np.ndarray, tables: list[np.ndarray], depth: int, start: np.ndarray) -> np.ndarray:
     """Sum of log2 of the bits' probabilities per document; ``sizes``: symbols of each, one document after the other."""
-    after = np.arange(depth - 1, -1, -1)[:, None, None]
+    after = np.arange(depth - 1, -1, -1, dtype=np.int32)[:, None, None]
     # Blocks of one document each; the last of a document is filled up with symbols that don't count.
     n_blocks = -(-sizes // BLOCK)
     doc = np.repeat(np.arange(len(sizes)), n_blocks)
@@ -381,17 +423,18 @@ def _mixed(symbol: np.ndarray, slots: list[np.ndarray], sizes: np.ndarray, table
     adaptive = np.tile((1 / (1 + np.exp(-centre))).astype(np.float32), (depth, len(sizes), 1))
     total, ends = np.zeros(len(sizes)), np.searchsorted(step[order], np.arange(step.max(initial=-1) + 2))
     doc, place = doc[order], np.arange(BLOCK)
-    for t in range(len(ends) - 1):
-        rows = slice(ends[t], ends[t + 1])
+    # A step's documents know nothing of each other: a bounded number at a time.
+    most = BLOCKS * 4 // depth
+    for rows in (slice(a, min(a + most, end)) for begin, end in zip(ends, ends[1:]) for a in range(begin, end, most)):
         d = doc[rows]
         live = (place < left[rows, None]).astype(np.float32)
         where = np.minimum(begins[rows, None] + place, len(symbol) - 1)
-        now = symbol[where].astype(np.intp)
+        now = symbol[where]
         # Arrays run over (gate, row, place in the block), so that the innermost loops are long.
         node, bit = (now + (1 << depth) >> after) >> 1, (now >> after & 1).astype(np.float32)
         w = weights[:, :, d, None]
         trees, starts = _trees(tables, [s[where] for s in slots], depth)
-        o = [np.take(t, place).astype(np.float32) for t, place in zip(trees, _places(starts, node), strict=True)]
+        o = [_at(t, place).astype(np.float32) for t, place in zip(trees, _places(starts, node), strict=True)]
         z = w[0] * o[0]
         for k in range(1, len(o)):
             z += w[k] * o[k]
@@ -403,7 +446,8 @@ def _mixed(symbol: np.ndarray, slots: list[np.ndarray], sizes: np.ndarray, table
         z *= np.float32(BUCKETS / 16)
         bucket = z.astype(np.int32)
         bucket += (np.arange(depth * len(d), dtype=np.int32) * BUCKETS).reshape(depth, len(d), 1)
-        refined = np.take(adaptive[:, d].ravel(), bucket)
+        bucket = bucket.astype(np.intp)
+        refined = _at(adaptive[:, d].ravel(), bucket)
         q = p + refined
         q *= np.float32(0.5)
         np.clip(q, 1e-4, 1 - 1e-4, out=q)
@@ -421,8 +465,11 @@ def _mixed(symbol: np.ndarray, slots: list[np.ndarray], sizes: np.ndarray, table
 
 def _symbols(part: list[bytes], tables: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray], list[np.ndarray]]]:
     """(bits, symbols, slots and tables of the predictors) of a part: of its codes, then of the bytes that its escapes stand for."""
-    buf, at = _scored(part)
-    byte, slots = buf[at], [s[at] for s in _contexts(buf)]
+    found = []
+    for piece in _pieces(part):
+        buf, at = _scored(piece)
+        found.append([buf[at], *(s[at] for s in _contexts(buf))])
+    byte, *slots = (np.concatenate(x) for x in zip(*found, strict=True))
     code = CODE[byte]
     yield 4, code.astype(np.int32), slots, tables[:len(SLOTS)]
     rare = np.flatnonzero(code == ESCAPE)
@@ -440,15 +487,14 @@ def _bit_scores(part: list[bytes], tables: list[np.ndarray], start: dict[int, np
 def score(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``rows`` with n_tokens, known, base (both of the frequent tokens only), rare tokens with their numbers, n_bytes and
     log2 of the text's probability, in place of ``text``."""
-    shared = rows.sparkSession.sparkContext.broadcast((model.frequent, Packed(model.tables), model.weights))
+    shared = rows.sparkSession.sparkContext.broadcast(({t: math.log10(c + 1) for t, c in model.frequent.items()}, Packed(model.tables), model.weights))
     keep = [c for c in rows.columns if c != text]
     cut = rows.select(*keep, F.col(text).cast("binary").alias("_text"))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, packed, start = shared.value
+        logs, packed, start = shared.value
         tables = packed.tables
-        logs = {t: math.log10(c + 1) for t, c in frequent.items()}
         for batch in _in_rows(batches):
             texts, n_tokens, known, base, rare, times, ends = [], [], [], [], [], [], [0]
             for x in batch.column(batch.num_columns - 1):
@@ -470,7 +516,7 @@ def score(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 base.append(b)
                 ends.append(len(rare))
             bits, n_bytes = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-            for numbers, part in _parts(texts):
+            for numbers, part in _parts(texts, MIX_BYTES):
                 bits[numbers] = _bit_scores(part, tables, start)
                 n_bytes[numbers] = [len(p) - len(PAD) for p in part]
             pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int32())], names=["token", "n"])
@@ -498,8 +544,10 @@ def learn(rows: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
 def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     rows = docs.select(F.col(key), held_out(F.col(key)).alias("held_out"), F.col(text))
-    model = learn(rows.filter("not held_out"), key, text)
-    out = written(score(rows, model, text).withColumn("_row", F.monotonically_increasing_id()), "lm-scores")
+    # A batch lies in the JVM and in Python at once, for each task.
+    with arrow_rows(docs.sparkSession, ROWS):
+        model = learn(rows.filter("not held_out"), key, text)
+        out = written(score(rows, model, text).withColumn("_row", F.monotonically_increasing_id()), "lm-scores")
     rare = out.select("_row", F.explode("rare").alias("r")).select("_row", "r.token", "r.n")
     found = rare.join(model.words, "token").groupBy("_row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("add"))
     total = out.drop("rare").join(found, "_row", "left")
