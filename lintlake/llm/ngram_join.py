@@ -12,6 +12,8 @@ ratio 1 / t. For a band, elements are hashed into m > H segments, so similar set
 * *One-deletion neighbourhoods.* Where segments would hold too few elements to tell sets apart (small H), a band is
   allotted half the segments, each twice as large, and a set files what remains of each segment without one element
   as well: one of them differs by one element at most.
+* *Signatures* are stored nowhere. They go from the task that makes them to the one that compares them in pages, 12 bytes each
+  whatever the number of partitions; of a set 48 bits are its name there. Names and signatures that are equal by chance only add candidates.
 * *Verification* is exact, on the n-grams themselves. Sets of a candidate group lie together once, in blocks of bounded
   bytes; inverted lists give all overlaps of a block, or of two. One row per linked set leaves the task: its smallest partner of the component, and
   how many documents it is linked with there.
@@ -34,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +51,16 @@ BLOCK_BYTES = 4 << 20
 #: Up to this many differences a band works with one-deletion neighbourhoods.
 DELETION_H = 3
 SLICE_BYTES = 1 << 20
-#: Word hashes kept in a worker.
-MEMO_WORDS = 500_000
+#: Word hashes kept in a worker, and classes that a task knows to be filed.
+MEMO_WORDS, MEMO_NAMES = 500_000, 200_000
+#: Bytes of a class's digest that name it in the search, and the largest agreement asked for there.
+NAME_BYTES, MOST_NEED = 6, (1 << 15) - 1
+#: A signature in a page: its bits behind the bucket's, and the set's name (48 bits), role (1) and need (15).
+ENTRY = np.dtype([("low", "<u4"), ("set", "<u8")])
+#: Signatures that a task gathers for its pages, and that it gathers of whole buckets before they are compared.
+PAGED, GATHERED = 1 << 20, 1 << 19
+#: Signatures of one bucket from which on hot ones are let go.
+HELD = 1 << 20
 
 
 class Bands:
@@ -155,24 +166,45 @@ def _slices(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield part
 
 
+def _pages(sig: np.ndarray, beside: np.ndarray) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(bucket, page) of signatures and what stands beside each: in order of their first 48 bits, 16 of which are the bucket."""
+    for k in range(0, len(sig), PAGED):
+        order = np.argsort(sig[k:k + PAGED], kind="stable")
+        part = sig[k:k + PAGED][order] >> np.uint64(16)
+        entries = np.empty(len(part), ENTRY)
+        entries["low"], entries["set"] = part & np.uint64(0xFFFFFFFF), beside[k:k + PAGED][order]
+        bucket = (part >> np.uint64(32)).astype(np.int64)
+        begins = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1))
+        ends = (np.append(begins, len(part)) * ENTRY.itemsize).astype(np.int32)
+        yield pa.array(bucket[begins]), pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(ends), pa.py_buffer(entries.tobytes())])
+
+
 def sketches(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """(id, n_elements, class, filed): per document the size of its set, the digest of its words and its signatures, each with its role
-    (does it probe the band below?) and the agreement it asks for. Signatures are left out where the same set came
-    earlier in the batch."""
+    """(bucket, page, id, n_elements, class), in rows of two kinds. Without a bucket: per document the size of its set and the digest of its words.
+    With a bucket: a page of signatures, each beside the set's name, its role (does it probe the band below?) and the agreement it asks for.
+    Signatures are left out where the same set came shortly before."""
     bands = Bands(percent)
-    signature = pa.struct([("sig", pa.int64()), ("probe", pa.bool_()), ("need", pa.int32())])
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    names = ["bucket", "page", "id", "n_elements", "class"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sigs, sets, seen, kind = 0, [], [], set(), None
+
+        def paged() -> Iterator[pa.RecordBatch]:
+            given = [np.concatenate(x) if held else np.zeros(0, np.uint64) for x in (sigs, sets)]
+            sigs.clear()
+            sets.clear()
+            for bucket, page in _pages(*given):
+                yield pa.RecordBatch.from_arrays([bucket, page, *[pa.nulls(len(bucket), t) for t in (kind, pa.int64(), pa.binary())]], names=names)
+
         for batch in batches:
-            sizes, classes, sigs, probes, needs, ends, seen = [], [], [], [], [], [0], set()
+            sizes, classes, kind = [], [], batch.column(0).type
             for part in _slices(batch.column(1).to_pylist()):
-                words_of = [t.lower().split() for t in part]
+                words_of, filed, beside = [t.lower().split() for t in part], [np.zeros(0, np.uint64)], []
                 for w, s in zip(words_of, token_sets(words_of, n), strict=True):
                     sizes.append(len(s))
                     name = hashlib.blake2b(b" ".join(w), digest_size=16).digest() if len(s) else None
                     classes.append(name)
-                    total = ends[-1]
                     if len(s) and name not in seen:
                         seen.add(name)
                         own = bands.of(len(s))
@@ -181,75 +213,118 @@ def sketches(docs: DataFrame, key: str, text: str, n: int, percent: int) -> Data
                             if band < 0 or band < own and 100 * bands.largest(band) < percent * len(s):
                                 continue
                             sig, need = bands.signatures(s, band)
-                            sigs.append(sig)
-                            probes.append(np.full(len(sig), band < own))
-                            needs.append(np.full(len(sig), need, np.int32))
-                            total += len(sig)
-                    ends.append(total)
-            empty = [np.zeros(0, np.uint64)]
-            filed = pa.StructArray.from_arrays(
-                [pa.array(np.concatenate(sigs or empty).view(np.int64)), pa.array(np.concatenate(probes or [np.zeros(0, bool)])),
-                 pa.array(np.concatenate(needs or [np.zeros(0, np.int32)]))], fields=list(signature))
+                            filed.append(sig)
+                            # A smaller need only adds candidates.
+                            beside.append(int.from_bytes(name[:NAME_BYTES], "big") << 16 | (band < own) << 15 | min(need, MOST_NEED))
+                sigs.append(np.concatenate(filed))
+                sets.append(np.repeat(np.array(beside, np.uint64), [len(x) for x in filed[1:]] or 0))
+                held += len(sigs[-1])
+                if held >= PAGED:
+                    yield from paged()
+                    held = 0
+                if held == 0 or len(seen) >= MEMO_NAMES:
+                    seen = set()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), filed)],
-                names=["id", "n_elements", "class", "filed"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, n_elements long, class binary, filed array<struct<sig:long,probe:boolean,need:int>>")
+                [pa.nulls(len(sizes), pa.int64()), pa.nulls(len(sizes), pa.binary()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary())], names=names)
+        yield from paged()
+
+    return rows.mapInArrow(run, f"bucket long, page binary, id {docs.schema[key].dataType.simpleString()}, n_elements long, class binary")
+
+
+class _Bucket:
+    """What the sets of a signature give rise to, from the entries of one or more buckets. kind 0: a pair that meets, kind 1: member of a
+    hot signature with one of its sets. Hot signatures are let go as soon as they are known; of any other HOT entries at most are held."""
+
+    def __init__(self):
+        self.sig, self.set, self.hot = [], [], {}
+        self.held, self.most = 0, HELD
+
+    def add(self, sig: np.ndarray, beside: np.ndarray) -> None:
+        self.sig.append(sig)
+        self.set.append(beside)
+        self.held += len(sig)
+
+    def met(self, last: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(kind, a, b, need). Without ``last`` only what is known of hot signatures; the rest stays."""
+        if not self.held:
+            return
+        sig, beside = np.concatenate(self.sig), np.concatenate(self.set)
+        order = np.argsort(sig, kind="stable")
+        sig, beside = sig[order], beside[order]
+        if last and not self.hot:
+            # A signature with one entry gives nothing.
+            same = sig[1:] == sig[:-1]
+            keep = np.append(same, False) | np.insert(same, 0, False)
+            sig, beside = sig[keep], beside[keep]
+        order = np.lexsort((beside, sig))
+        sig, beside = sig[order], beside[order]
+        keep = np.ones(len(sig), bool)
+        keep[1:] = (sig[1:] != sig[:-1]) | (beside[1:] != beside[:-1])
+        sig, beside = sig[keep], beside[keep]
+        begins = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])[:len(sig)])
+        sizes = np.diff(np.append(begins, len(sig)))
+        sid = (beside >> np.uint64(16)).astype(np.int64)
+        known = np.isin(sig[begins], np.array(list(self.hot), np.uint64))
+        hot = known | (sizes > HOT)
+        centre = sid[begins]
+        for g in np.flatnonzero(hot).tolist():
+            centre[g] = self.hot.setdefault(int(sig[begins[g]]), int(centre[g]))
+        group = np.repeat(np.arange(len(begins)), sizes)
+        member = hot[group]
+        once = np.ones(len(sig), bool)
+        once[1:] = (group[1:] != group[:-1]) | (sid[1:] != sid[:-1])
+        at = np.flatnonzero(member & once)
+        if len(at):
+            yield 1, sid[at], centre[group[at]], np.zeros(len(at), np.int32)
+        sig, beside, sid, group = (x[~member] for x in (sig, beside, sid, group))
+        if not last:
+            self.sig, self.set, self.held = [sig], [beside], len(sig)
+            self.most = max(HELD, 2 * len(sig))
+            return
+        self.sig, self.set, self.held, self.hot, self.most = [], [], 0, {}, HELD
+        probe, need = (beside & np.uint64(1 << 15)) > 0, (beside & np.uint64(MOST_NEED)).astype(np.int32)
+        for d in range(1, HOT):
+            i = np.flatnonzero(group[d:] == group[:-d])
+            if not len(i):
+                break
+            i = i[(sid[i] != sid[i + d]) & ~(probe[i] & probe[i + d])]
+            yield 0, sid[i], sid[i + d], np.maximum(need[i], need[i + d])
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, sid, probe, need) sorted by (sig, sid, probe): what the sets of one signature give rise to. kind 0: a pair
-    that meets, kind 1: member of a hot signature with the first of its sets. Streams; holds HOT + 1 sets at most."""
-    def flush(out: list[list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int8()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32())],
-                                          names=["kind", "a", "b", "need"])
-
-    sig, held, hot, out = None, [], None, [[], [], [], []]
-
-    def emit(kind: int, a: int, b: int, need: int) -> None:
-        for c, v in zip(out, (kind, a, b, need), strict=True):
-            c.append(v)
+    """Rows of ``sketches``, those with a bucket in order of it: what the sets of each signature give rise to (kinds 0 and 1), and the documents' rows as they came (kind 2)."""
+    bucket, kind, names = _Bucket(), pa.int64(), ["kind", "a", "b", "need", "id", "n_elements", "class"]
 
-    def close() -> None:
-        if hot is None:
-            for i, (a, pa_, na) in enumerate(held):
-                for b, pb, nb in held[i + 1:]:
-                    if a != b and not (pa_ and pb):
-                        emit(0, a, b, max(na, nb))
+    def given(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        for k, a, b, need in found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), k, np.int8)), pa.array(a), pa.array(b), pa.array(need), pa.nulls(len(a), kind), pa.nulls(len(a), pa.int64()),
+                                              pa.nulls(len(a), pa.binary())], names=names)
 
+    now = None
     for batch in batches:
-        s = batch.column(0).to_numpy()
-        # A signature with one row gives nothing; skip those without a Python step.
-        alone = np.ones(len(s), bool)
-        alone[1:] &= s[1:] != s[:-1]
-        alone[:-1] &= s[:-1] != s[1:]
-        if len(s):
-            alone[0] &= s[0] != sig
-            alone[-1] = False
-        keep = np.flatnonzero(~alone)
-        part = batch.take(pa.array(keep))
-        for x, sid, probe, need in zip(*(c.to_pylist() for c in part.columns), strict=True):
-            if x != sig:
-                close()
-                sig, held, hot = x, [], None
-            if hot is None:
-                if not held or held[-1][:2] != (sid, probe):
-                    held.append((sid, probe, need))
-                if len(held) > HOT:
-                    hot = held[0][0]
-                    for member in sorted({h[0] for h in held}):
-                        emit(1, member, hot, 0)
-                    last = sid
-            elif sid != last:
-                emit(1, sid, hot, 0)
-                last = sid
-        if len(out[0]) >= 20_000:
-            yield flush(out)
-            for c in out:
-                c.clear()
-    close()
-    yield flush(out)
+        kind, pages = batch.schema.field("id").type, batch.column("bucket").is_valid()
+        of = batch.filter(pc.invert(pages))
+        if of.num_rows:
+            n = of.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 2, np.int8)), *[pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int32())], *[of.column(c) for c in names[4:]]], names=names)
+        batch = batch.filter(pages)
+        if not batch.num_rows:
+            continue
+        data = batch.column("page").to_pylist()
+        entries = np.frombuffer(b"".join(data), ENTRY)
+        at = np.repeat(batch.column("bucket").to_numpy().astype(np.uint64), [len(x) // ENTRY.itemsize for x in data])
+        sig = at << np.uint64(32) | entries["low"]
+        # The last bucket may go on in the next batch.
+        done = int(np.searchsorted(at, at[-1]))
+        if int(at[-1]) != now:
+            bucket.add(sig[:done], entries["set"][:done])
+            if bucket.held >= GATHERED or bucket.hot:
+                yield from given(bucket.met(True))
+            now = int(at[-1])
+        bucket.add(sig[done:], entries["set"][done:])
+        if bucket.held > bucket.most:
+            yield from given(bucket.met(False))
+    yield from given(bucket.met(True))
 
 
 def _links(rows: list[tuple], n: int, percent: int) -> list[tuple[int, int, int]]:
@@ -318,14 +393,15 @@ def _verify(n: int, percent: int):
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_elements, component, n_links) for each document: the smallest id reachable by links of Jaccard >= percent / 100 on word
     n-grams (A-Z lower-cased), and the number of documents it is linked with. ``key`` must be a BIGINT; rows with a NULL key take no part in links and keep NULL."""
-    made = written(sketches(docs, key, text, n, percent), "ngram-sketches")
-    # One class per set; its first eight bytes name it in the search (equal names by chance only add candidates).
-    named = made.withColumn("sid", F.conv(F.hex(F.substring("class", 1, 7)), 16, 10).cast("long"))
+    # Signatures go from the task that makes them to the one that compares them and are stored nowhere else; documents' rows travel along.
+    pages = sketches(docs, key, text, n, percent).repartition(F.coalesce("bucket", F.xxhash64("class", "id"))).sortWithinPartitions("bucket")
+    kind = docs.schema[key].dataType.simpleString()
+    met = written(pages.mapInArrow(_meetings, f"kind byte, a long, b long, need int, id {kind}, n_elements long, class binary"), "ngram-meetings")
+    made = met.filter("kind = 2").select("id", "n_elements", "class")
+    # One class per set; its first bytes name it in the search (equal names by chance only add candidates).
+    named = made.withColumn("sid", F.conv(F.hex(F.substring("class", 1, NAME_BYTES)), 16, 10).cast("long"))
     classes = named.filter("class is not null and id is not null").groupBy("class", "sid").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
 
-    filed = named.select("sid", F.explode("filed").alias("f")).select("f.sig", "sid", "f.probe", "f.need")
-    met = written(
-        filed.repartition("sig").sortWithinPartitions("sig", "sid", "probe").mapInArrow(_meetings, "kind byte, a long, b long, need int"), "ngram-meetings")
     hot = met.filter("kind = 1")
     n_hot = hot.groupBy(F.col("a").alias("sid")).agg(F.count("*").alias("n_hot"))
     pairs = met.filter("kind = 0").groupBy("a", "b").agg(F.count("*").alias("n"), F.max("need").alias("need"))
